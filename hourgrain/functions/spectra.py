@@ -131,47 +131,59 @@ def regrid(
     """Interpolate over ln-diameter through the row's usable channels onto ``grid``.
 
     Usable means finite and non-negative. Each target is the density at the grid point times the
-    target width (``scale``). The result is NULL when fewer than two channels are usable or when
-    they do not span the grid.
+    target width (``scale``). The result is NULL when the usable channels do not span the grid.
+
+    The native neighbours of every grid point are known up front, so the usual case is two array
+    reads; only a point with a missing neighbour searches for the nearest usable channels.
     """
     if grid[0] < diameters[0] or grid[-1] > diameters[-1]:
         raise ValueError("the target grid leaves the native range")
     ln_d = [math.log(d) for d in diameters]
-    native = F.zip_with(
-        density_log10(x, semantics, array_lit(widths) if widths is not None else None) if scale else x,
-        array_lit(ln_d),
-        lambda v, d: F.struct(d.alias("d"), v.alias("v")),
-    )
-    usable = F.filter(native, lambda s: F.coalesce(s["v"] >= 0, F.lit(False)))
-    target = F.transform(
-        _pairs(grid),
-        lambda g: _interpolate(usable, g["d"]) * (g["w"] if scale else F.lit(1.0)),
-    )
-    spans = (
-        (F.size(usable) >= 2)
-        & (F.get(usable, F.lit(0))["d"] <= F.lit(math.log(grid[0])))
-        & (F.get(usable, F.size(usable) - 1)["d"] >= F.lit(math.log(grid[-1])))
-    )
-    return F.when(spans, target)
-
-
-def _pairs(grid: Sequence[float]) -> Column:
-    return F.array(
-        *[F.struct(F.lit(math.log(g)).alias("d"), F.lit(w).alias("w")) for g, w in zip(grid, log10_widths(grid))]
-    )
-
-
-def _interpolate(usable: Column, at: Column) -> Column:
-    """One pass keeps the last channel at or below the point and the first one above it."""
-    empty = F.struct(F.lit(None).cast("double").alias("d"), F.lit(None).cast("double").alias("v"))
-    bracket = F.aggregate(
-        usable,
-        F.struct(empty.alias("a"), empty.alias("b")),
-        lambda acc, s: F.when(s["d"] <= at, F.struct(s.alias("a"), acc["b"].alias("b"))).otherwise(
-            F.struct(acc["a"].alias("a"), F.when(acc["b"]["d"].isNull(), s).otherwise(acc["b"]).alias("b"))
-        ),
-    )
-    a, b = bracket["a"], bracket["b"]
+    target_w = log10_widths(grid) if scale else [1.0] * len(grid)
+    density = density_log10(x, semantics, array_lit(widths) if widths is not None else None) if scale else x
+    axis = array_lit(ln_d)
+    targets = []
+    for g, w in zip(grid, target_w):
+        i = max(j for j, d in enumerate(diameters) if d <= g)
+        k = min(i + 1, len(diameters) - 1)
+        share = (math.log(g) - ln_d[i]) / (ln_d[k] - ln_d[i]) if k > i else 0.0
+        targets.append(
+            F.struct(
+                F.lit(i).alias("i"), F.lit(k).alias("k"), F.lit(share).alias("t"), F.lit(math.log(g)).alias("at"), F.lit(w).alias("w")
+            )
+        )
+
+    def usable(v: Column) -> Column:
+        return F.coalesce(v >= 0, F.lit(False))
+
+    def mapped(row: Column) -> Column:
+        def point(g: Column) -> Column:
+            a, b = F.get(row, g["i"]), F.get(row, g["k"])
+            near = F.when(usable(a) & usable(b), a + (b - a) * g["t"]).otherwise(
+                _nearest(row, axis, g["i"], g["at"], len(diameters))
+            )
+            return near * g["w"]
+
+        return F.transform(F.array(*targets), point)
+
+    low = sum(1 for d in diameters if d <= grid[0])
+    high = sum(1 for d in diameters if d >= grid[-1])
+    spans = F.exists(F.slice(x, 1, low), usable) & F.exists(F.slice(x, len(diameters) - high + 1, high), usable)
+    plain = semantics == "dndlog10dp" or not scale
+    # a one-element array binds a derived density once instead of once per grid point
+    value = mapped(density) if plain else F.get(F.transform(F.array(density), mapped), F.lit(0))
+    return F.when(F.coalesce(spans, F.lit(False)), value)
+
+
+def _nearest(row: Column, axis: Column, i: Column, at: Column, n: int) -> Column:
+    """Linear between the last usable channel at or below the point and the first one above it."""
+
+    def side(start: Column, length: Column) -> Column:
+        part = F.zip_with(F.slice(row, start, length), F.slice(axis, start, length), lambda v, d: F.struct(d.alias("d"), v.alias("v")))
+        return F.filter(part, lambda s: F.coalesce(s["v"] >= 0, F.lit(False)))
+
+    a = F.try_element_at(side(F.lit(1), i + 1), F.lit(-1))
+    b = F.try_element_at(side(i + 2, F.lit(n)), F.lit(1))
     return F.when(b["d"].isNull() | (a["d"] == at), a["v"]).otherwise(
         a["v"] + (b["v"] - a["v"]) * (at - a["d"]) / (b["d"] - a["d"])
     )

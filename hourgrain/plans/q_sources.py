@@ -137,14 +137,14 @@ def weather_minutes(t: Tables):
 
 @query(
     "src07_expected_days",
-    """SELECT event_type AS site, d::DATE AS day FROM (SELECT DISTINCT event_type FROM events),
+    """SELECT event_type AS site, strftime(d, '%Y-%m-%d') AS day FROM (SELECT DISTINCT event_type FROM events),
       (SELECT unnest(generate_series(TIMESTAMP '2023-12-30', TIMESTAMP '2024-02-03', INTERVAL 1 DAY)) AS d)
     WHERE (event_type, d::DATE) NOT IN (SELECT (event_type, ts::DATE) FROM events WHERE event_id % 50 <> 0 AND day(ts) <> 9)""",
 )
 def expected_days(t: Tables):
     e = t.read("events").where((F.col("event_id") % 50 != 0) & (F.dayofmonth("ts") != 9))
     e = e.select(F.col("event_type").alias("site"), "ts")
-    return weather.missing_days(e, "site", "ts", "2023-12-30", "2024-02-03")
+    return weather.missing_days(e, "site", "ts", "2023-12-30", "2024-02-03").withColumn("day", F.col("day").cast("string"))
 
 
 @query("src08_file_inventory")
