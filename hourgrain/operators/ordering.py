@@ -44,7 +44,7 @@ def _narrow(rows: DataFrame, wanted: DataFrame, keys: list[str], n: int, level:
     """Replace each wanted rank by (bucket, rank inside the bucket) and drop all other rows."""
     bounds = rows.groupBy(*keys).agg(F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
     cut = join_groups(rows, bounds, keys).withColumn(level, _bucket(F.col("__v"), F.col("__lo"), F.col("__hi"), n))
-    cells = cut.groupBy(*keys, level).agg(F.count("*").alias("__n"))
+    cells = cut.groupBy(*keys, level).agg(F.sum("__w").alias("__n"))
     upto = W.partitionBy(*keys).orderBy(level).rowsBetween(W.unboundedPreceding, W.currentRow)
     cells = cells.withColumn("__end", F.sum("__n").over(upto)).withColumn("__start", F.col("__end") - F.col("__n"))
     hit = (
@@ -54,11 +54,11 @@ def _narrow(rows: DataFrame, wanted: DataFrame, keys: list[str], n: int, level:
         .select(*keys, level, *[c for c in wanted.columns if c not in keys])
     )
     kept = join_groups(cut, hit.select(*keys, level).distinct(), [*keys, level], "left_semi")
-    return kept.select(*keys, level, "__v"), hit
+    return kept.select(*keys, level, "__v", "__w"), hit
 
 
 def value_at_rank(rows: DataFrame, keys: Sequence[str], wanted: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """``rows(keys, __v)`` and ``wanted(keys, __rank 0-based, ...)`` -> wanted plus ``__value``.
+    """``rows(keys, __v, __w copies)`` and ``wanted(keys, __rank 0-based, ...)`` -> wanted plus ``__value``.
 
     Two narrowing passes leave about 1/buckets**2 of a group; copies of a value are one counted row.
     """
@@ -66,7 +66,7 @@ def value_at_rank(rows: DataFrame, keys: Sequence[str], wanted: DataFrame, bucke
     rows, wanted = _narrow(rows, wanted, keys, buckets, "__b1")
     rows, wanted = _narrow(rows, wanted, [*keys, "__b1"], buckets, "__b2")
     cell = [*keys, "__b1", "__b2"]
-    values = rows.groupBy(*cell, "__v").agg(F.count("*").alias("__n"))
+    values = rows.groupBy(*cell, "__v").agg(F.sum("__w").alias("__n"))
     upto = W.partitionBy(*cell).orderBy("__v").rowsBetween(W.unboundedPreceding, W.currentRow)
     values = values.withColumn("__end", F.sum("__n").over(upto))
     return (
@@ -84,15 +84,18 @@ def quantiles(
     extra: dict[str, Column] | None = None,
     bounded: bool = False,
     rows_per_task: int = ROWS_PER_TASK,
+    copies: str | None = None,
 ) -> DataFrame:
     """Linear-interpolated quantiles per group: ``{output: (value, q)}``; NULL values are ignored.
 
     ``extra`` holds plain aggregates computed in the same grouping. ``bounded=True`` states that a
-    group's size is limited by a parameter (for example the number of resampling draws).
+    group's size is limited by a parameter (for example the number of resampling draws). ``copies``
+    names a bigint column that says how often each row counts.
     """
     keys, extra = list(keys), extra or {}
     if bounded or largest_group(df, keys) <= rows_per_task:
-        aggs = [F.percentile(v.cast("double"), F.lit(q)).alias(n) for n, (v, q) in wanted.items()]
+        times = F.lit(1) if copies is None else F.col(copies)
+        aggs = [F.percentile(v.cast("double"), F.lit(q), times).alias(n) for n, (v, q) in wanted.items()]
         aggs += [a.alias(n) for n, a in extra.items()]
         return df.groupBy(*keys).agg(*aggs) if keys else df.agg(*aggs)
     base = df.groupBy(*keys).agg(F.count("*").alias("__rows"), *[a.alias(n) for n, a in extra.items()])
@@ -100,13 +103,13 @@ def quantiles(
         F.array(*[F.struct(F.lit(n).alias("m"), v.cast("double").alias("v")) for n, (v, _) in wanted.items()])
     )
     rows = (
-        df.select(*keys, melted.alias("s"))
+        df.select(*keys, (F.lit(1) if copies is None else F.col(copies)).cast("bigint").alias("__w"), melted.alias("s"))
         .where(F.col("s.v").isNotNull())
-        .select(*keys, F.col("s.m").alias("__m"), F.col("s.v").alias("__v"))
+        .select(*keys, "__w", F.col("s.m").alias("__m"), F.col("s.v").alias("__v"))
     )
     q = F.create_map(*[F.lit(x) for n, (_, f) in wanted.items() for x in (n, float(f))])
     position = (
-        rows.groupBy(*keys, "__m").agg(F.count("*").alias("__n"))
+        rows.groupBy(*keys, "__m").agg(F.sum("__w").alias("__n"))
         .withColumn("__pos", q[F.col("__m")] * (F.col("__n") - 1))
         .withColumn("__rank", F.explode(F.array_distinct(F.array(F.floor("__pos"), F.ceil("__pos")))))
         .withColumn("__side", F.col("__rank"))
@@ -121,43 +124,64 @@ def quantiles(
     return join_groups(base, wide, keys, "left").select(*keys, *wanted, *extra)
 
 
-def top_rows(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[tuple[str, bool]],
-    size: Column,
-    rows_per_task: int = ROWS_PER_TASK,
+def _sort_key(order: Sequence[tuple[str, bool]]) -> Column:
+    """Struct that ascends in the wanted order; structs compare field by field."""
+    return F.struct(
+        *[(-F.col(c).cast("double") if d else F.col(c).cast("double")).alias(f"k{i}") for i, (c, d) in enumerate(order)]
+    )
+
+
+def kth_key(
+    df: DataFrame, keys: Sequence[str], order: Sequence[tuple[str, bool]], size: Column, rows_per_task: int = ROWS_PER_TASK
 ) -> DataFrame:
-    """The first ``size`` rows of each group under ``order`` = [(numeric column, descending)].
+    """Sort key (``__kth``) of the last row a top-``size`` selection takes from each group.
 
-    ``size`` is an expression over the group's row count ``n``. The order must end in a unique key,
-    as a stable sort of the reference rows does. Beyond ``rows_per_task`` the k-th row's sort key is
-    located column by column and the table is filtered by it, so no group is ever sorted.
+    ``order`` is [(numeric column, descending)] and must end in a unique key, as a stable sort of
+    the rows in their stored order does; ``size`` is an expression over the group's row count ``n``.
+    Beyond ``rows_per_task`` the key is located column by column with bucket counts.
     """
     keys = list(keys)
+    sizes = df.groupBy(*keys).agg(F.count("*").alias("n")) if keys else df.agg(F.count("*").alias("n"))
     if largest_group(df, keys) <= rows_per_task:
-        by = [F.desc(c) if d else F.asc(c) for c, d in order]
-        counts = df.groupBy(*keys).agg(F.count("*").alias("n")).withColumn("__k", size).drop("n")
-        ranked = df.withColumn("__rn", F.row_number().over(W.partitionBy(*keys).orderBy(*by)))
-        return join_groups(ranked, counts, keys).where("__rn <= __k").drop("__rn", "__k")
-    left = df
-    found = df.groupBy(*keys).agg(F.count("*").alias("n")).withColumn("__rank", size - 1).drop("n")
-    cond, ties = F.lit(False), F.lit(True)
-    for i, (c, descending) in enumerate(order):
-        signed = -F.col(c).cast("double") if descending else F.col(c).cast("double")
-        rows = left.select(*keys, signed.alias("__v"))
+        counts = sizes.withColumn("__k", size).drop("n")
+        ranked = df.select(*keys, _sort_key(order).alias("__kth"))
+        ranked = ranked.withColumn("__rn", F.row_number().over(W.partitionBy(*keys).orderBy("__kth")))
+        return join_groups(ranked, counts, keys).where("__rn = __k").drop("__rn", "__k")
+    left = df.select(*keys, _sort_key(order).alias("__key"))
+    found = sizes.withColumn("__rank", size - 1).drop("n")
+    for i in range(len(order)):
+        rows = left.select(*keys, F.col(f"__key.k{i}").alias("__v"), F.lit(1).cast("bigint").alias("__w"))
         bound = value_at_rank(rows, keys, found.withColumn("__want", F.col("__rank")))
         bound = bound.withColumnRenamed("__value", f"__t{i}").withColumnRenamed("__want", "__rank")
-        marked = join_groups(left, bound, keys)
-        better = marked.groupBy(*keys).agg(
-            F.sum(F.when(signed < F.col(f"__t{i}"), 1).otherwise(0)).alias("__better")
-        )
-        left = marked.where(signed == F.col(f"__t{i}")).drop("__rank", f"__t{i}")
+        marked = join_groups(left, bound.select(*keys, f"__t{i}"), keys)
+        better = marked.groupBy(*keys).agg(F.count_if(F.col(f"__key.k{i}") < F.col(f"__t{i}")).alias("__better"))
+        left = marked.where(F.col(f"__key.k{i}") == F.col(f"__t{i}")).drop(f"__t{i}")
         found = join_groups(bound, better, keys).withColumn("__rank", F.col("__rank") - F.col("__better")).drop("__better")
-        cond = cond | (ties & (signed < F.col(f"__t{i}")))
-        ties = ties & (signed == F.col(f"__t{i}"))
-    bounds = found.drop("__rank")
-    return join_groups(df, bounds, keys).where(cond | ties).drop(*[f"__t{i}" for i in range(len(order))])
+    return found.select(*keys, F.struct(*[F.col(f"__t{i}").alias(f"k{i}") for i in range(len(order))]).alias("__kth"))
+
+
+def flag_top(
+    df: DataFrame, keys: Sequence[str], orders: dict[str, Sequence[tuple[str, bool]]], size: Column,
+    rows_per_task: int = ROWS_PER_TASK,
+) -> DataFrame:
+    """Add one boolean per named order: is the row among the group's first ``size`` rows?
+
+    Rows are compared with the group's k-th sort key, so no ranks are attached to rows.
+    """
+    out = df
+    for name, order in orders.items():
+        kth = kth_key(df, keys, order, size, rows_per_task)
+        out = join_groups(out, kth, keys, "left").withColumn(
+            name, F.coalesce(_sort_key(order) <= F.col("__kth"), F.lit(False))
+        ).drop("__kth")
+    return out
+
+
+def top_rows(
+    df: DataFrame, keys: Sequence[str], order: Sequence[tuple[str, bool]], size: Column, rows_per_task: int = ROWS_PER_TASK
+) -> DataFrame:
+    """The first ``size`` rows of each group under ``order``."""
+    return flag_top(df, keys, {"__top": order}, size, rows_per_task).where("__top").drop("__top")
 
 
 def running_totals(
