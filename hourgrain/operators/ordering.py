@@ -14,7 +14,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-ROWS_PER_TASK = 5_000_000
+ROWS_PER_TASK = 1_000_000
 BUCKETS = 1024
 
 

@@ -22,8 +22,8 @@ CTES["origins"] = (("blocks", "hspec"), """SELECT b.*, lead_h, b.block_start - t
     CASE WHEN h.total > 0 THEN h.total END AS total, CASE WHEN h.total > 0 THEN h.f82 END AS f82, CASE WHEN h.total > 0 THEN h.n82 END AS n82
     FROM (SELECT *, unnest([1, 3, 6]) AS lead_h FROM blocks) b LEFT JOIN hspec h ON h.timestamp = b.block_start - to_hours(lead_h)""")
 # chronological cuts of the block calendar: outer test boundary and calibration cut per site
-CTES["outer_cut"] = (("blocks",), """SELECT site, list_sort(list(DISTINCT date_trunc('day', block_start)))[floor(0.8::DOUBLE * count(DISTINCT date_trunc('day', block_start)))::INT + 1]::TIMESTAMP
-    AS outer_cut FROM blocks WHERE n_valid >= 4 GROUP BY site""")
+CTES["outer_cut"] = (("origins",), """SELECT site, list_sort(list(DISTINCT date_trunc('day', block_start)))[floor(0.8::DOUBLE * count(DISTINCT date_trunc('day', block_start)))::INT + 1]::TIMESTAMP
+    AS outer_cut FROM origins WHERE n_valid >= 4 AND origin_valid GROUP BY site""")
 CTES["cuts"] = (("origins", "outer_cut"), """SELECT site, any_value(outer_cut) AS outer_cut, list_sort(list(DISTINCT d))[floor(0.8::DOUBLE * count(DISTINCT d))::INT + 1]::TIMESTAMP AS cal_cut FROM
     (SELECT o.site, date_trunc('day', block_start) AS d, any_value(outer_cut) AS outer_cut FROM origins o JOIN outer_cut USING (site)
      WHERE n_valid >= 4 AND block_end <= outer_cut GROUP BY o.site, block_start HAVING count(*) FILTER (WHERE origin_valid) = 3) GROUP BY site""")
@@ -57,7 +57,7 @@ def origins(t: Tables, leads=(1, 3, 6)):
 def cuts(t: Tables, o=None):
     """Outer test boundary and calibration cut per site, both from dates before the test period."""
     o = origins(t) if o is None else o
-    outer = C.date_fraction_cut(blocks(t).where("n_valid >= 4"), "site", "block_start", 0.8, "outer_cut").drop("n_days")
+    outer = C.date_fraction_cut(o.where("n_valid >= 4 AND origin_valid"), "site", "block_start", 0.8, "outer_cut").drop("n_days")
     pre = o.join(outer, "site").where("n_valid >= 4 AND block_end <= outer_cut").withColumn("eligible", F.col("origin_valid"))
     common = C.common_origins(pre, ["site", "block_start"], (1, 3, 6))
     return C.date_fraction_cut(common, "site", "block_start", 0.8, "cal_cut").drop("n_days").join(outer, "site")
@@ -208,15 +208,15 @@ def lead_rows(t: Tables, leads=tuple(range(1, 25))):
     """Hours with a spectrum and the future target at each lead, with eligibility and the cut."""
     h = t.hourly_spectra().where("total > 0").select("timestamp", "total", "n82", "f82")
     hours = t.hourly().select("site", "timestamp", F.col("target").alias("now"), F.col("instrument_ok").alias("now_ok"))
-    cut = C.date_fraction_cut(t.good_hourly(), "site", "timestamp", 0.7).drop("n_days")
+    cut = C.date_fraction_cut(t.observations(), "site", "timestamp", 0.7).drop("n_days")
     e = A.exact_lead(hours.join(h, "timestamp"), t.hourly(), "site", leads, {"target": "future", "instrument_ok": "future_ok"})
     e = e.withColumn("eligible", S.usable_value(F.col("future")) & S.known_true(F.col("future_ok"))).join(cut, "site")
     fit, test = C.hourly_split(F.col("timestamp"), F.col("lead_h"), F.col("eligible"), F.col("cut"))
     return e.withColumn("fit", fit).withColumn("test", test)
 
 
-CTES["hcut"] = (("good",), """SELECT site, list_sort(list(DISTINCT date_trunc('day', timestamp)))[floor(0.7::DOUBLE * count(DISTINCT date_trunc('day', timestamp)))::INT + 1]::TIMESTAMP AS cut
-    FROM good GROUP BY site""")
+CTES["hcut"] = (("obs",), """SELECT site, list_sort(list(DISTINCT date_trunc('day', timestamp)))[floor(0.7::DOUBLE * count(DISTINCT date_trunc('day', timestamp)))::INT + 1]::TIMESTAMP AS cut
+    FROM obs GROUP BY site""")
 CTES["leads"] = (("hourly", "hspec", "hcut"), """SELECT *, eligible AND timestamp + to_hours(lead_h) < cut AS fit, eligible AND timestamp >= cut AS test FROM
     (SELECT a.site, a.timestamp, a.lead_h, a.target AS now, a.instrument_ok AS now_ok, h.total, h.n82, h.f82, f.target AS future,
      coalesce(f.target >= 0, false) AND coalesce(f.instrument_ok, false) AS eligible, c.cut
@@ -389,7 +389,7 @@ def matched_rows(t: Tables):
       s="SELECT timestamp, count(v) >= 63 AS ok FROM cells GROUP BY timestamp"),
 )
 def complete_cohort(t: Tables):
-    cut = C.date_fraction_cut(t.good_hourly(), "site", "timestamp", 0.7).drop("n_days")
+    cut = C.date_fraction_cut(t.observations(), "site", "timestamp", 0.7).drop("n_days")
     now = t.hourly().join(cut, "site").select("site", "timestamp", "target", F.col("instrument_ok").alias("target_ok"), F.lit(True).alias("spectrum_ok"), "cut")
     sites = F.array(*[F.lit(s) for s in ("click", "error", "purchase", "signup", "view")])
     ok = F.size(F.filter("density", lambda v: v.isNotNull())) >= 63
@@ -513,8 +513,9 @@ def physical_bridge(t: Tables):
     "agg06_stratified_contrast",
     sql("leads", """SELECT site, count(*) FILTER (WHERE fit AND mid) AS n_fit_middle, count(*) FILTER (WHERE test AND mid) AS n_test_middle, count(*) FILTER (WHERE g = 'low') AS n_test_low,
       count(*) FILTER (WHERE g = 'high') AS n_test_high, CASE WHEN least(count(*) FILTER (WHERE g = 'low'), count(*) FILTER (WHERE g = 'high')) >= 5 THEN 'contrast' ELSE 'insufficient_test_groups' END AS status,
-      round(median(total) FILTER (WHERE g = 'low'), 6) AS n_low_median, round(median(future) FILTER (WHERE g = 'high') - median(future) FILTER (WHERE g = 'low'), 6) AS outcome_difference,
-      round(median(future) FILTER (WHERE g = 'high') / median(future) FILTER (WHERE g = 'low'), 6) AS outcome_ratio
+      CASE WHEN least(count(*) FILTER (WHERE g = 'low'), count(*) FILTER (WHERE g = 'high')) >= 5 THEN round(median(total) FILTER (WHERE g = 'low'), 6) END AS n_low_median,
+      CASE WHEN least(count(*) FILTER (WHERE g = 'low'), count(*) FILTER (WHERE g = 'high')) >= 5 THEN round(median(future) FILTER (WHERE g = 'high') - median(future) FILTER (WHERE g = 'low'), 6) END AS outcome_difference,
+      CASE WHEN least(count(*) FILTER (WHERE g = 'low'), count(*) FILTER (WHERE g = 'high')) >= 5 THEN round(median(future) FILTER (WHERE g = 'high') / median(future) FILTER (WHERE g = 'low'), 6) END AS outcome_ratio
       FROM (SELECT *, CASE WHEN test AND mid AND f82 >= f75 THEN 'high' WHEN test AND mid AND f82 <= f25 THEN 'low' END AS g FROM m JOIN c USING (site)) GROUP BY site""",
       l3="SELECT * FROM leads WHERE lead_h = 3",
       m="""SELECT l3.*, total BETWEEN q30 AND q70 AS mid FROM l3 JOIN (SELECT site, quantile_cont(total, 0.3) AS q30, quantile_cont(total, 0.7) AS q70 FROM l3 WHERE fit GROUP BY site) USING (site)""",
