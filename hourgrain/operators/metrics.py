@@ -121,9 +121,8 @@ def paired_probability_gain(df: DataFrame, keys: Sequence[str], event: str, p0:
         F.sum(F.when(F.col("in_base"), e).otherwise(0)).cast("bigint").alias("hits_base"),
         F.sum(F.when(F.col("in_added"), e).otherwise(0)).cast("bigint").alias("hits_added"),
     )
-    ap = average_precision(melt(df, [*keys, event], {"base": p0, "added": p1}), [*keys, "model"], event, "p")
-    ap = ap.groupBy(*keys).agg(
-        (F.max(F.when(F.col("model") == "added", F.col("average_precision"))) - F.max(F.when(F.col("model") == "base", F.col("average_precision")))).alias("ap_gain")
-    )
+    ap = average_precision(melt(df, [*keys, event], {"base": p0, "added": p1}, "__side", "__p"), [*keys, "__side"], event, "__p")
+    of = lambda side: F.max(F.when(F.col("__side") == side, F.col("average_precision")))
+    ap = ap.groupBy(*keys).agg((of("added") - of("base")).alias("ap_gain"))
     out = O.join_groups(gain, ap, keys, "left").withColumn("additional_hits", F.col("hits_added") - F.col("hits_base"))
     return out.withColumn("precision_gain", F.col("additional_hits") / F.col("selected"))

@@ -158,10 +158,10 @@ def precision_gain_draws(df: DataFrame, keys: Sequence[str], block: str, event:
     """Per draw and budget: precision of the added minus the base model, both re-ranked in the draw."""
     from hourgrain.operators.ranking import melt
 
-    long = melt(df, [*keys, block, event, *ties], {"base": p0, "added": p1})
+    long = melt(df, [*keys, block, event, *ties], {"base": p0, "added": p1}, "__side", "__p")
     taken = draw_blocks(df, keys, block, draws, seed)
-    cut = resampled_cut(long, [*keys, "model"], keys, taken, block, "p", event, ties, fractions, buckets)
-    signed = F.when(F.col("model") == "added", F.col("hits")).otherwise(-F.col("hits")) / F.col("k")
+    cut = resampled_cut(long, [*keys, "__side"], keys, taken, block, "__p", event, ties, fractions, buckets)
+    signed = F.when(F.col("__side") == "added", F.col("hits")).otherwise(-F.col("hits")) / F.col("k")
     return cut.groupBy(*keys, "draw", "fraction").agg(F.sum(signed).alias("precision_gain"))
 
 
@@ -190,16 +190,16 @@ def budget_interval(df: DataFrame, keys: Sequence[str], block: str, event: str,
     from hourgrain.operators.ranking import melt
 
     keys = list(keys)
-    long = melt(df, [*keys, block, event, value, *ties], {"base": p0, "added": p1})
-    by = [*keys, "model"]
+    long = melt(df, [*keys, block, event, value, *ties], {"base": p0, "added": p1}, "__side", "__p")
+    by = [*keys, "__side"]
     taken = draw_blocks(df, keys, block, draws, seed)
-    cut = resampled_cut(long, by, keys, taken, block, "p", event, ties, fractions, buckets)
+    cut = resampled_cut(long, by, keys, taken, block, "__p", event, ties, fractions, buckets)
     floor_p = cut.groupBy(*by).agg(F.min(-F.col("cut.p")).alias("__least"))
-    able = O.join_groups(long, floor_p, by).where(F.col("p") >= F.col("__least")).drop("__least")
+    able = O.join_groups(long, floor_p, by).where(F.col("__p") >= F.col("__least")).drop("__least")
     inst = sampled_rows(able, keys, taken, block).join(cut.select(*by, "draw", "fraction", "cut"), [*by, "draw"])
-    chosen = inst.where(draw_order("p", "slot", ties) <= F.col("cut")).select(*by, "draw", "fraction", value)
+    chosen = inst.where(draw_order("__p", "slot", ties) <= F.col("cut")).select(*by, "draw", "fraction", value)
     med = O.quantiles(chosen, [*by, "draw", "fraction"], {"__v": (F.col(value), 0.5)})
-    sign = F.when(F.col("model") == "added", 1.0).otherwise(-1.0)
+    sign = F.when(F.col("__side") == "added", 1.0).otherwise(-1.0)
     gain = cut.join(med, [*by, "draw", "fraction"]).groupBy(*keys, "draw", "fraction").agg(
         F.sum(sign * F.col("hits") / F.col("k")).alias("precision_gain"), F.sum(sign * F.col("__v")).alias("median_gain")
     )

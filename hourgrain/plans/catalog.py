@@ -2,6 +2,6 @@
 
 from hourgrain.plans.registry import ORACLES, QUERIES
 
-from hourgrain.plans import q_columns, q_sources, q_quality, q_spectra, q_align, q_scores, q_models  # noqa: F401
+from hourgrain.plans import q_columns, q_sources, q_quality, q_spectra, q_align, q_scores, q_models, q_studies  # noqa: F401
 
 __all__ = ["QUERIES", "ORACLES"]
