@@ -14,6 +14,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from hourgrain.session import cut_lineage
+
 ROWS_PER_TASK = 1_000_000
 BUCKETS = 1024
 
@@ -41,13 +43,17 @@ def _bucket(v: Column, lo: Column, hi: Column, n: int) -> Column:
 
 
 def _narrow(rows: DataFrame, wanted: DataFrame, keys: list[str], n: int, level: str) -> tuple[DataFrame, DataFrame]:
-    """Replace each wanted rank by (bucket, rank inside the bucket) and drop all other rows."""
-    bounds = rows.groupBy(*keys).agg(F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
+    """Replace each wanted rank by (bucket, rank inside the bucket) and drop all other rows.
+
+    Bounds and hits have one row per group and rank; both are stored, so that the next pass reads
+    the rows through two small joins instead of through all earlier passes.
+    """
+    bounds = cut_lineage(rows.groupBy(*keys).agg(F.min("__v").alias("__lo"), F.max("__v").alias("__hi")))
     cut = join_groups(rows, bounds, keys).withColumn(level, _bucket(F.col("__v"), F.col("__lo"), F.col("__hi"), n))
     cells = cut.groupBy(*keys, level).agg(F.sum("__w").alias("__n"))
     upto = W.partitionBy(*keys).orderBy(level).rowsBetween(W.unboundedPreceding, W.currentRow)
     cells = cells.withColumn("__end", F.sum("__n").over(upto)).withColumn("__start", F.col("__end") - F.col("__n"))
-    hit = (
+    hit = cut_lineage(
         join_groups(wanted, cells, keys)
         .where((F.col("__rank") >= F.col("__start")) & (F.col("__rank") < F.col("__end")))
         .withColumn("__rank", F.col("__rank") - F.col("__start"))
@@ -147,16 +153,24 @@ def kth_key(
         ranked = df.select(*keys, _sort_key(order).alias("__kth"))
         ranked = ranked.withColumn("__rn", F.row_number().over(W.partitionBy(*keys).orderBy("__kth")))
         return join_groups(ranked, counts, keys).where("__rn = __k").drop("__rn", "__k")
-    left = df.select(*keys, _sort_key(order).alias("__key"))
-    found = sizes.withColumn("__rank", size - 1).drop("n")
+    ordered = df.select(*keys, _sort_key(order).alias("__key"))
+    found = cut_lineage(sizes.withColumn("__rank", size - 1).drop("n"))
     for i in range(len(order)):
-        rows = left.select(*keys, F.col(f"__key.k{i}").alias("__v"), F.lit(1).cast("bigint").alias("__w"))
-        bound = value_at_rank(rows, keys, found.withColumn("__want", F.col("__rank")))
-        bound = bound.withColumnRenamed("__value", f"__t{i}").withColumnRenamed("__want", "__rank")
-        marked = join_groups(left, bound.select(*keys, f"__t{i}"), keys)
-        better = marked.groupBy(*keys).agg(F.count_if(F.col(f"__key.k{i}") < F.col(f"__t{i}")).alias("__better"))
-        left = marked.where(F.col(f"__key.k{i}") == F.col(f"__t{i}")).drop(f"__t{i}")
-        found = join_groups(bound, better, keys).withColumn("__rank", F.col("__rank") - F.col("__better")).drop("__better")
+        # rows that tie with the k-th key on all earlier columns
+        left = join_groups(ordered, found.drop("__rank"), keys)
+        for j in range(i):
+            left = left.where(F.col(f"__key.k{j}") == F.col(f"__t{j}"))
+        value = F.col(f"__key.k{i}")
+        rows = left.select(*keys, value.alias("__v"), F.lit(1).cast("bigint").alias("__w"))
+        bound = cut_lineage(
+            value_at_rank(rows, keys, found.withColumn("__want", F.col("__rank")))
+            .withColumnRenamed("__value", f"__t{i}").withColumnRenamed("__want", "__rank")
+        )
+        better = join_groups(left.select(*keys, value.alias("__v")), bound.select(*keys, f"__t{i}"), keys)
+        better = better.groupBy(*keys).agg(F.count_if(F.col("__v") < F.col(f"__t{i}")).alias("__better"))
+        found = cut_lineage(
+            join_groups(bound, better, keys).withColumn("__rank", F.col("__rank") - F.col("__better")).drop("__better")
+        )
     return found.select(*keys, F.struct(*[F.col(f"__t{i}").alias(f"k{i}") for i in range(len(order))]).alias("__kth"))
 
 
