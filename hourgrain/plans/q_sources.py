@@ -149,7 +149,7 @@ def expected_days(t: Tables):
 
 @query("src08_file_inventory")
 def file_inventory(t: Tables):
-    now = files.inventory(t.spark, t.dir)
+    now = files.inventory(t.spark, f"{t.dir}/*.parquet")
     recorded = now.where("name <> 'region.parquet'").withColumn(
         "size_bytes", F.col("size_bytes") + F.when(F.col("name") == "events.parquet", 1).otherwise(0)
     )

@@ -7,12 +7,17 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
-def inventory(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """Name and size of every file. The content column is pruned, so no file is opened."""
-    files = spark.read.format("binaryFile").load(path if isinstance(path, str) else list(path))
-    return files.select(
-        F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size_bytes")
-    )
+def inventory(spark: SparkSession, pattern: str) -> DataFrame:
+    """Name and size of every file a path pattern matches, empty files included.
+
+    Only the file listing is read, which is what the driver holds for any scan of the same folder;
+    Spark's file sources would skip files without bytes.
+    """
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(conf).globStatus(path) or []
+    rows = [(f.getPath().getName(), f.getLen()) for f in found if f.isFile()]
+    return spark.createDataFrame(rows, "name string, size_bytes bigint")
 
 
 def inventory_changes(now: DataFrame, recorded: DataFrame) -> DataFrame:

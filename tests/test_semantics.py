@@ -95,7 +95,7 @@ def test_within_month_selection_and_stable_top(spark):
 def test_file_inventory(spark, tmp_path):
     (tmp_path / "input.txt").write_text("")
     (tmp_path / "more.txt").write_text("abc")
-    now = files.inventory(spark, str(tmp_path))
+    now = files.inventory(spark, f"{tmp_path}/*")
     assert {(r.name, r.size_bytes) for r in now.collect()} == {("input.txt", 0), ("more.txt", 3)}
     old = spark.createDataFrame([("input.txt", 0), ("more.txt", 4), ("gone.txt", 1)], "name string, size_bytes bigint")
     assert {r.name: r.state for r in files.inventory_changes(now, old).collect()} == {"input.txt": "same", "more.txt": "resized", "gone.txt": "removed"}
