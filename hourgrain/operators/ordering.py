@@ -137,24 +137,31 @@ def _sort_key(order: Sequence[tuple[str, bool]]) -> Column:
     )
 
 
-def kth_key(
-    df: DataFrame, keys: Sequence[str], order: Sequence[tuple[str, bool]], size: Column, rows_per_task: int = ROWS_PER_TASK
+def kth_keys(
+    df: DataFrame, keys: Sequence[str], order: Sequence[tuple[str, bool]], sizes: dict[str, Column], rows_per_task: int = ROWS_PER_TASK
 ) -> DataFrame:
-    """Sort key (``__kth``) of the last row a top-``size`` selection takes from each group.
+    """Sort key of the last row that each named top selection takes from each group.
 
     ``order`` is [(numeric column, descending)] and must end in a unique key, as a stable sort of
-    the rows in their stored order does; ``size`` is an expression over the group's row count ``n``.
-    Beyond ``rows_per_task`` the key is located column by column with bucket counts.
+    the rows in their stored order does; ``sizes`` are expressions over the group's row count ``n``.
+    Small groups are ranked once for all sizes. Beyond ``rows_per_task`` each key is located column
+    by column with bucket counts.
     """
     keys = list(keys)
-    sizes = df.groupBy(*keys).agg(F.count("*").alias("n")) if keys else df.agg(F.count("*").alias("n"))
+    counts = df.groupBy(*keys).agg(F.count("*").alias("n")) if keys else df.agg(F.count("*").alias("n"))
     if largest_group(df, keys) <= rows_per_task:
-        counts = sizes.withColumn("__k", size).drop("n")
-        ranked = df.select(*keys, _sort_key(order).alias("__kth"))
-        ranked = ranked.withColumn("__rn", F.row_number().over(W.partitionBy(*keys).orderBy("__kth")))
-        return join_groups(ranked, counts, keys).where("__rn = __k").drop("__rn", "__k")
+        wanted = counts.select(*keys, *[c.alias(f"__k_{n}") for n, c in sizes.items()])
+        by = [F.desc(c) if d else F.asc(c) for c, d in order]
+        ranked = df.select(*keys, *[c for c, _ in order], F.row_number().over(W.partitionBy(*keys).orderBy(*by)).alias("__rn"))
+        hit = join_groups(ranked, wanted, keys).where(reduce(lambda a, b: a | b, [F.col("__rn") == F.col(f"__k_{n}") for n in sizes]))
+        return hit.groupBy(*keys).agg(*[F.max(F.when(F.col("__rn") == F.col(f"__k_{n}"), _sort_key(order))).alias(n) for n in sizes])
+    parts = [_kth_by_narrowing(df, counts, keys, order, c).withColumnRenamed("__kth", n) for n, c in sizes.items()]
+    return reduce(lambda a, b: join_groups(a, b, keys), parts)
+
+
+def _kth_by_narrowing(df: DataFrame, counts: DataFrame, keys: list[str], order: Sequence[tuple[str, bool]], size: Column) -> DataFrame:
     ordered = df.select(*keys, _sort_key(order).alias("__key"))
-    found = cut_lineage(sizes.withColumn("__rank", size - 1).drop("n"))
+    found = cut_lineage(counts.withColumn("__rank", size - 1).drop("n"))
     for i in range(len(order)):
         # rows that tie with the k-th key on all earlier columns
         left = join_groups(ordered, found.drop("__rank"), keys)
@@ -175,19 +182,22 @@ def kth_key(
 
 
 def flag_top(
-    df: DataFrame, keys: Sequence[str], orders: dict[str, Sequence[tuple[str, bool]]], size: Column,
+    df: DataFrame, keys: Sequence[str], orders: dict[str, Sequence[tuple[str, bool]]], sizes: Column | dict[str, Column],
     rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
-    """Add one boolean per named order: is the row among the group's first ``size`` rows?
+    """Add one boolean per named order (and size): is the row among the group's first rows?
 
-    Rows are compared with the group's k-th sort key, so no ranks are attached to rows.
+    Rows are compared with the group's k-th sort key, so no ranks are attached to rows. With several
+    sizes the columns are called ``<order>_<size>``.
     """
+    named = sizes if isinstance(sizes, dict) else {"": sizes}
     out = df
     for name, order in orders.items():
-        kth = kth_key(df, keys, order, size, rows_per_task)
-        out = join_groups(out, kth, keys, "left").withColumn(
-            name, F.coalesce(_sort_key(order) <= F.col("__kth"), F.lit(False))
-        ).drop("__kth")
+        cols = {f"{name}_{n}" if n else name: c for n, c in named.items()}
+        kth = kth_keys(df, keys, order, {f"__kth_{n}": c for n, c in cols.items()}, rows_per_task)
+        out = join_groups(out, kth, keys, "left")
+        for n in cols:
+            out = out.withColumn(n, F.coalesce(_sort_key(order) <= F.col(f"__kth_{n}"), F.lit(False))).drop(f"__kth_{n}")
     return out
 
 

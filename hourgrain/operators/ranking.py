@@ -33,17 +33,24 @@ def select_top(df: DataFrame, keys: Sequence[str], p: str, ties: Sequence[str],
 def budget_table(df: DataFrame, keys: Sequence[str], p: str, event: str, value: str, ties: Sequence[str],
                  fractions: Sequence[float] = (0.05, 0.1, 0.2, 0.3), **kw) -> DataFrame:
     """Selected rows, hits, precision, recall and median value per budget."""
-    each = df.withColumn("fraction", F.explode(F.array(*[F.lit(float(f)) for f in fractions])))
-    by = [*keys, "fraction"]
-    marked = O.flag_top(each, by, {"__sel": order_by(p, ties)}, budget(F.col("fraction")), **kw)
-    out = O.quantiles(
-        marked, by, {"median_value": (F.when(F.col("__sel"), F.col(value)), 0.5)},
+    fs = list(fractions)
+    marked = O.flag_top(df, keys, {"__sel": order_by(p, ties)}, {str(i): budget(f) for i, f in enumerate(fs)}, **kw)
+    e = F.col(event).cast("bigint")
+    sel = [F.col(f"__sel_{i}") for i in range(len(fs))]
+    wide = O.quantiles(
+        marked, keys, {f"__v{i}": (F.when(s, F.col(value)), 0.5) for i, s in enumerate(sel)},
         {
-            "n_test": F.count("*"), "n_events": F.sum(F.col(event).cast("bigint")), "selected": F.count_if("__sel"),
-            "hits": F.sum(F.when(F.col("__sel"), F.col(event).cast("bigint")).otherwise(0)),
+            "n_test": F.count("*"), "n_events": F.sum(e),
+            **{f"__s{i}": F.count_if(s) for i, s in enumerate(sel)},
+            **{f"__h{i}": F.sum(F.when(s, e).otherwise(0)) for i, s in enumerate(sel)},
         },
         **kw,
     )
+    rows = F.explode(F.array(*[
+        F.struct(F.lit(float(f)).alias("fraction"), F.col(f"__s{i}").alias("selected"), F.col(f"__h{i}").alias("hits"), F.col(f"__v{i}").alias("median_value"))
+        for i, f in enumerate(fs)
+    ]))
+    out = wide.select(*keys, "n_test", "n_events", rows.alias("__r")).select(*keys, "n_test", "n_events", "__r.*")
     return out.withColumn("precision", F.col("hits") / F.col("selected")).withColumn(
         "recall", F.col("hits") / F.nullif(F.col("n_events"), F.lit(0))
     )
