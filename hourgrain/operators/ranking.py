@@ -76,7 +76,7 @@ def overlap_table(flagged: DataFrame, keys: Sequence[str], event: str, values: S
         rows, [*keys, "selection"], wanted, {"n": F.count("*"), "events": F.sum(F.col(event).cast("bigint"))}, **kw
     )
     parts = F.explode(F.array(*[F.lit(x) for x in ("both", "base_only", "added_only", "neither")]))
-    frame = (have.select(*keys).distinct() if keys else have.limit(1).select()).withColumn("selection", parts)
+    frame = have.select(*keys).distinct().withColumn("selection", parts)
     out = O.join_groups(frame, have, [*keys, "selection"], "left")
     return out.withColumn("n", F.coalesce("n", F.lit(0))).withColumn("events", F.coalesce("events", F.lit(0)))
 

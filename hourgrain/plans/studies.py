@@ -331,9 +331,11 @@ def model_benchmark(rows: DataFrame, calendar: str, features: dict[tuple[str, st
 def scaled(rows: DataFrame, train: DataFrame) -> DataFrame:
     """Feature arrays scaled by the training mean and population SD of each position."""
     stat = train.select(F.posexplode("features").alias("i", "v")).groupBy("i").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s"))
-    packed = stat.agg(F.array_sort(F.collect_list(F.struct("i", "m", F.when(F.col("s") > 0, F.col("s")).otherwise(1.0).alias("s")))).alias("__st"))
-    j = rows.join(packed, F.lit(True))
-    return j.withColumn("features", F.zip_with("features", "__st", lambda v, s: (v - s["m"]) / s["s"])).drop("__st")
+    # one pair of numbers per feature position
+    pairs = [(r.m, r.s if r.s else 1.0) for r in stat.orderBy("i").collect()]
+    m, s = P.array_lit([p[0] for p in pairs]), P.array_lit([p[1] for p in pairs])
+    centred = F.zip_with("features", m, lambda v, x: v - x)
+    return rows.withColumn("features", F.zip_with(centred, s, lambda v, x: v / x))
 
 
 def temporal_diagnostics(rows: DataFrame, sets: dict[str, Sequence[str]], leads: Sequence[int], min_fit: int = 100, min_test: int = 100, draws: int = 1000,

@@ -22,7 +22,7 @@ def prediction_checks(
     rows are the expected count minus its distinct matched rows.
     """
     want = expected.select(*row, F.col(event).alias("__label"), F.lit(True).alias("__known"))
-    total = expected.agg(F.count("*").alias("__total"))
+    total = expected.count()
     per_row = preds.groupBy(*group, *row).agg(
         F.count("*").alias("__copies"), F.max(p).alias("__hi"), F.min(p).alias("__lo"),
         F.max(event).alias("__event"), F.count(p).alias("__finite"),
@@ -36,8 +36,7 @@ def prediction_checks(
         F.count_if(F.coalesce(F.col("__label") != F.col("__event"), F.lit(False))).alias("n_changed_labels"),
         F.count_if((F.col("__lo") < 0) | (F.col("__hi") > 1) | (F.col("__finite") < F.col("__copies"))).alias("n_bad_probability"),
     )
-    # one-row total, so this adds a column rather than multiplying rows
-    return out.join(total, F.lit(True)).withColumn("n_missing", F.col("__total") - F.col("__matched")).drop("__total", "__matched")
+    return out.withColumn("n_missing", F.lit(total).cast("bigint") - F.col("__matched")).drop("__matched")
 
 
 def group_count(preds: DataFrame, group: Sequence[str], expected: int) -> DataFrame:
