@@ -347,7 +347,7 @@ def monthly_coverage(t: Tables):
 @query(
     "coh12_class_support",
     sql("dfit dth", """SELECT site, partition, count(*) AS n, sum(e::INT)::BIGINT AS n_events, sum(e::INT) >= 15 AND count(*) - sum(e::INT) >= 15 AS supported FROM
-      (SELECT site, CASE WHEN fit THEN 'fit' ELSE 'test' END AS partition, value >= high_threshold AS e FROM dfit JOIN dth USING (site, month)) GROUP BY site, partition"""),
+      (SELECT site, CASE WHEN fit THEN 'fit' ELSE 'test' END AS partition, coalesce(supported AND value >= high_threshold, false) AS e FROM dfit LEFT JOIN dth USING (site, month)) GROUP BY site, partition"""),
 )
 def class_support(t: Tables):
     d = labelled_daily(t).withColumn("partition", F.when(F.col("fit"), "fit").otherwise("test"))
@@ -400,7 +400,7 @@ def month_thresholds(t: Tables):
 
 @query(
     "blk02_labels",
-    sql("dfit dth", """SELECT d.site, d.timestamp, coalesce(value >= high_threshold, false) AS high, coalesce(value <= low_threshold, false) AS low, value >= pooled AS pooled_high
+    sql("dfit dth", """SELECT d.site, d.timestamp, supported IS NOT NULL AND supported AND value >= high_threshold AS high, supported IS NOT NULL AND supported AND value <= low_threshold AS low, value >= pooled AS pooled_high
       FROM dfit d LEFT JOIN dth USING (site, month) JOIN (SELECT site, quantile_cont(value, 0.75) AS pooled FROM dfit WHERE fit GROUP BY site) USING (site)"""),
 )
 def labels(t: Tables):

@@ -188,7 +188,7 @@ def identity_predictors(t: Tables):
 
 
 CTES["cases"] = (("dfit", "dth"), """SELECT d.site, d.timestamp, d.value, d.month, d.fit AND year(d.timestamp) < 2000 AS fit, d.fit AND year(d.timestamp) >= 2000 AS cal, d.test,
-    coalesce(d.value >= t.high_threshold, false)::INT AS event FROM dfit d LEFT JOIN dth t USING (site, month)""")
+    coalesce(t.supported AND d.value >= t.high_threshold, false)::INT AS event FROM dfit d LEFT JOIN dth t USING (site, month)""")
 
 
 @query("mdl11_frequency_prior", sql("cases", "SELECT site, round(avg(event) FILTER (WHERE fit), 6) AS p_fitting_frequency FROM cases GROUP BY site"))
