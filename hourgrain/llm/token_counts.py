@@ -15,6 +15,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
@@ -97,7 +98,7 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 2048, id_col: str
         for batch in row_batches(batches, "text", BATCH_BYTES):
             texts = [x or "" for x in batch.column("text").to_pylist()]
             tokens = [counts.count(x) for x in texts]
-            sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column("text")), 0).cast(pa.int64())
+            sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("id"), sizes, pa.array(tokens, pa.int64()), pa.array([n > limit for n in tokens], pa.bool_())], ["id", "n_bytes", "n_tokens", "over_limit"])
 
     rows = docs.select(docs[id_col].cast("bigint").alias("id"), docs[text_col].cast("string").alias("text"))
