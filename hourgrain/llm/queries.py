@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from hourgrain.llm import bpe, embeddings, simhash, warc
+from hourgrain.llm import bpe, embeddings, simhash, substring, warc
 from hourgrain.llm.common import table
 from hourgrain.llm.token_counts import token_counts
 
@@ -58,3 +58,16 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
       CASE WHEN first != page_id THEN first END AS refers_to FROM p LEFT JOIN f USING (payload_digest)""")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op8_substring_dedup", r"""
+    WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+    p AS (SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS i FROM w),
+    k AS (SELECT doc_id, i, list_aggregate(words[i:i + 34], 'string_agg', ' ') AS win FROM p WHERE i + 34 <= len(words)),
+    r AS (SELECT win FROM k GROUP BY win HAVING count(*) > 1),
+    gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS i FROM k JOIN r USING (win)),
+    kept AS (SELECT doc_id, string_agg(words[i], ' ' ORDER BY i) AS t, count(*) AS n FROM p ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+    SELECT doc_id, len(words)::BIGINT AS n_words, len(words) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+    FROM w LEFT JOIN kept USING (doc_id)""")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(table(spark, sf_dir, "documents"), texts=False)
