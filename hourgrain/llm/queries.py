@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from hourgrain.llm import bpe, embeddings, simhash, substring, warc
+from hourgrain.llm import bpe, embeddings, simhash, substring, suffix, warc
 from hourgrain.llm.common import table
 from hourgrain.llm.token_counts import token_counts
 
@@ -71,3 +71,19 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM w LEFT JOIN kept USING (doc_id)""")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(table(spark, sf_dir, "documents"), texts=False)
+
+
+@query("op9_suffix_dedup", """
+    WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, strlen(coalesce(text, ''))::BIGINT AS n FROM documents),
+    k AS (SELECT doc_id, x, unnest(range(0, n - 99)) AS s FROM d),
+    late AS (SELECT doc_id, s FROM k QUALIFY row_number() OVER (PARTITION BY md5(substr(x, 2 * s + 1, 200)) ORDER BY doc_id, s) > 1),
+    marks AS (SELECT doc_id, s, CASE WHEN s > lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 100 THEN 1 ELSE 0 END AS fresh FROM late),
+    named AS (SELECT doc_id, s, sum(fresh) OVER (PARTITION BY doc_id ORDER BY s) AS g FROM marks),
+    spans AS (SELECT doc_id, min(s) AS a, max(s) + 100 AS b FROM named GROUP BY doc_id, g),
+    gaps AS (SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS a, a AS b FROM spans
+      UNION ALL SELECT doc_id, coalesce(max(b), 0), NULL FROM d LEFT JOIN spans USING (doc_id) GROUP BY doc_id),
+    kept AS (SELECT doc_id, string_agg(substr(x, 2 * a + 1, 2 * (coalesce(b, n) - a)), '' ORDER BY a) AS t FROM gaps JOIN d USING (doc_id) GROUP BY doc_id)
+    SELECT doc_id, n AS n_bytes, coalesce(sum(b - a), 0)::BIGINT AS n_removed, count(a) AS n_spans, any_value(sha256(unhex(t))) AS kept_sha256
+    FROM d JOIN kept USING (doc_id) LEFT JOIN spans USING (doc_id) GROUP BY doc_id, n""")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_earlier(table(spark, sf_dir, "documents"), texts=False)
