@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from hourgrain.llm import bpe, embeddings, simhash, substring, suffix, warc
+from hourgrain.llm import bpe, decontaminate, embeddings, quality, simhash, substring, suffix, warc
 from hourgrain.llm.common import table
 from hourgrain.llm.token_counts import token_counts
 
@@ -87,3 +88,19 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM d JOIN kept USING (doc_id) LEFT JOIN spans USING (doc_id) GROUP BY doc_id, n""")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.remove_earlier(table(spark, sf_dir, "documents"), texts=False)
+
+
+@query("op5_benchmark_decontamination")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def trusted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of documents labelled good and not toxic, by every label they have."""
+    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    return labels.where("quality = 1 AND toxic = 0").select("doc_id")
+
+
+@query("op10_quality_classifier")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), trusted(spark, sf_dir))
