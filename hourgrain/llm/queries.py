@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hourgrain.llm import bpe, decontaminate, embeddings, quality, simhash, substring, suffix, warc
+from hourgrain.llm import bpe, decontaminate, embeddings, lm, quality, simhash, substring, suffix, warc
 from hourgrain.llm.common import table
 from hourgrain.llm.token_counts import token_counts
 
@@ -104,3 +104,8 @@ def trusted(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_quality_classifier")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), trusted(spark, sf_dir))
+
+
+@query("op6_lm_scoring")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scores(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
