@@ -28,7 +28,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hourgrain.llm.common import scratch_path, stored
+from hourgrain.llm.common import hinted, scratch_path, stored
 
 #: Uncompressed bytes after which a frame or a bundle is closed; a longer record has a frame of its own.
 FRAME_BYTES, BUNDLE_BYTES = 256 << 10, 16 << 20
@@ -150,34 +150,31 @@ def write(pages: DataFrame, folder: str, least: int = 100, id_col: str = "page_i
 
 
 def read(spark: SparkSession, folder: str, index: DataFrame) -> DataFrame:
-    """Every record of the bundles that the index names, found by its place: headers as columns, and the payload."""
-    files = spark.read.format("binaryFile").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
-    places = index.groupBy("bundle").agg(F.sort_array(F.collect_list(F.struct("frame", "record_offset"))).alias("places"))
-    found = files.join(places, F.col("name") == F.col("bundle")).select("content", "places")
+    """Every record of the bundles that the index names, frame by frame: headers as columns, and the payload.
+
+    Only names meet the index, so that no bundle is moved unless the names are too many to broadcast.
+    """
+    files = spark.read.format("binaryFile").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("bundle"), "content")
+    names = index.select("bundle").distinct()
+    found = files.join(hinted(names, names.count()), "bundle", "left_semi").select("content")
     schema = "page_id bigint, url string, record_type string, refers_to bigint, payload_bytes bigint, payload_digest string, payload binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
         names = ["page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", "payload"]
         for batch in batches:
-            for content, places in zip(batch.column(0), batch.column(1)):
+            for content in batch.column(0):
                 data = content.as_py()
-                frames, last, out = seek_table(data), None, []
-                for place in places.as_py():
-                    if place["frame"] != last:
-                        last = place["frame"]
-                        at, packed, size = frames[last]
-                        text = zstandard.ZstdDecompressor().decompress(data[at : at + packed], max_output_size=size)
-                    head, block, _ = parse(text, place["record_offset"])
-                    digest = head["WARC-Payload-Digest"].removeprefix("sha256:")
-                    if head["WARC-Type"] == "response" and hashlib.sha256(block).hexdigest() != digest:
-                        raise ValueError(f"payload of {head['WARC-Record-ID']} is damaged")
-                    number = lambda name: int(head[name]) if name in head else None
-                    out.append((number("X-Page-ID"), head.get("WARC-Target-URI"), head["WARC-Type"], number("X-Refers-To-Page"), number("X-Payload-Length"), digest, block))
-                    if len(out) == 1000:
-                        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), types)], names)
-                        out = []
-                if out:
+                for at, packed, size in seek_table(data):
+                    text = zstandard.ZstdDecompressor().decompress(data[at : at + packed], max_output_size=size)
+                    out, place = [], 0
+                    while place < len(text):
+                        head, block, place = parse(text, place)
+                        digest = head["WARC-Payload-Digest"].removeprefix("sha256:")
+                        if head["WARC-Type"] == "response" and hashlib.sha256(block).hexdigest() != digest:
+                            raise ValueError(f"payload of {head['WARC-Record-ID']} is damaged")
+                        number = lambda name: int(head[name]) if name in head else None  # noqa: B023, E731
+                        out.append((number("X-Page-ID"), head.get("WARC-Target-URI"), head["WARC-Type"], number("X-Refers-To-Page"), number("X-Payload-Length"), digest, block))
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), types)], names)
 
     return found.mapInArrow(run, schema)
