@@ -1,7 +1,8 @@
 """Removal of byte strings that occur earlier, by suffix arrays built with linear grouping.
 
-Windows of 100 bytes are dealt to buckets by super-k-mers (``kmers``); equal windows meet in one bucket. There only
-super-k-mers whose minimiser something else has are looked at, equal strings once. Their text becomes a string of phrases, whose
+Texts are stored once in chunks of some megabytes. Windows of 100 bytes are dealt to buckets by super-k-mers (``kmers``);
+equal windows meet in one bucket. First each chunk sends its distinct minimisers alone and learns which of them
+another super-k-mer has; only super-k-mers with such a minimiser travel, equal ones of a part of a chunk once. In the bucket, their text becomes a string of phrases, whose
 boundaries depend on the 16 bytes before them only: a boundary follows every byte that is no letter, and every byte
 when 16 letters went before. So equal windows have equal boundaries from their 16th byte on, and a window is told by
 its first boundary there: a phrase suffix to the right of it and at most 32 bytes to the left.
@@ -15,25 +16,28 @@ the front of what is left of its group. Nothing is renamed and nothing recurses.
 Windows with one boundary offset are equal if no common prefix between their suffixes is shorter than what is left of the
 window, and the bytes before the boundary agree. Of equal windows the first in (id, start) stays.
 
-Defined results: a null text has no bytes; shorter texts than the window stay whole; rows with equal id and text are one
-document whose result every such row gets; rows with equal id and different texts are ordered by a hash of the text; a null id
-comes after all others; an empty table gives an empty result; other columns are not read. Kept text is decoded without
+Defined results: a null text has no bytes; shorter texts than the window stay whole; repeated rows and rows with equal ids are
+documents of their own, one of which counts as the earlier one; a null id comes after all others; an empty table gives an empty result; other columns are not read. Kept text is decoded without
 characters that a removed byte has broken. Texts are treated whole; a long one is cut into overlapping pieces inside a task.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from hourgrain.llm import kmers
-from hourgrain.llm.common import row_batches
+from hourgrain.llm.common import row_batches, stored
+from hourgrain.llm.kmers import NO_ID
 
-BATCH_BYTES, PIECE_BYTES, BUCKET_BYTES = 2 << 20, 4 << 20, 4 << 20
+#: Text of a chunk, of a part of it that is hashed at once, and of a bucket.
+CHUNK_BYTES, PIECE_BYTES, BUCKET_BYTES = 4 << 20, 2 << 20, 8 << 20
 #: Bytes before a boundary that decide it; a window's boundary stands ``CONTEXT`` to ``2 * CONTEXT`` bytes from its start.
 CONTEXT = 16
 
@@ -188,85 +192,152 @@ def window_classes(text: np.ndarray, starts: np.ndarray, ends: np.ndarray, windo
 
 def later(columns: dict[str, np.ndarray], text: bytes, window: int) -> pa.Table:
     """Spans of the windows of a bucket that also start earlier."""
-    nothing = kmers.span_table(*[np.zeros(0, dtype=np.int64)] * 4)
-    _, back, times = np.unique(columns["key"], return_inverse=True, return_counts=True)
-    order = np.lexsort((columns["start"], columns["print"], columns["id"]))
-    order = order[times[back[order]] > 1]
-    if not len(order):
-        return nothing
-    ids, prints, start, count = (columns[c][order] for c in ("id", "print", "start", "count"))
-    fresh = np.concatenate([[True], (ids[1:] != ids[:-1]) | (prints[1:] != prints[:-1]) | (start[1:] != start[:-1])])
-    order, ids, prints, start, count = order[fresh], ids[fresh], prints[fresh], start[fresh], count[fresh]
+    order = np.lexsort((columns["start"], columns["row"], columns["chunk"], columns["id"]))
+    chunk, row, start, count = (columns[c][order] for c in ("chunk", "row", "start", "count"))
     a, b = columns["from"][order].tolist(), columns["to"][order].tolist()
     head = kmers.same_strings(columns["key"][order], lambda i: text[a[i] : b[i]])
     copy = head != np.arange(len(head))  # all its windows start earlier, in the first of the equal strings
-    tables = [kmers.span_table(ids[copy], prints[copy], start[copy], (start + count + window - 1)[copy])]
+    tables = [span_table(chunk[copy], row[copy], start[copy], (start + count + window - 1)[copy])]
     own = np.flatnonzero(~copy)
     joined = np.frombuffer(b"".join(text[a[i] : b[i]] for i in own.tolist()), dtype=np.uint8)
     ends = np.cumsum(count[own].astype(np.int64) + window - 1)
     starts = ends - count[own] - window + 1
     at, classes = window_classes(joined, starts, ends, window)
-    string = np.searchsorted(ends, at, side="right")
-    rank = at  # strings lie in the order (id, start), so places in the joined text are in that order too
+    # strings lie in the order (id, chunk, row, start), so places in the joined text are in that order too
     least = np.full(int(classes.max(initial=-1)) + 1, len(joined), dtype=np.int64)
-    np.minimum.at(least, classes, rank)
+    np.minimum.at(least, classes, at)
     gone = np.zeros(len(joined), dtype=bool)
-    gone[at[least[classes] < rank]] = True
+    gone[at[least[classes] < at]] = True
     places = np.flatnonzero(gone)
     string = np.searchsorted(ends, places, side="right")
     g, s, e = kmers.runs(np.ones(len(places), dtype=bool), string, start[own][string] + places - starts[string], window)
-    tables.append(kmers.span_table(ids[own][g], prints[own][g], s, e))
+    tables.append(span_table(chunk[own][g], row[own][g], s, e))
     return pa.concat_tables(tables)
 
 
-def cut(ids: list[int], prints: list[int], texts: list[bytes], window: int, gram: int, buckets: int) -> Iterator[tuple[int, bytes]]:
-    """Blobs for the buckets from one batch of distinct documents, in the order of (id, print)."""
-    pieces = [(d, at) for d, text in enumerate(texts) for at in range(0, max(1, len(text) - window + 1), PIECE_BYTES)]
+SPANS = "chunk bigint, row int, start bigint, end bigint"
+
+
+def span_table(chunk: np.ndarray, row: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Table:
+    return pa.table({"chunk": pa.array(chunk, pa.int64()), "row": pa.array(row, pa.int32()), "start": pa.array(start, pa.int64()), "end": pa.array(end, pa.int64())})
+
+
+def pieces(texts: list[bytes], window: int, gram: int) -> Iterator[tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Super-k-mers of the texts, about PIECE_BYTES at a time: (joined text, place in it, row, start in the row's text, windows, minimiser)."""
+    parts = [(d, at) for d, text in enumerate(texts) for at in range(0, max(1, len(text) - window + 1), PIECE_BYTES)]
     group: list[tuple[int, int]] = []
     total = 0
-    for i, (d, at) in enumerate(pieces):
+    for i, (d, at) in enumerate(parts):
         group.append((d, at))
         total += min(len(texts[d]) - at, PIECE_BYTES + window - 1)
-        if total < PIECE_BYTES and i + 1 < len(pieces):
+        if total < PIECE_BYTES and i + 1 < len(parts):
             continue
         joined = b"".join(texts[d][at : at + PIECE_BYTES + window - 1] for d, at in group)
         h = kmers.mixed(np.frombuffer(joined, dtype=np.uint8).astype(np.uint64) + np.uint64(1))
-        lengths = np.array([min(len(texts[d]) - at, PIECE_BYTES + window - 1) for d, at in group], dtype=np.int64)
-        ends = np.cumsum(lengths)
-        first, count, key = kmers.super_kmers(h, ends - lengths, ends, window, gram)
+        ends = np.cumsum([min(len(texts[d]) - at, PIECE_BYTES + window - 1) for d, at in group], dtype=np.int64)
+        starts = np.concatenate([[0], ends[:-1]])
+        first, count, key = kmers.super_kmers(h, starts, ends, window, gram)
         piece = np.searchsorted(ends, first, side="right")
-        doc = np.array([d for d, _ in group], dtype=np.int64)[piece]
-        start = first - (ends - lengths)[piece] + np.array([at for _, at in group], dtype=np.int64)[piece]
-        stop = first + count + window - 1
-        a, b = first.tolist(), stop.tolist()
-        string = lambda i: joined[a[i] : b[i]]  # noqa: B023, E731
-        if len(first):
-            head = kmers.same_strings(kmers.paired(key, count.astype(np.uint64)), string)
-            copy = head != np.arange(len(head))
-            columns = {"id": np.array(ids, dtype=np.int64)[doc], "print": np.array(prints, dtype=np.int64)[doc], "start": start, "count": count.astype(np.int32)}
-            if copy.any():
-                yield int(abs(prints[0]) % buckets), kmers.packed({c: columns[c][copy] for c in ("id", "print", "start")} | {"end": (start + count + window - 1)[copy]})
-            kept = np.flatnonzero(~copy)
-            yield from kmers.bucket_blobs(buckets, key[kept], {c: v[kept] for c, v in columns.items()}, lambda i: string(int(kept[i])))  # noqa: B023
+        row = np.array([d for d, _ in group], dtype=np.int64)[piece]
+        yield joined, first, row, first - starts[piece] + np.array([at for _, at in group], dtype=np.int64)[piece], count, key
         group, total = [], 0
 
 
-def spans(rows: DataFrame, buckets: int, window: int, gram: int) -> DataFrame:
-    """(id, print, start, end) in bytes of what occurs earlier, for rows of ``kmers.keyed``."""
+def own_keys(texts: list[bytes], window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct minimisers of a chunk's super-k-mers, and which of them it has twice or more."""
+    keys = np.concatenate([np.zeros(0, dtype=np.uint64), *(key for *_, key in pieces(texts, window, gram))])
+    distinct, times = np.unique(keys, return_counts=True)
+    return distinct, times > 1
+
+
+def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    return (kmers.mixed(keys ^ np.uint64(0xA0761D6478BD642F)) % np.uint64(buckets)).astype(np.int64)
+
+
+def candidates(chunk: int, ids: np.ndarray, texts: list[bytes], repeated: np.ndarray, window: int, gram: int, buckets: int) -> Iterator[tuple[int, bytes]]:
+    """Blobs for the buckets: the super-k-mers whose minimiser is among ``repeated`` (sorted); equal ones of a piece once."""
+    for joined, first, row, start, count, key in pieces(texts, window, gram):
+        if not len(repeated) or not len(key):
+            continue
+        found = np.flatnonzero(repeated[np.minimum(np.searchsorted(repeated, key), len(repeated) - 1)] == key)
+        if not len(found):
+            continue
+        found = found[np.lexsort((start[found], row[found], ids[row[found]]))]
+        first, row, start, count, key = (x[found] for x in (first, row, start, count, key))
+        a, b = first.tolist(), (first + count + window - 1).tolist()
+        string = lambda i: joined[a[i] : b[i]]  # noqa: B023, E731
+        head = kmers.same_strings(kmers.paired(key, count.astype(np.uint64)), string)
+        copy = head != np.arange(len(head))
+        if copy.any():
+            yield chunk % buckets, kmers.packed({"settled": (row[copy], start[copy], (start + count + window - 1)[copy]), "chunk_id": chunk})
+        kept = np.flatnonzero(~copy)
+        columns = {"id": ids[row], "chunk": np.full(len(row), chunk, dtype=np.int64), "row": row.astype(np.int32), "start": start, "count": count.astype(np.int32)}
+        yield from kmers.bucket_blobs(buckets, key[kept], {c: v[kept] for c, v in columns.items()}, lambda i: string(int(kept[i])))  # noqa: B023
+
+
+def chunked(rows: DataFrame) -> DataFrame:
+    """Stored chunks of about CHUNK_BYTES of text: (chunk, content), the content being the packed ids and texts of some rows.
+
+    A row is known by its chunk and its place there from here on, so repeated rows and ids stay apart.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in row_batches(batches, "text", CHUNK_BYTES):
+            ids = np.array([NO_ID if i is None else i for i in batch.column("id").to_pylist()], dtype=np.int64)
+            texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
+            chunk = uuid.uuid4().int >> 66  # made once and stored; a repeated task's output replaces that of the lost one
+            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([kmers.packed((ids, texts))], pa.binary())], ["chunk", "content"])
+
+    return stored(rows.mapInArrow(run, "chunk bigint, content binary"), "suffix-chunks")
+
+
+def repeated_keys(chunks: DataFrame, buckets: int, window: int, gram: int) -> DataFrame:
+    """(chunk, parts): for each chunk the minimisers that it shares with others or has twice, packed by bucket.
+
+    A chunk sends each minimiser once, so a hot one costs its bucket one entry a chunk.
+    """
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+                keys, many = own_keys(kmers.unpacked(content.as_py())[1], window, gram)
+                own = bucket_of(keys, buckets)
+                order = np.argsort(own, kind="stable")
+                parts = np.split(order, np.flatnonzero(np.diff(own[order])) + 1) if len(order) else []
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([int(own[p[0]]) for p in parts], pa.int32()), pa.array([chunk] * len(parts), pa.int64()), pa.array([keys[p].tobytes() for p in parts], pa.binary()), pa.array([keys[p][many[p]].tobytes() for p in parts], pa.binary())],
+                    ["bucket", "chunk", "keys", "many"],
+                )
+
+    def meet(group: pa.Table) -> pa.Table:
+        keys = [np.frombuffer(x, dtype=np.uint64) for x in group.column("keys").to_pylist()]
+        distinct, times = np.unique(np.concatenate(keys), return_counts=True)
+        shared = distinct[times > 1]
+        found = [np.union1d(np.intersect1d(k, shared, assume_unique=True), np.frombuffer(m, dtype=np.uint64)).tobytes() for k, m in zip(keys, group.column("many").to_pylist())]
+        return pa.table({"chunk": group.column("chunk"), "repeated": pa.array(found, pa.binary())})
+
+    sent = chunks.mapInArrow(send, "bucket int, chunk bigint, keys binary, many binary")
+    return sent.groupBy("bucket").applyInArrow(meet, "chunk bigint, repeated binary").groupBy("chunk").agg(F.collect_list("repeated").alias("parts"))
+
+
+def spans(chunks: DataFrame, buckets: int, window: int, gram: int) -> DataFrame:
+    """(chunk, row, start, end) in bytes of what occurs earlier."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in row_batches(batches, "text", BATCH_BYTES):
-            found = {(i, p): t for i, p, t in zip(*(batch.column(c).to_pylist() for c in ("id", "print", "text")))}
-            order = sorted(found)
-            for bucket, blob in cut([i for i, _ in order], [p for _, p in order], [found[k].encode() for k in order], window, gram, buckets):
-                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([blob], pa.binary())], ["bucket", "blob"])
+        for batch in batches:
+            for chunk, content, parts in zip(batch.column("chunk").to_pylist(), batch.column("content"), batch.column("parts").to_pylist()):
+                ids, texts = kmers.unpacked(content.as_py())
+                repeated = np.sort(np.frombuffer(b"".join(parts or []), dtype=np.uint64))
+                for bucket, blob in candidates(chunk, ids, texts, repeated, window, gram, buckets):
+                    yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([blob], pa.binary())], ["bucket", "blob"])
 
     def meet(group: pa.Table) -> pa.Table:
         columns, text, settled = kmers.gathered(group.column("blob").to_pylist())
-        tables = [kmers.span_table(x["id"], x["print"], x["start"], x["end"]) for x in settled]
+        tables = [span_table(np.full(len(x["settled"][0]), x["chunk_id"]), *x["settled"]) for x in settled]
         return pa.concat_tables([later(columns, text, window), *tables] if columns else tables)
 
-    return rows.mapInArrow(send, "bucket int, blob binary").groupBy("bucket").applyInArrow(meet, kmers.SPANS)
+    known = chunks.join(repeated_keys(chunks, buckets, window, gram), "chunk")
+    return known.mapInArrow(send, "bucket int, blob binary").groupBy("bucket").applyInArrow(meet, SPANS)
 
 
 def remove_earlier(docs: DataFrame, window: int = 100, gram: int = 24, id_col: str = "doc_id", text_col: str = "text", texts: bool = True) -> DataFrame:
@@ -276,27 +347,32 @@ def remove_earlier(docs: DataFrame, window: int = 100, gram: int = 24, id_col: s
     """
     if window < 2 * CONTEXT + 8 or gram > window:
         raise ValueError("the window is too short for the boundaries' context or the gram")
-    rows = kmers.keyed(docs, id_col, text_col)
-    found = spans(rows, kmers.bucket_count(docs, text_col, BUCKET_BYTES), window, gram)
+    rows = docs.select(docs[id_col].cast("bigint").alias("id"), docs[text_col].cast("string").alias("text"))
+    chunks = chunked(rows)
+    found = spans(chunks, kmers.bucket_count(docs, text_col, BUCKET_BYTES), window, gram)
+    lists = found.groupBy("chunk").agg(F.collect_list(F.struct("row", "start", "end")).alias("spans"))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in row_batches(batches, "text", BATCH_BYTES):
-            out: list[tuple] = []
-            for text, own in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist()):
-                raw, cuts = text.encode(), []
-                if own:
-                    gone = kmers.covered(len(raw), own)
-                    edge = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]])))
-                    cuts = list(zip(edge[::2].tolist(), edge[1::2].tolist()))
-                    kept = np.frombuffer(raw, dtype=np.uint8)[~gone].tobytes()
-                else:
-                    kept = raw
-                row = (len(raw), len(raw) - len(kept), len(cuts), hashlib.sha256(kept).hexdigest())
-                out.append(row + (kept.decode(errors="ignore"), [{"start": a, "end": b} for a, b in cuts]) if texts else row)
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
-            names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text", "removed"]
-            columns = [pa.array(x, t) for x, t in zip(zip(*out), types)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), *columns], ["id", *names[: len(columns)]])
+        for batch in batches:
+            for content, own in zip(batch.column("content"), batch.column("spans").to_pylist()):
+                ids, all_texts = kmers.unpacked(content.as_py())
+                by_row: dict[int, list] = {}
+                for span in own or []:
+                    by_row.setdefault(span["row"], []).append(span)
+                out: list[tuple] = []
+                for row, raw in enumerate(all_texts):
+                    kept, cuts = raw, []
+                    if row in by_row:
+                        gone = kmers.covered(len(raw), by_row[row])
+                        edge = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]])))
+                        cuts = list(zip(edge[::2].tolist(), edge[1::2].tolist()))
+                        kept = np.frombuffer(raw, dtype=np.uint8)[~gone].tobytes()
+                    line = (None if ids[row] == NO_ID else int(ids[row]), len(raw), len(raw) - len(kept), len(cuts), hashlib.sha256(kept).hexdigest())
+                    out.append(line + (kept.decode(errors="ignore"), [{"start": a, "end": b} for a, b in cuts]) if texts else line)
+                types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
+                names = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text", "removed"]
+                columns = [pa.array(x, t) for x, t in zip(zip(*out), types)]
+                yield pa.RecordBatch.from_arrays(columns, names[: len(columns)])
 
     schema = "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept_text string, removed array<struct<start: bigint, end: bigint>>" * texts
-    return kmers.with_spans(rows, found).mapInArrow(finish, schema).withColumnRenamed("id", id_col)
+    return chunks.join(lists, "chunk", "left").mapInArrow(finish, schema).withColumnRenamed("id", id_col)
