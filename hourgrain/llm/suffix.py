@@ -275,6 +275,13 @@ def candidates(chunk: int, ids: np.ndarray, texts: list[bytes], repeated: np.nda
         yield from kmers.bucket_blobs(buckets, key[kept], {c: v[kept] for c, v in columns.items()}, lambda i: string(int(kept[i])))  # noqa: B023
 
 
+def serialised(batch: pa.RecordBatch) -> bytes:
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, batch.schema) as writer:
+        writer.write_batch(batch)
+    return out.getvalue().to_pybytes()
+
+
 def chunked(rows: DataFrame) -> DataFrame:
     """Stored chunks of about CHUNK_BYTES of text: (chunk, content), the content being the packed ids and texts of some rows.
 
@@ -285,8 +292,10 @@ def chunked(rows: DataFrame) -> DataFrame:
         for batch in row_batches(batches, "text", CHUNK_BYTES):
             ids = np.array([NO_ID if i is None else i for i in batch.column("id").to_pylist()], dtype=np.int64)
             texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
+            others = [c for c in batch.schema.names if c not in ("id", "text")]
+            carried = serialised(batch.select(others)) if others else None
             chunk = uuid.uuid4().int >> 66  # made once and stored; a repeated task's output replaces that of the lost one
-            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([kmers.packed((ids, texts))], pa.binary())], ["chunk", "content"])
+            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([kmers.packed((ids, texts, carried))], pa.binary())], ["chunk", "content"])
 
     return stored(rows.mapInArrow(run, "chunk bigint, content binary"), "suffix-chunks")
 
@@ -326,7 +335,7 @@ def spans(chunks: DataFrame, buckets: int, window: int, gram: int) -> DataFrame:
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, content, parts in zip(batch.column("chunk").to_pylist(), batch.column("content"), batch.column("parts").to_pylist()):
-                ids, texts = kmers.unpacked(content.as_py())
+                ids, texts, _ = kmers.unpacked(content.as_py())
                 repeated = np.sort(np.frombuffer(b"".join(parts or []), dtype=np.uint64))
                 for bucket, blob in candidates(chunk, ids, texts, repeated, window, gram, buckets):
                     yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([blob], pa.binary())], ["bucket", "blob"])
@@ -340,22 +349,22 @@ def spans(chunks: DataFrame, buckets: int, window: int, gram: int) -> DataFrame:
     return known.mapInArrow(send, "bucket int, blob binary").groupBy("bucket").applyInArrow(meet, SPANS)
 
 
-def remove_earlier(docs: DataFrame, window: int = 100, gram: int = 24, id_col: str = "doc_id", text_col: str = "text", texts: bool = True) -> DataFrame:
-    """One row per row of ``docs``: id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 and, with
-    ``texts``, kept_text and the removed spans in bytes. A byte goes if a string of ``window`` bytes that covers it also
+def remove_earlier(docs: DataFrame, window: int = 100, gram: int = 24, id_col: str = "doc_id", text_col: str = "text", texts: bool = True, carry: list[str] = ()) -> DataFrame:
+    """One row per row of ``docs``: id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256, with
+    ``texts`` also kept_text and the removed spans in bytes, and the columns ``carry`` as they are. A byte goes if a string of ``window`` bytes that covers it also
     starts earlier: in a document of smaller id, or earlier in its own. ``window`` is at least 40.
     """
     if window < 2 * CONTEXT + 8 or gram > window:
         raise ValueError("the window is too short for the boundaries' context or the gram")
-    rows = docs.select(docs[id_col].cast("bigint").alias("id"), docs[text_col].cast("string").alias("text"))
-    chunks = chunked(rows)
+    others = [docs[c].alias(f"carried_{i}") for i, c in enumerate(carry)]
+    chunks = chunked(docs.select(docs[id_col].cast("bigint").alias("id"), docs[text_col].cast("string").alias("text"), *others))
     found = spans(chunks, kmers.bucket_count(docs, text_col, BUCKET_BYTES), window, gram)
     lists = found.groupBy("chunk").agg(F.collect_list(F.struct("row", "start", "end")).alias("spans"))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content, own in zip(batch.column("content"), batch.column("spans").to_pylist()):
-                ids, all_texts = kmers.unpacked(content.as_py())
+                ids, all_texts, carried = kmers.unpacked(content.as_py())
                 by_row: dict[int, list] = {}
                 for span in own or []:
                     by_row.setdefault(span["row"], []).append(span)
@@ -372,7 +381,13 @@ def remove_earlier(docs: DataFrame, window: int = 100, gram: int = 24, id_col: s
                 types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
                 names = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text", "removed"]
                 columns = [pa.array(x, t) for x, t in zip(zip(*out), types)]
-                yield pa.RecordBatch.from_arrays(columns, names[: len(columns)])
+                names = names[: len(columns)]
+                if carried is not None:
+                    batch = pa.ipc.open_stream(carried).read_next_batch()
+                    columns, names = [*columns, *batch.columns], [*names, *batch.schema.names]
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     schema = "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept_text string, removed array<struct<start: bigint, end: bigint>>" * texts
-    return chunks.join(lists, "chunk", "left").mapInArrow(finish, schema).withColumnRenamed("id", id_col)
+    schema += "".join(f", carried_{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(carry))
+    out = chunks.join(lists, "chunk", "left").mapInArrow(finish, schema)
+    return out.withColumnsRenamed({"id": id_col} | {f"carried_{i}": c for i, c in enumerate(carry)})
