@@ -2,11 +2,11 @@
 
 A text becomes a sequence of template words: numbers, names (a capital that no sentence start explains) and units are
 replaced by typed placeholders, everything else is lower-cased, punctuation goes. Windows of ``window`` template words are
-joined by hash with those of the benchmark items, then compared word by word. In a matched window the item's slot
-values must map one to one to the document's, so "a train covers 60 miles in 2 hours" is found as "a train covers 90
-miles in 3 hours", while a coincidence of placeholders is not; the mapping must also hold over all windows of
-one alignment (a document, an item and the distance between their places). Windows with fewer than ``concrete`` words that
-are no placeholders are not evidence and match nothing.
+joined by hash with those of the benchmark items, then compared word by word. Over all matched windows of one alignment (a
+document, an item and the distance between their places) the item's slot values must map one to one to the document's, so
+"a train covers 60 miles in 2 hours" is found as "a train covers 90 miles in 3 hours", while a coincidence of placeholders
+is not; a window whose slots have the item's own values is evidence without that. Windows with fewer than ``concrete`` words
+that are no placeholders only take part in the check of slots and are no evidence.
 
 The first pass explodes only window hashes; documents without a hit never carry their text any further. Item windows are
 broadcast when their counted rows are few enough, otherwise both sides are shuffled.
@@ -86,10 +86,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = 8, concrete: in
     items = with_slots(benchmark.select(benchmark[item_col].alias("item"), benchmark[item_text_col].cast("string").alias("text")))
     placed = with_windows(items, window).select("item", "slots", F.posexplode_outer("hashes").alias("at", "hash"))
     own = F.slice("slots", F.col("at") + 1, F.lit(window))
-    placed = placed.select("item", F.col("at").alias("item_at"), "hash", own.alias("own")).where(F.size(F.filter("own", lambda s: s["v"].isNull())) >= concrete).distinct()
-    placed = cut_lineage(placed)
+    placed = placed.select("item", F.col("at").alias("item_at"), "hash", F.slice("slots", F.col("at") + 1, F.lit(window)).alias("own"))
+    placed = cut_lineage(placed.withColumn("solid", F.size(F.filter("own", lambda s: s["v"].isNull())) >= concrete).distinct())
 
-    keys = placed.select("hash").distinct()
+    keys = placed.where("solid").select("hash").distinct()
     rows = placed.count()
     texts = docs.select(docs[id_col].cast("bigint").alias("id"), docs[text_col].cast("string").alias("text"))
     hashed = with_windows(with_slots(texts), window).select("id", F.explode_outer("hashes").alias("hash"))
@@ -101,12 +101,14 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = 8, concrete: in
     found = found.select("id", "at", "hash", F.slice("slots", F.col("at") + 1, F.lit(window)).alias("theirs"))
     met = found.join(hinted(placed, rows), "hash").where(F.transform("own", lambda s: s["t"]) == F.transform("theirs", lambda s: s["t"]))
     pairs = F.array_distinct(F.filter(F.zip_with("own", "theirs", lambda a, b: F.struct(a["v"].alias("b"), b["v"].alias("d"))), lambda p: p["b"].isNotNull()))
-    met = met.select("id", "item", "at", "item_at", pairs.alias("pairs")).where(one_to_one(F.col("pairs")))
+    met = met.select("id", "item", "at", "item_at", pairs.alias("pairs"), "solid", (F.col("solid") & F.forall(pairs, lambda p: p["b"] == p["d"])).alias("verbatim"))
     aligned = met.groupBy("id", "item", (F.col("at") - F.col("item_at")).alias("shift")).agg(
-        F.collect_set("item_at").alias("windows"), F.min("at").alias("first"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs")
-    ).where(one_to_one(F.col("pairs")))
-    out = aligned.groupBy("id", "item").agg(
+        F.collect_set(F.when(F.col("solid"), F.col("item_at"))).alias("solid"), F.collect_set(F.when(F.col("verbatim"), F.col("item_at"))).alias("verbatim"),
+        F.min(F.when(F.col("solid"), F.col("at"))).alias("first"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"),
+    ).withColumn("whole", one_to_one(F.col("pairs")))
+    evidence = aligned.withColumn("windows", F.when(F.col("whole"), F.col("solid")).otherwise(F.col("verbatim"))).where(F.size("windows") > 0)
+    out = evidence.groupBy("id", "item").agg(
         F.size(F.array_distinct(F.flatten(F.collect_set("windows")))).cast("bigint").alias("n_windows"), F.min("first").cast("bigint").alias("first_word"),
-        F.max(F.exists("pairs", lambda p: p["b"] != p["d"])).alias("reparameterised"),
+        F.max(F.col("whole") & F.exists("pairs", lambda p: p["b"] != p["d"])).alias("reparameterised"),
     )
     return out.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "n_windows", "first_word", "reparameterised")

@@ -109,3 +109,31 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_lm_scoring")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.scores(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+# The same windows in SQL: words, placeholders, alignments, one-to-one slots.
+_SLOTS = r"""
+    SELECT id, i, bare AS w, CASE WHEN ascii(raw) BETWEEN 48 AND 57 OR bare IN ({numbers}) THEN '<num>' WHEN bare IN ({units}) THEN '<unit>'
+      WHEN left(raw, 1) != lower(left(raw, 1)) AND i > 1 AND right(prev, 1) NOT IN ('.', '!', '?') THEN '<name>' END AS k
+    FROM (SELECT id, i, words[i] AS raw, words[i - 1] AS prev, lower(rtrim(words[i], '.!?')) AS bare FROM (SELECT id, words, unnest(range(1, len(words) + 1)) AS i FROM
+      (SELECT {id} AS id, regexp_extract_all(coalesce(text, ''), '(?:\p{{N}}+(?:[.,:/]\p{{N}}+)*|\p{{L}}[\p{{L}}\p{{N}}]*(?:[''’-][\p{{L}}\p{{N}}]+)*)[.!?]*') AS words FROM {table})))"""
+
+
+def _slots(id_col: str, name: str) -> str:
+    quoted = lambda words: ", ".join(f"'{w}'" for w in words)
+    return _SLOTS.format(id=id_col, table=name, numbers=quoted(decontaminate.NUMBER_WORDS), units=quoted(decontaminate.UNITS))
+
+
+ORACLES["op5_benchmark_decontamination"] = f"""
+    WITH d AS ({_slots("doc_id", "documents")}), b AS ({_slots("item_id", "benchmark")}),
+    dw AS (SELECT id, i, list(coalesce(k, w)) OVER win AS t, list(CASE WHEN k IS NOT NULL THEN w END) OVER win AS v FROM d WINDOW win AS (PARTITION BY id ORDER BY i ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING)),
+    bw AS (SELECT id, i, list(coalesce(k, w)) OVER win AS t, list(CASE WHEN k IS NOT NULL THEN w END) OVER win AS v, count(*) FILTER (WHERE k IS NULL) OVER win >= 5 AS solid
+      FROM b WINDOW win AS (PARTITION BY id ORDER BY i ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING)),
+    m AS (SELECT d.id AS doc_id, b.id AS item_id, d.i, b.i AS j, solid, b.v AS bv, d.v AS dv, solid AND b.v = d.v AS verbatim
+      FROM (SELECT * FROM dw WHERE len(t) = 8) d JOIN (SELECT * FROM bw WHERE len(t) = 8) b ON d.t = b.t),
+    p AS (SELECT DISTINCT doc_id, item_id, i - j AS shift, bv[n] AS x, dv[n] AS y FROM (SELECT *, unnest(range(1, 9)) AS n FROM m) WHERE bv[n] IS NOT NULL),
+    c AS (SELECT doc_id, item_id, shift, count(*) = count(DISTINCT x) AND count(*) = count(DISTINCT y) AS one, bool_or(x != y) AS other FROM p GROUP BY ALL),
+    e AS (SELECT m.*, coalesce(one, true) AS whole, coalesce(one, true) AND coalesce(other, false) AS re FROM m LEFT JOIN c ON c.doc_id = m.doc_id AND c.item_id = m.item_id AND shift = i - j),
+    f AS (SELECT *, min(i) FILTER (WHERE solid) OVER (PARTITION BY doc_id, item_id, i - j) AS first FROM e)
+    SELECT doc_id, item_id, count(DISTINCT j) AS n_windows, min(first) - 1 AS first_word, bool_or(re) AS reparameterised
+    FROM f WHERE CASE WHEN whole THEN solid ELSE verbatim END GROUP BY doc_id, item_id"""
