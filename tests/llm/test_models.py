@@ -63,7 +63,7 @@ def test_archive_round_trip(spark):
     big = "<html>" + "x" * 700_000
     rows = [(1, "http://a/ b", "é" * 100), (5, "u", "é" * 100), (3, None, None), (4, "u", ""), (9, "u", "s" * 99), (8, "u", "s" * 99), (None, "u", "é" * 100), (7, "u", big), (7, "u", big), (6, "u", "a\r\n\r\nWARC/1.1\r\n" * 20)]
     pages = spark.createDataFrame([(*r, "x") for r in rows], "page_id bigint, url string, html string, record_type string")
-    folder = "file://" + warc.scratch_path(spark, "warc-test")
+    folder = "file://" + warc.scratch_path(spark, "warc-test").removeprefix("file:").replace("//", "/")
     index = warc.write(pages, folder)
     back = warc.read(spark, folder, index).collect()
     assert len(back) == len(rows)
