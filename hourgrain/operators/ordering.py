@@ -1,10 +1,8 @@
 """Exact order statistics per group that never put a whole group into one task.
 
-``percentile`` and ``row_number`` hold or sort one group in one task. That is the fastest plan while
-the largest group is known to be small, and fails when one key holds a third of the table. So each
-operator counts its largest group first (one map-side combined aggregate) and, above
-``ROWS_PER_TASK``, narrows the search by value buckets instead: bucket counts are additive, so only
-the rows of the bucket that contains the wanted rank are ever looked at again.
+Quantiles, selections and running totals all rest on ``cumulative``: rows are dealt into ranges of (group, order), so that
+a key with a third of the table is spread over as many tasks as its rows need; each range keeps its own running sums,
+and a table with one row per group and range says what came before. The plan is the same at every size.
 """
 
 from __future__ import annotations
@@ -16,14 +14,6 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from hourgrain.session import cut_lineage
 
-ROWS_PER_TASK = 1_000_000
-BUCKETS = 1024
-
-
-def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    n = df.groupBy(*keys).agg(F.count("*").alias("n")) if keys else df.agg(F.count("*").alias("n"))
-    return n.agg(F.max("n")).first()[0] or 0
-
 
 def same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
     """NULL-safe equality on the group keys."""
@@ -37,50 +27,24 @@ def join_groups(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str
     return left.join(r, cond, how).drop(*[f"__r_{k}" for k in keys])
 
 
-def _bucket(v: Column, lo: Column, hi: Column, n: int) -> Column:
-    """Equal-width bucket of v in [lo, hi]; monotone in v, so bucket order is value order."""
-    return F.when(hi > lo, F.least(F.floor((v - lo) / (hi - lo) * n), F.lit(n - 1))).otherwise(F.lit(0)).cast("int")
-
+def cumulative(rows: DataFrame, keys: Sequence[str], order: Sequence[str], sums: Sequence[str]) -> DataFrame:
+    """``rows`` plus ``cum_<name>``: the sum up to and including each row of its group in ascending ``order``.
 
-def _narrow(rows: DataFrame, wanted: DataFrame, keys: list[str], n: int, level: str) -> tuple[DataFrame, DataFrame]:
-    """Replace each wanted rank by (bucket, rank inside the bucket) and drop all other rows.
-
-    Bounds and hits have one row per group and rank; both are stored, so that the next pass reads
-    the rows through two small joins instead of through all earlier passes.
-    """
-    bounds = cut_lineage(rows.groupBy(*keys).agg(F.min("__v").alias("__lo"), F.max("__v").alias("__hi")))
-    cut = join_groups(rows, bounds, keys).withColumn(level, _bucket(F.col("__v"), F.col("__lo"), F.col("__hi"), n))
-    cells = cut.groupBy(*keys, level).agg(F.sum("__w").alias("__n"))
-    upto = W.partitionBy(*keys).orderBy(level).rowsBetween(W.unboundedPreceding, W.currentRow)
-    cells = cells.withColumn("__end", F.sum("__n").over(upto)).withColumn("__start", F.col("__end") - F.col("__n"))
-    hit = cut_lineage(
-        join_groups(wanted, cells, keys)
-        .where((F.col("__rank") >= F.col("__start")) & (F.col("__rank") < F.col("__end")))
-        .withColumn("__rank", F.col("__rank") - F.col("__start"))
-        .select(*keys, level, *[c for c in wanted.columns if c not in keys])
-    )
-    kept = join_groups(cut, hit.select(*keys, level).distinct(), [*keys, level], "left_semi")
-    return kept.select(*keys, level, "__v", "__w"), hit
-
-
-def value_at_rank(rows: DataFrame, keys: Sequence[str], wanted: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """``rows(keys, __v, __w copies)`` and ``wanted(keys, __rank 0-based, ...)`` -> wanted plus ``__value``.
-
-    Two narrowing passes leave about 1/buckets**2 of a group; copies of a value are one counted row.
+    ``order`` must be unique within a group, or its ties are broken at random. The input is stored first, since dealing by
+    ranges samples it; the dealt rows are stored too, since the number of a range is only good for one run.
     """
     keys = list(keys)
-    rows, wanted = _narrow(rows, wanted, keys, buckets, "__b1")
-    rows, wanted = _narrow(rows, wanted, [*keys, "__b1"], buckets, "__b2")
-    cell = [*keys, "__b1", "__b2"]
-    values = rows.groupBy(*cell, "__v").agg(F.sum("__w").alias("__n"))
-    upto = W.partitionBy(*cell).orderBy("__v").rowsBetween(W.unboundedPreceding, W.currentRow)
-    values = values.withColumn("__end", F.sum("__n").over(upto))
-    return (
-        join_groups(wanted, values, cell)
-        .where((F.col("__rank") < F.col("__end")) & (F.col("__rank") >= F.col("__end") - F.col("__n")))
-        .withColumnRenamed("__v", "__value")
-        .drop("__b1", "__b2", "__end", "__n", "__rank")
-    )
+    dealt = cut_lineage(rows).repartitionByRange(*[F.col(c) for c in [*keys, *order]])
+    dealt = cut_lineage(dealt.withColumn("__range", F.spark_partition_id()))
+    parts = dealt.groupBy(*keys, "__range").agg(*[F.sum(s).alias(f"__s_{s}") for s in sums])
+    before = W.partitionBy(*keys).orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
+    starts = parts.select(*keys, "__range", *[F.coalesce(F.sum(f"__s_{s}").over(before), F.lit(0)).alias(f"__o_{s}") for s in sums])
+    inside = W.partitionBy("__range", *keys).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    out = dealt.select("*", *[F.sum(s).over(inside).alias(f"__i_{s}") for s in sums])
+    out = join_groups(out, starts, [*keys, "__range"])
+    for s in sums:
+        out = out.withColumn(f"cum_{s}", F.col(f"__i_{s}") + F.col(f"__o_{s}"))
+    return out.drop("__range", *[f"__i_{s}" for s in sums], *[f"__o_{s}" for s in sums])
 
 
 def quantiles(
@@ -89,102 +53,79 @@ def quantiles(
     wanted: dict[str, tuple[Column, float]],
     extra: dict[str, Column] | None = None,
     bounded: bool = False,
-    rows_per_task: int = ROWS_PER_TASK,
     copies: str | None = None,
 ) -> DataFrame:
     """Linear-interpolated quantiles per group: ``{output: (value, q)}``; NULL values are ignored.
 
-    ``extra`` holds plain aggregates computed in the same grouping. ``bounded=True`` states that a
-    group's size is limited by a parameter (for example the number of resampling draws). ``copies``
-    names a bigint column that says how often each row counts.
+    ``extra`` holds plain aggregates computed in the same grouping. ``bounded=True`` states that a group's size is limited by a
+    parameter (for example the number of resampling draws); such groups are held by one aggregate. ``copies`` names a
+    bigint column that says how often each row counts. Rows are copied once per distinct value, not once per output, and
+    equal values are counted before they are dealt.
     """
     keys, extra = list(keys), extra or {}
-    if bounded or largest_group(df, keys) <= rows_per_task:
+    if bounded:
         times = F.lit(1) if copies is None else F.col(copies)
         aggs = [F.percentile(v.cast("double"), F.lit(q), times).alias(n) for n, (v, q) in wanted.items()]
         aggs += [a.alias(n) for n, a in extra.items()]
         return df.groupBy(*keys).agg(*aggs) if keys else df.agg(*aggs)
-    base = df.groupBy(*keys).agg(F.count("*").alias("__rows"), *[a.alias(n) for n, a in extra.items()])
-    melted = F.explode(
-        F.array(*[F.struct(F.lit(n).alias("m"), v.cast("double").alias("v")) for n, (v, _) in wanted.items()])
-    )
-    rows = (
+    numbers: dict[str, int] = {}
+    columns: list[Column] = []
+    for v, _ in wanted.values():
+        if str(v) not in numbers:
+            numbers[str(v)] = len(columns)
+            columns.append(v)
+    melted = F.explode(F.array(*[F.struct(F.lit(i).alias("m"), v.cast("double").alias("v")) for i, v in enumerate(columns)]))
+    plain = [F.count("*").alias("__rows"), *[a.alias(n) for n, a in extra.items()]]
+    base = df.groupBy(*keys).agg(*plain) if keys else df.agg(*plain)
+    cells = (
         df.select(*keys, (F.lit(1) if copies is None else F.col(copies)).cast("bigint").alias("__w"), melted.alias("s"))
-        .where(F.col("s.v").isNotNull())
-        .select(*keys, "__w", F.col("s.m").alias("__m"), F.col("s.v").alias("__v"))
-    )
-    q = F.create_map(*[F.lit(x) for n, (_, f) in wanted.items() for x in (n, float(f))])
-    position = (
-        rows.groupBy(*keys, "__m").agg(F.sum("__w").alias("__n"))
-        .withColumn("__pos", q[F.col("__m")] * (F.col("__n") - 1))
-        .withColumn("__rank", F.explode(F.array_distinct(F.array(F.floor("__pos"), F.ceil("__pos")))))
-        .withColumn("__side", F.col("__rank"))
-        .drop("__n")
-    )
-    found = value_at_rank(rows, [*keys, "__m"], position)
-    weight = F.when(F.col("__side") == F.col("__pos"), 1.0).otherwise(1.0 - F.abs(F.col("__side") - F.col("__pos")))
-    merged = found.groupBy(*keys, "__m").agg(F.sum(F.col("__value") * weight).alias("__q"))
-    wide = merged.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("__m") == n, F.col("__q"))).alias(n) for n in wanted]
+        .where(F.col("s.v").isNotNull()).groupBy(*keys, F.col("s.m").alias("__m"), F.col("s.v").alias("__v")).agg(F.sum("__w").alias("__n"))
     )
+    upto = cumulative(cells.where("__n > 0"), [*keys, "__m"], ["__v"], ["__n"])
+    sizes = upto.groupBy(*keys, "__m").agg(F.max("cum___n").alias("__all"))
+    placed = join_groups(upto, sizes, [*keys, "__m"])
+    holds = lambda rank: (rank >= F.col("cum___n") - F.col("__n")) & (rank < F.col("cum___n"))
+    aggs = []
+    for name, (v, q) in wanted.items():
+        at = F.lit(float(q)) * (F.col("__all") - 1)
+        low, high = F.floor(at), F.ceil(at)
+        share = F.when(holds(low) & holds(high), F.col("__v")).when(holds(low), F.col("__v") * (high - at)).when(holds(high), F.col("__v") * (at - low))
+        aggs.append(F.sum(F.when(F.col("__m") == numbers[str(v)], share)).alias(name))
+    wide = placed.groupBy(*keys).agg(*aggs) if keys else placed.agg(*aggs)
     return join_groups(base, wide, keys, "left").select(*keys, *wanted, *extra)
 
 
 def _sort_key(order: Sequence[tuple[str, bool]]) -> Column:
-    """Struct that ascends in the wanted order; structs compare field by field."""
-    return F.struct(
-        *[(-F.col(c).cast("double") if d else F.col(c).cast("double")).alias(f"k{i}") for i, (c, d) in enumerate(order)]
-    )
+    """Struct that ascends in the wanted order, of the columns' own types; structs compare field by field."""
+    return F.struct(*[(-F.col(c) if d else F.col(c)).alias(f"k{i}") for i, (c, d) in enumerate(order)])
 
 
-def kth_keys(
-    df: DataFrame, keys: Sequence[str], order: Sequence[tuple[str, bool]], sizes: dict[str, Column], rows_per_task: int = ROWS_PER_TASK
-) -> DataFrame:
-    """Sort key of the last row that each named top selection takes from each group.
+def _ranked(df: DataFrame, order: Sequence[tuple[str, bool]]) -> Column:
+    """Whether a row takes part: the leading column is neither NULL nor NaN."""
+    first = order[0][0]
+    return F.col(first).isNotNull() & ~F.isnan(first) if dict(df.dtypes)[first] in ("double", "float") else F.col(first).isNotNull()
+
 
-    ``order`` is [(numeric column, descending)] and must end in a unique key, as a stable sort of
-    the rows in their stored order does; ``sizes`` are expressions over the group's row count ``n``.
-    Small groups are ranked once for all sizes. Beyond ``rows_per_task`` each key is located column
-    by column with bucket counts.
+def kth_keys(df: DataFrame, keys: Sequence[str], order: Sequence[tuple[str, bool]], sizes: dict[str, Column]) -> DataFrame:
+    """Sort key of the last row that each named top selection takes from each group, for all sizes from one ranking.
+
+    ``order`` is [(column, descending)], descending ones numeric, and must end in a unique key, as a stable sort of the rows in
+    their stored order does; ``sizes`` are expressions over the group's row count ``n``. Rows whose leading column is NULL
+    or NaN count in ``n`` but are never taken.
     """
     keys = list(keys)
-    counts = df.groupBy(*keys).agg(F.count("*").alias("n")) if keys else df.agg(F.count("*").alias("n"))
-    if largest_group(df, keys) <= rows_per_task:
-        wanted = counts.select(*keys, *[c.alias(f"__k_{n}") for n, c in sizes.items()])
-        by = [F.desc(c) if d else F.asc(c) for c, d in order]
-        ranked = df.select(*keys, *[c for c, _ in order], F.row_number().over(W.partitionBy(*keys).orderBy(*by)).alias("__rn"))
-        hit = join_groups(ranked, wanted, keys).where(reduce(lambda a, b: a | b, [F.col("__rn") == F.col(f"__k_{n}") for n in sizes]))
-        return hit.groupBy(*keys).agg(*[F.max(F.when(F.col("__rn") == F.col(f"__k_{n}"), _sort_key(order))).alias(n) for n in sizes])
-    parts = [_kth_by_narrowing(df, counts, keys, order, c).withColumnRenamed("__kth", n) for n, c in sizes.items()]
-    return reduce(lambda a, b: join_groups(a, b, keys), parts)
-
-
-def _kth_by_narrowing(df: DataFrame, counts: DataFrame, keys: list[str], order: Sequence[tuple[str, bool]], size: Column) -> DataFrame:
-    ordered = df.select(*keys, _sort_key(order).alias("__key"))
-    found = cut_lineage(counts.withColumn("__rank", size - 1).drop("n"))
-    for i in range(len(order)):
-        # rows that tie with the k-th key on all earlier columns
-        left = join_groups(ordered, found.drop("__rank"), keys)
-        for j in range(i):
-            left = left.where(F.col(f"__key.k{j}") == F.col(f"__t{j}"))
-        value = F.col(f"__key.k{i}")
-        rows = left.select(*keys, value.alias("__v"), F.lit(1).cast("bigint").alias("__w"))
-        bound = cut_lineage(
-            value_at_rank(rows, keys, found.withColumn("__want", F.col("__rank")))
-            .withColumnRenamed("__value", f"__t{i}").withColumnRenamed("__want", "__rank")
-        )
-        better = join_groups(left.select(*keys, value.alias("__v")), bound.select(*keys, f"__t{i}"), keys)
-        better = better.groupBy(*keys).agg(F.count_if(F.col("__v") < F.col(f"__t{i}")).alias("__better"))
-        found = cut_lineage(
-            join_groups(bound, better, keys).withColumn("__rank", F.col("__rank") - F.col("__better")).drop("__better")
-        )
-    return found.select(*keys, F.struct(*[F.col(f"__t{i}").alias(f"k{i}") for i in range(len(order))]).alias("__kth"))
-
-
-def flag_top(
-    df: DataFrame, keys: Sequence[str], orders: dict[str, Sequence[tuple[str, bool]]], sizes: Column | dict[str, Column],
-    rows_per_task: int = ROWS_PER_TASK,
-) -> DataFrame:
+    fields = [f"k{i}" for i in range(len(order))]
+    rows = df.where(_ranked(df, order)).select(*keys, _sort_key(order).alias("__key")).select(*keys, "__key.*", F.lit(1).cast("bigint").alias("__one"))
+    ranked = cumulative(rows, keys, fields, ["__one"])
+    able = F.count_if(_ranked(df, order)).alias("__able")
+    counts = df.groupBy(*keys).agg(F.count("*").alias("n"), able) if keys else df.agg(F.count("*").alias("n"), able)
+    wanted = counts.select(*keys, *[F.least(c, F.col("__able")).alias(f"__k_{n}") for n, c in sizes.items()])
+    hit = join_groups(ranked, wanted, keys).where(reduce(lambda a, b: a | b, [F.col("cum___one") == F.col(f"__k_{n}") for n in sizes]))
+    aggs = [F.max(F.when(F.col("cum___one") == F.col(f"__k_{n}"), F.struct(*fields))).alias(n) for n in sizes]
+    return hit.groupBy(*keys).agg(*aggs) if keys else hit.agg(*aggs)
+
+
+def flag_top(df: DataFrame, keys: Sequence[str], orders: dict[str, Sequence[tuple[str, bool]]], sizes: Column | dict[str, Column]) -> DataFrame:
     """Add one boolean per named order (and size): is the row among the group's first rows?
 
     Rows are compared with the group's k-th sort key, so no ranks are attached to rows. With several
@@ -194,50 +135,23 @@ def flag_top(
     out = df
     for name, order in orders.items():
         cols = {f"{name}_{n}" if n else name: c for n, c in named.items()}
-        kth = kth_keys(df, keys, order, {f"__kth_{n}": c for n, c in cols.items()}, rows_per_task)
+        kth = kth_keys(df, keys, order, {f"__kth_{n}": c for n, c in cols.items()})
         out = join_groups(out, kth, keys, "left")
         for n in cols:
-            out = out.withColumn(n, F.coalesce(_sort_key(order) <= F.col(f"__kth_{n}"), F.lit(False))).drop(f"__kth_{n}")
+            taken = _ranked(df, order) & (_sort_key(order) <= F.col(f"__kth_{n}"))
+            out = out.withColumn(n, F.coalesce(taken, F.lit(False))).drop(f"__kth_{n}")
     return out
 
 
-def top_rows(
-    df: DataFrame, keys: Sequence[str], order: Sequence[tuple[str, bool]], size: Column, rows_per_task: int = ROWS_PER_TASK
-) -> DataFrame:
+def top_rows(df: DataFrame, keys: Sequence[str], order: Sequence[tuple[str, bool]], size: Column) -> DataFrame:
     """The first ``size`` rows of each group under ``order``."""
-    return flag_top(df, keys, {"__top": order}, size, rows_per_task).where("__top").drop("__top")
+    return flag_top(df, keys, {"__top": order}, size).where("__top").drop("__top")
 
 
-def running_totals(
-    cells: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    sums: Sequence[str],
-    descending: bool = True,
-    buckets: int = BUCKETS,
-) -> DataFrame:
-    """Cumulative ``sums`` up to and including each row, as ``cum_<name>``.
-
-    Two levels: totals per value bucket (at most ``buckets`` rows per group) give each bucket its
-    starting total, and the running sum inside a bucket is a window over that bucket only.
-    """
-    keys = list(keys)
-    sign = -1.0 if descending else 1.0
-    signed = F.col(value) * F.lit(sign)
-    bounds = cells.groupBy(*keys).agg(F.min(signed).alias("__lo"), F.max(signed).alias("__hi"))
-    cut = join_groups(cells, bounds, keys).withColumn("__b", _bucket(signed, F.col("__lo"), F.col("__hi"), buckets))
-    cut = cut.drop("__lo", "__hi")
-    before = W.partitionBy(*keys).orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
-    totals = cut.groupBy(*keys, "__b").agg(*[F.sum(s).alias(f"__s_{s}") for s in sums])
-    totals = totals.select(
-        *keys, "__b", *[F.coalesce(F.sum(f"__s_{s}").over(before), F.lit(0)).alias(f"__o_{s}") for s in sums]
-    )
-    inside = W.partitionBy(*keys, "__b").orderBy(signed).rowsBetween(W.unboundedPreceding, W.currentRow)
-    out = cut.select("*", *[F.sum(s).over(inside).alias(f"__i_{s}") for s in sums])
-    out = join_groups(out, totals, [*keys, "__b"])
-    for s in sums:
-        out = out.withColumn(f"cum_{s}", F.col(f"__i_{s}") + F.col(f"__o_{s}"))
-    return out.drop("__b", *[f"__i_{s}" for s in sums], *[f"__o_{s}" for s in sums])
+def running_totals(cells: DataFrame, keys: Sequence[str], value: str, sums: Sequence[str], descending: bool = True) -> DataFrame:
+    """Cumulative ``sums`` up to and including each row, as ``cum_<name>``; ``value`` is unique within a group."""
+    signed = cells.withColumn("__o", F.col(value) * F.lit(-1.0 if descending else 1.0))
+    return cumulative(signed, keys, ["__o"], sums).drop("__o")
 
 
 def previous_in_order(df: DataFrame, keys: Sequence[str], order: str, column: str, width: int, out: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""The plans used beyond ROWS_PER_TASK give the same rows as the small-group plans and as brute force."""
+"""Plans for groups of any size give the same rows as brute force."""
 
 import math
 import random
@@ -28,21 +28,26 @@ def table(spark):
     return spark.createDataFrame(rows_with_hot_group(), "g string, i bigint, v double, w bigint, p double, e int").cache()
 
 
-def test_quantiles_by_narrowing(table):
+def test_quantiles_of_any_group(table):
     want = {"q05": (F.col("v"), 0.05), "q50": (F.col("v"), 0.5), "q95": (F.col("v"), 0.95), "neg": (-F.col("v"), 0.3)}
-    a = {r.g: r for r in O.quantiles(table, ["g"], want, {"n": F.count("*")}).collect()}
-    b = {r.g: r for r in O.quantiles(table, ["g"], want, {"n": F.count("*")}, rows_per_task=10).collect()}
-    assert a.keys() == b.keys() and len(a) == 4
-    for g in a:
-        assert a[g].n == b[g].n
-        for c in want:
-            assert b[g][c] == pytest.approx(a[g][c], rel=1e-12) if a[g][c] is not None else b[g][c] is None
+    held = {r.g: r for r in O.quantiles(table, ["g"], want, {"n": F.count("*")}, bounded=True).collect()}
+    dealt = {r.g: r for r in O.quantiles(table, ["g"], want, {"n": F.count("*")}).collect()}
+    groups = defaultdict(list)
+    for r in table.collect():
+        groups[r.g] += [] if r.v is None else [r.v]
+    assert held.keys() == dealt.keys() == groups.keys() and len(held) == 4
+    for g, vs in groups.items():
+        assert held[g].n == dealt[g].n
+        for c, q, sign in (("q05", 0.05, 1), ("q50", 0.5, 1), ("q95", 0.95, 1), ("neg", 0.3, -1)):
+            want_value = np.quantile(sign * np.array(vs), q) if vs else None
+            for got in (held, dealt):
+                assert got[g][c] == (None if want_value is None else pytest.approx(want_value, rel=1e-12))
 
 
 def test_weighted_quantiles_count_copies(table):
     want = {"q": (F.col("v"), 0.37)}
     a = {r.g: r.q for r in O.quantiles(table, ["g"], want, copies="w").collect()}
-    b = {r.g: r.q for r in O.quantiles(table, ["g"], want, copies="w", rows_per_task=10).collect()}
+    b = {r.g: r.q for r in O.quantiles(table, ["g"], want, copies="w", bounded=True).collect()}
     copies = defaultdict(list)
     for r in table.collect():
         if r.v is not None:
@@ -51,19 +56,29 @@ def test_weighted_quantiles_count_copies(table):
         assert a[g] == pytest.approx(np.quantile(vs, 0.37)) and b[g] == pytest.approx(np.quantile(vs, 0.37))
 
 
-def test_ungrouped_quantiles_by_narrowing(table):
+def test_ungrouped_quantiles(table):
     want = {"q": (F.col("v"), 0.5)}
-    assert O.quantiles(table, [], want, rows_per_task=10).first().q == pytest.approx(O.quantiles(table, [], want).first().q)
+    assert O.quantiles(table, [], want).first().q == pytest.approx(O.quantiles(table, [], want, bounded=True).first().q)
 
 
-def test_top_rows_by_narrowing(table):
+def test_top_rows_of_any_group(table):
     a = {(r.g, r.i) for r in K.select_top(table, ["g"], "p", ["i"], 0.1).collect()}
-    b = {(r.g, r.i) for r in K.select_top(table, ["g"], "p", ["i"], 0.1, rows_per_task=10).collect()}
     groups = defaultdict(list)
     for r in table.collect():
         groups[r.g].append(r)
     brute = {(g, r.i) for g, rs in groups.items() for r in sorted(rs, key=lambda r: (-r.p, r.i))[: math.ceil(0.1 * len(rs))]}
-    assert a == brute and b == brute
+    assert a == brute
+
+
+@pytest.mark.parametrize("score", [None, float("nan")])
+def test_selections_have_the_size_of_the_budget(spark, score):
+    ids = [(1 << 53) + i for i in range(10)]
+    df = spark.createDataFrame([("g", i, score if n >= 8 else float(n // 4)) for n, i in enumerate(ids)], "g string, i bigint, p double")
+    got = [r.i for r in K.select_top(df, ["g"], "p", ["i"], 0.2).collect()]
+    assert sorted(got) == ids[4:6]
+    assert len(K.select_top(df, ["g"], "p", ["i"], 1.0).collect()) == 8
+    flags = O.flag_top(df, ["g"], {"top": K.order_by("p", ["i"])}, {"a": K.budget(0.1), "b": K.budget(0.5)}).collect()
+    assert [sum(r[c] for r in flags) for c in ("top_a", "top_b")] == [1, 5]
 
 
 def test_running_totals_and_average_precision(table):
