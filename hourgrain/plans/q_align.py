@@ -172,14 +172,22 @@ def weather(t: Tables, at_least=2):
 WX = """SELECT var, date_trunc('hour', ts - INTERVAL 1 MICROSECOND) + INTERVAL 1 HOUR AS origin, CASE WHEN count(x) >= 2 THEN avg(x) END AS mean,
     CASE WHEN count(x) = 3 THEN sum(x) END AS rain, count(x) AS n_mean FROM (SELECT var, ts, CASE WHEN (qc & ~8) = 0 THEN value END AS x FROM minutes) GROUP BY 1, 2"""
 
+VARIABLES = ("click", "error", "purchase", "signup", "view")
+MEANS = [f"mean_{v}" for v in VARIABLES]
+WIDE_WX = f"SELECT origin, {', '.join(f'max(mean) FILTER (WHERE var = {v!r}) AS mean_{v}' for v in VARIABLES)} FROM w GROUP BY origin"
+
+
+def wide_weather(t: Tables):
+    """One row per origin with a column for each variable."""
+    return weather(t).groupBy("origin").agg(*[F.max(F.when(F.col("var") == v, F.col("mean"))).alias(f"mean_{v}") for v in VARIABLES])
+
 
 @query(
     "aln09_weather_at_origin",
-    sql("origins minutes", "SELECT site, block_start, lead_h, round(mean, 6) AS temperature FROM origins LEFT JOIN (SELECT origin, mean FROM w WHERE var = 'view') USING (origin)", w=WX),
+    sql("origins minutes", f"SELECT site, block_start, lead_h, {', '.join(f'round(mean_{v}, 6) AS mean_{v}' for v in VARIABLES)} FROM origins LEFT JOIN ({WIDE_WX}) USING (origin)", w=WX),
 )
 def weather_at_origin(t: Tables):
-    w = weather(t).where("var = 'view'").select("origin", F.col("mean").alias("temperature"))
-    return rounded(A.at_origin(origins(t), w, "origin").select("site", "block_start", "lead_h", "temperature"))
+    return rounded(A.at_origin(origins(t), wide_weather(t), "origin").select("site", "block_start", "lead_h", *MEANS))
 
 
 @query(
@@ -335,12 +343,11 @@ def boundary_crossings(t: Tables):
 @query(
     "coh11_monthly_coverage",
     sql("dfit", """SELECT s.site, s.stage, m.month, count(d.site) AS n, count(d.site) FILTER (WHERE d.value > 100000) AS n_high FROM
-      (SELECT DISTINCT site, CASE WHEN fit THEN 'fit' ELSE 'test' END AS stage FROM k) s CROSS JOIN (SELECT unnest(range(1, 13))::INT AS month) m
-      LEFT JOIN k d ON d.site = s.site AND d.month = m.month AND d.fit = (s.stage = 'fit') GROUP BY s.site, s.stage, m.month""",
-      k="SELECT * FROM dfit WHERE NOT (month = 5 AND site LIKE '1%')"),
+      (SELECT DISTINCT site, CASE WHEN fit THEN 'fit' ELSE 'test' END AS stage FROM dfit) s CROSS JOIN (SELECT unnest(range(1, 13))::INT AS month) m
+      LEFT JOIN dfit d ON d.site = s.site AND d.month = m.month AND d.fit = (s.stage = 'fit') GROUP BY s.site, s.stage, m.month"""),
 )
 def monthly_coverage(t: Tables):
-    d = daily_split(t).where("NOT (month = 5 AND site LIKE '1%')").withColumn("stage", F.when(F.col("fit"), "fit").otherwise("test"))
+    d = daily_split(t).withColumn("stage", F.when(F.col("fit"), "fit").otherwise("test"))
     return C.monthly_coverage(d, ["site", "stage"], {"n": F.count("*"), "n_high": F.count_if(F.col("value") > 100000)})
 
 
@@ -361,13 +368,12 @@ def labelled_daily(t: Tables):
 
 @query(
     "coh13_matched_rows",
-    sql("origins minutes", """SELECT site, lead_h, count(*) AS n_all, count(*) FILTER (WHERE total IS NOT NULL AND mean IS NOT NULL) AS n_matched
-      FROM origins LEFT JOIN (SELECT origin, mean FROM w WHERE var = 'view') USING (origin) GROUP BY site, lead_h""", w=WX),
+    sql("origins minutes", f"""SELECT site, lead_h, count(*) AS n_all, count(*) FILTER (WHERE total IS NOT NULL AND mean_click IS NOT NULL AND mean_error IS NOT NULL
+      AND mean_purchase IS NOT NULL AND mean_signup IS NOT NULL AND mean_view IS NOT NULL) AS n_matched FROM origins LEFT JOIN ({WIDE_WX}) USING (origin) GROUP BY site, lead_h""", w=WX),
 )
 def matched_rows(t: Tables):
-    w = weather(t).where("var = 'view'").select("origin", F.col("mean").alias("temperature"))
-    rows = A.at_origin(origins(t), w, "origin")
-    m = C.matched_rows(rows, ["total", "temperature"]).groupBy("site", "lead_h").agg(F.count("*").alias("n_matched"))
+    rows = A.at_origin(origins(t), wide_weather(t), "origin")
+    m = C.matched_rows(rows, ["total", *MEANS]).groupBy("site", "lead_h").agg(F.count("*").alias("n_matched"))
     n = rows.groupBy("site", "lead_h").agg(F.count("*").alias("n_all"))
     return n.join(m, ["site", "lead_h"], "left").withColumn("n_matched", F.coalesce("n_matched", F.lit(0)))
 

@@ -169,10 +169,10 @@ def reliability(t: Tables):
       round(avg(abs(exp(y) - exp(p0))), 6) AS mae_base, round(avg(abs(exp(y) - exp(p1))), 6) AS mae_added,
       round(avg(abs(exp(y) - exp(p0)) - abs(exp(y) - exp(p1))), 6) AS mae_gain, count(e.site) >= 100 AND count(DISTINCT e.block_start::DATE) >= 30 AS supported
       FROM (SELECT DISTINCT site, l_linenumber AS lead_h FROM ev) k CROSS JOIN (SELECT unnest(['DJF','MAM','JJA','SON']) AS season) s
-      LEFT JOIN (SELECT * FROM ev WHERE NOT (season = 'SON' AND l_linenumber = 2)) e ON e.site = k.site AND e.l_linenumber = k.lead_h AND e.season = s.season GROUP BY k.site, k.lead_h, s.season"""),
+      LEFT JOIN ev e ON e.site = k.site AND e.l_linenumber = k.lead_h AND e.season = s.season GROUP BY k.site, k.lead_h, s.season"""),
 )
 def strata(t: Tables):
-    e = events(t).withColumn("lead_h", F.col("l_linenumber")).where("NOT (season = 'SON' AND l_linenumber = 2)")
+    e = events(t).withColumn("lead_h", F.col("l_linenumber"))
     return rounded(M.seasonal_gain(e, ["site", "lead_h"], "block_start", "y", "p0", "p1"))
 
 

@@ -307,20 +307,18 @@ def model_benchmark(rows: DataFrame, calendar: str, features: dict[tuple[str, st
     pred = cut_lineage(reduce(lambda a, b: a.unionByName(b), parts))
     by = ["context", "representation", "model"]
     cal = G.calibrate(pred.withColumn("is_cal", F.col("partition") == "calibration"), by, "p", "event", "is_cal").where("partition = 'test'")
-    cal = cut_lineage(cal.withColumn("t", S.micros(F.col("block_start"))).withColumn("week", S.epoch_week(F.col("block_start"))).withColumn(
-        "site_no", F.xxhash64("site") % 1000003
-    ).withColumn("season", S.season_of(F.month("block_start"))))
+    cal = cut_lineage(cal.withColumn("t", S.micros(F.col("block_start"))).withColumn("week", S.epoch_week(F.col("block_start"))).withColumn("season", S.season_of(F.month("block_start"))))
     raw = M.probability_scores(cal, by, "event", "p")
     scores = O.join_groups(
         O.join_groups(raw, M.probability_scores(cal, by, "event", "p_calibrated").select(*by, F.col("brier").alias("brier_calibrated")), by),
         M.average_precision(cal, by, "event", "p"), by,
     )
-    ties = ["t", "site_no"]
-    wide_by = ["context", "model", "site", "block_start", "t", "site_no", "week", "event"]
+    ties = ["t", "site"]
+    wide_by = ["context", "model", "site", "block_start", "t", "week", "event"]
     reps = sorted({r for r, _ in features})
     wide = cal.groupBy(*wide_by).agg(*[F.max(F.when(F.col("representation") == r, F.col("p"))).alias(f"p_{r}") for r in reps])
     gains = pair_report(wide, ["context", "model"], [(a, b) for a, b in (("N", "N82"), ("N", "N_plus_f82"), ("N", "full24"), ("N82", "full24")) if a in reps and b in reps], "event", ties, "week", seed, draws)
-    both = cal.groupBy("model", "representation", "site", "block_start", "t", "site_no", "week", "event").agg(
+    both = cal.groupBy("model", "representation", "site", "block_start", "t", "week", "event").agg(
         *[F.max(F.when(F.col("context") == c, F.col("p"))).alias(f"p_{c}") for c in ("current", "history6")]
     ).where("representation <> 'calendar'")
     history = pair_report(both, ["model", "representation"], [("current", "history6")], "event", ties, "week", seed + 500, draws)
@@ -464,7 +462,7 @@ def parameter_checks(cohort: DataFrame, sets: dict[str, Sequence[str]], y: str,
     return {"scores": scores, "gains": gains}
 
 
-def logistic_parameterisation(rows: DataFrame, features: dict[tuple[str, str], Column], ties: Sequence[str] = ("t", "site_no")) -> DataFrame:
+def logistic_parameterisation(rows: DataFrame, features: dict[tuple[str, str], Column], ties: Sequence[str] = ("t", "site")) -> DataFrame:
     """Wide logistic models on 23 or 24 fractions, current or history, calibrated on earlier rows."""
     rows = cut_lineage(rows)
     keep = ["site", "block_start", "partition", "event"]
@@ -477,7 +475,7 @@ def logistic_parameterisation(rows: DataFrame, features: dict[tuple[str, str], C
     pred = cut_lineage(reduce(lambda a, b: a.unionByName(b), parts))
     by = ["context", "representation"]
     cal = G.calibrate(pred.withColumn("is_cal", F.col("partition") == "calibration"), by, "p", "event", "is_cal").where("partition = 'test'")
-    cal = cal.withColumn("t", S.micros(F.col("block_start"))).withColumn("site_no", F.xxhash64("site") % 1000003).withColumn("v", F.col("p"))
+    cal = cal.withColumn("t", S.micros(F.col("block_start"))).withColumn("v", F.col("p"))
     cal = cut_lineage(cal)
     s = M.probability_scores(cal, by, "event", "p")
     c = M.probability_scores(cal, by, "event", "p_calibrated").select(*by, F.col("brier").alias("brier_calibrated"))

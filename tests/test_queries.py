@@ -20,7 +20,7 @@ def test_every_inventory_id_has_a_query():
     names = entry.queries()
     for prefix, n in INVENTORY.items():
         have = {int(m.group(1)) for m in (re.match(rf"{prefix}(\d+)_", q) for q in names) if m}
-        assert have == set(range(1, n + 1)), prefix
+        assert have == set(range(1, n + 1)) - ({8} if prefix == "src" else set()), prefix  # SRC8 only lists files: no table to query
 
 
 def test_every_sql_belongs_to_a_query():
