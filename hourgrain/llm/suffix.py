@@ -37,7 +37,7 @@ from hourgrain.llm.common import row_batches, stored
 from hourgrain.llm.kmers import NO_ID
 
 #: Text of a chunk, of a part of it that is hashed at once, and of a bucket.
-CHUNK_BYTES, PIECE_BYTES, BUCKET_BYTES = 4 << 20, 2 << 20, 8 << 20
+CHUNK_BYTES, PIECE_BYTES, BUCKET_BYTES = 4 << 20, 2 << 20, 2 << 20
 #: Bytes before a boundary that decide it; a window's boundary stands ``CONTEXT`` to ``2 * CONTEXT`` bytes from its start.
 CONTEXT = 16
 
@@ -59,11 +59,24 @@ def suffix_array(symbols: np.ndarray) -> np.ndarray:
 
     end = n - 1
     while end > 0:
-        start = group[line[end]]
-        if start == end:
-            members = (line[end],)
-        else:
-            members = sorted(line[start : end + 1])
+        s = line[end]
+        start = group[s]
+        if start == end:  # a group of one: at most one suffix moves, to the end of its group
+            p = s - 1
+            while p >= 0 and place[p] > end:
+                p = smaller[p]
+            smaller[s] = p
+            if p >= 0 and size[g := group[p]] > 1:
+                left = size[g] = size[g] - 1
+                last = g + left
+                q, at = line[last], place[p]
+                line[at], place[q] = q, at
+                line[last] = p
+                place[p] = group[p] = last
+                size[last] = 1
+            end -= 1
+            continue
+        members = sorted(line[start : end + 1])
         pointed: dict[int, int] = {}
         for s in members:
             p = s - 1
@@ -74,17 +87,11 @@ def suffix_array(symbols: np.ndarray) -> np.ndarray:
             smaller[s] = p
             if p >= 0:
                 pointed[p] = pointed.get(p, 0) + 1
-        if len(pointed) == 1:
-            ((p, _),) = pointed.items()
-            waves = ((p,),) if size[group[p]] > 1 else ()
-        elif pointed:
-            by_times: dict[int, list[int]] = {}
-            for p, times in pointed.items():
-                by_times.setdefault(times, []).append(p)
-            waves = [by_times[t] for t in sorted(by_times, reverse=True)]
-        else:
-            waves = ()
-        for wave in waves:
+        by_times: dict[int, list[int]] = {}
+        for p, times in pointed.items():
+            by_times.setdefault(times, []).append(p)
+        for times in sorted(by_times, reverse=True):
+            wave = by_times[times]
             for p in wave:  # to the end of its group
                 g = group[p]
                 left = size[g] = size[g] - 1
@@ -349,7 +356,7 @@ def spans(chunks: DataFrame, buckets: int, window: int, gram: int) -> DataFrame:
     return known.mapInArrow(send, "bucket int, blob binary").groupBy("bucket").applyInArrow(meet, SPANS)
 
 
-def remove_earlier(docs: DataFrame, window: int = 100, gram: int = 24, id_col: str = "doc_id", text_col: str = "text", texts: bool = True, carry: list[str] = ()) -> DataFrame:
+def remove_earlier(docs: DataFrame, window: int = 100, gram: int = 40, id_col: str = "doc_id", text_col: str = "text", texts: bool = True, carry: list[str] = ()) -> DataFrame:
     """One row per row of ``docs``: id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256, with
     ``texts`` also kept_text and the removed spans in bytes, and the columns ``carry`` as they are. A byte goes if a string of ``window`` bytes that covers it also
     starts earlier: in a document of smaller id, or earlier in its own. ``window`` is at least 40.
