@@ -130,3 +130,17 @@ def test_boosted_models_beat_the_constant(frame):
     p, best = T.boosted_classification(d.where("fit"), d.where("test AND i % 2 = 0"), d.where("test AND i % 2 = 1"), "f", "e", maxIter=8, stepSize=0.1, minInstancesPerNode=5, patience=3)
     s = M.probability_scores(p.withColumn("prior", F.lit(0.5)), [], "e", "p", "prior").first()
     assert 1 <= best <= 8 and s.brier_skill > 0
+
+
+def test_logistic_fits_without_a_finite_optimum_say_so(spark):
+    rows = [("apart", [i / 10 - 5.05], float(i >= 50)) for i in range(100)] + [("one", [float(i)], 1.0) for i in range(20)]
+    rows += [("fine", [i / 10 - 5.0], float(i % 3 == 0 or i > 70)) for i in range(100)]
+    df = spark.createDataFrame(rows, "g string, z array<double>, label double")
+    got = {r.g: r for r in G.newton(df, ["g"], {"m": [0]}, 1, penalty=0.0).collect()}
+    assert {g: r.converged for g, r in got.items()} == {"apart": False, "one": False, "fine": True}
+    x = np.array([[1.0, z[0]] for g, z, _ in rows if g == "fine"])
+    y = np.array([v for g, _, v in rows if g == "fine"])
+    assert np.abs(x.T @ (1 / (1 + np.exp(-x @ np.array(got["fine"].beta))) - y)).max() < 1e-6
+    p = df.select("g", "label", (0.5 + 0.09 * df.z[0]).alias("p"))
+    cal = G.calibrate(p.where("g != 'one'").withColumn("cal", p.g.isNotNull()), ["g"], "p", "label", "cal").collect()
+    assert all(r.cal_slope >= 0 and 0 < r.p_calibrated < 1 for r in cal) and {r.cal_converged for r in cal if r.g == "fine"} == {True}
