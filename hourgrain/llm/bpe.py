@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 #: Pre-tokens whose ids a worker remembers; beyond this it starts anew.
-REMEMBERED = 600_000
+REMEMBERED = 300_000
 #: Children of an inner node of the segment tree, and the key of a leaf without a mergeable pair.
 FAN, NO_PAIR = 32, 1 << 62
 BATCH_BYTES = 4 << 20
