@@ -71,7 +71,7 @@ def newton(rows: DataFrame, keys: Sequence[str], uses: dict[str, list[int]], p:
         use = [0, *[i + 1 for i in uses[row["name"]]]]
         ridge = penalty * np.r_[0.0, np.ones(p)]
         loss = row["__loss"] + 0.5 * float(np.sum(ridge * b * b))
-        if loss <= row["loss"] + 1e-12 * max(1.0, abs(row["loss"])) or not np.isfinite(row["loss"]):
+        if loss <= row["loss"] + 1e-9 * max(1.0, abs(row["loss"])) or not np.isfinite(row["loss"]):
             h = np.zeros((p + 1, p + 1))
             h[upper] = np.asarray(row["__h"], dtype=float)
             h = h + np.triu(h, 1).T + np.diag(ridge)
