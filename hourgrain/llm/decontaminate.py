@@ -8,6 +8,9 @@ document, an item and the distance between their places) the item's slot values
 is not; a window whose slots have the item's own values is evidence without that. Windows with fewer than ``concrete`` words
 that are no placeholders only take part in the check of slots and are no evidence.
 
+Windows of bare lower-cased words that are equal are verbatim evidence, whatever their capitals and however few of them are concrete. The figures of a document
+and an item come from the template (which is what the SQL states) if it has evidence, else from the bare words.
+
 The first pass explodes only window hashes; documents without a hit never carry their text any further. Item windows are
 broadcast when their counted rows are few enough, otherwise both sides are shuffled.
 
@@ -31,13 +34,16 @@ UNITS = (
     "second seconds minute minutes hour hours day days week weeks month months year years dollar dollars cent cents euro euros percent degrees watt watts volt volts joule joules mph kmh"
 ).split()
 
+#: The forms in which windows are compared: template words and bare words.
+FORMS = ("t", "w")
+
 
 def words(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text.cast("string"), F.lit("")), F.lit(WORD), F.lit(0))
 
 
 def with_slots(texts: DataFrame) -> DataFrame:
-    """``text`` replaced by ``slots``, an array of (t: template word, v: slot value or null).
+    """``text`` replaced by ``slots``, an array of (t: template word, w: bare word).
 
     Each step is a column of its own, so that no expression repeats the work of an earlier one.
     """
@@ -49,25 +55,31 @@ def with_slots(texts: DataFrame) -> DataFrame:
         kind = (
             F.when(first.between("0", "9") | word.isin(*NUMBER_WORDS), F.lit("<num>"))
             .when(word.isin(*UNITS), F.lit("<unit>"))
-            .when((first != F.lower(first)) & ~opens, F.lit("<name>"))
+            .when(first != F.lower(first), F.when(opens, F.lit("<opens>")).otherwise(F.lit("<name>")))
         )
         return F.struct(kind.alias("k"), word.alias("w"))
 
+    def slot(s: Column) -> Column:
+        t = F.when(s["k"] == "<opens>", s["w"]).otherwise(F.coalesce(s["k"], s["w"]))
+        return F.struct(t.alias("t"), s["w"].alias("w"))
+
     kinds = bare.withColumn("kinds", F.transform("tokens", one)).drop("tokens", "bare")
-    return kinds.withColumn("slots", F.transform("kinds", lambda s: F.struct(F.coalesce(s["k"], s["w"]).alias("t"), F.when(s["k"].isNotNull(), s["w"]).alias("v")))).drop("kinds")
+    return kinds.withColumn("slots", F.transform("kinds", slot)).drop("kinds")
 
 
 def with_windows(slots: DataFrame, window: int) -> DataFrame:
-    """Adds ``hashes`` of all windows of ``slots``, by doubling; empty if there are fewer words.
+    """Adds ``hashes_t`` and ``hashes_w`` of all windows of ``slots``, by doubling; empty if there are fewer words.
 
     Explode them with the outer forms: for the others the optimiser infers a filter on the array's size, pushes it
     below these steps, and so repeats them inside one expression.
     """
-    out = slots.withColumn("hashes", F.transform("slots", lambda s: F.xxhash64(s["t"])))
+    names = {f: f"hashes_{f}" for f in FORMS}
+    hashed = lambda f: lambda s: F.xxhash64(s[f])
+    out = slots.withColumns({h: F.transform("slots", hashed(f)) for f, h in names.items()})
 
     def joined(df: DataFrame, by: int) -> DataFrame:
-        n = F.greatest(F.size("hashes") - by, F.lit(0))
-        return df.withColumn("hashes", F.zip_with(F.slice("hashes", F.lit(1), n), F.slice("hashes", F.lit(by + 1), n), lambda a, b: F.xxhash64(a, b)))
+        n = F.greatest(F.size("hashes_w") - by, F.lit(0))
+        return df.withColumns({h: F.zip_with(F.slice(h, F.lit(1), n), F.slice(h, F.lit(by + 1), n), lambda a, b: F.xxhash64(a, b)) for h in names.values()})
 
     size = 1
     while size * 2 <= window:
@@ -75,6 +87,17 @@ def with_windows(slots: DataFrame, window: int) -> DataFrame:
     return joined(out, window - size) if window > size else out
 
 
+def placed(slots: DataFrame, window: int) -> DataFrame:
+    """A row for every window and form: place ``at``, ``form``, ``hash``, ``x`` (array of t: words in that form, w: bare words)."""
+    each = F.arrays_zip(*(F.col(f"hashes_{f}") for f in FORMS))
+    rows = with_windows(slots, window).withColumn("all", each).select(*(c for c in slots.columns if c != "slots"), "slots", F.posexplode_outer("all").alias("at", "h"))
+    own = F.slice("slots", F.col("at") + 1, F.lit(window))
+    seen_as = lambda f: lambda s: F.struct(s[f].alias("t"), s["w"].alias("w"))
+    forms = F.array(*(F.struct(F.lit(f).alias("form"), F.col(f"h.hashes_{f}").alias("hash"), F.transform("own", seen_as(f)).alias("x")) for f in FORMS))
+    rows = rows.where("h IS NOT NULL").withColumn("own", own).drop("slots")
+    return rows.select(*(c for c in slots.columns if c != "slots"), "at", F.explode(forms).alias("f")).select(*(c for c in slots.columns if c != "slots"), "at", "f.form", "f.hash", "f.x")
+
+
 def one_to_one(pairs: Column) -> Column:
     """Whether distinct (b, d) pairs map every b to one d and the reverse."""
     return (F.size(F.array_distinct(F.transform(pairs, lambda p: p["b"]))) == F.size(pairs)) & (F.size(F.array_distinct(F.transform(pairs, lambda p: p["d"]))) == F.size(pairs))
@@ -84,31 +107,31 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = 8, concrete: in
     """One row per document and item that share evidence: id, item, n_windows (matched windows of the item), first_word
     (place in the document of the first, from 0), reparameterised (some slot value differs)."""
     items = with_slots(benchmark.select(benchmark[item_col].alias("item"), benchmark[item_text_col].cast("string").alias("text")))
-    placed = with_windows(items, window).select("item", "slots", F.posexplode_outer("hashes").alias("at", "hash"))
-    own = F.slice("slots", F.col("at") + 1, F.lit(window))
-    placed = placed.select("item", F.col("at").alias("item_at"), "hash", F.slice("slots", F.col("at") + 1, F.lit(window)).alias("own"))
-    placed = cut_lineage(placed.withColumn("solid", F.size(F.filter("own", lambda s: s["v"].isNull())) >= concrete).distinct())
+    own = placed(items, window).select("item", F.col("at").alias("item_at"), F.col("form").alias("item_form"), "hash", F.col("x").alias("own"))
+    solid = F.size(F.filter("own", lambda s: s["t"] == s["w"])) >= F.when(F.col("item_form") == "w", 0).otherwise(concrete)
+    own = cut_lineage(own.withColumn("solid", solid).distinct())
 
-    keys = placed.where("solid").select("hash").distinct()
-    rows = placed.count()
+    keys = own.where("solid").select("hash").distinct()
+    rows = own.count()
     texts = docs.select(docs[id_col].cast("bigint").alias("id"), docs[text_col].cast("string").alias("text"))
-    hashed = with_windows(with_slots(texts), window).select("id", F.explode_outer("hashes").alias("hash"))
+    every = F.array_distinct(F.concat(*(F.col(f"hashes_{f}") for f in FORMS)))
+    hashed = with_windows(with_slots(texts), window).select("id", F.explode_outer(every).alias("hash"))
     hit = cut_lineage(hashed.join(hinted(keys, rows), "hash", "left_semi").select("id").distinct())
 
     few = hinted(hit.select(F.col("id").alias("hit")), hit.count())
-    found = texts.join(few, F.col("id").eqNullSafe(F.col("hit")), "left_semi")
-    found = with_windows(with_slots(found), window).select("id", "slots", F.posexplode_outer("hashes").alias("at", "hash"))
-    found = found.select("id", "at", "hash", F.slice("slots", F.col("at") + 1, F.lit(window)).alias("theirs"))
-    met = found.join(hinted(placed, rows), "hash").where(F.transform("own", lambda s: s["t"]) == F.transform("theirs", lambda s: s["t"]))
-    pairs = F.array_distinct(F.filter(F.zip_with("own", "theirs", lambda a, b: F.struct(a["v"].alias("b"), b["v"].alias("d"))), lambda p: p["b"].isNotNull()))
-    met = met.select("id", "item", "at", "item_at", pairs.alias("pairs"), "solid", (F.col("solid") & F.forall(pairs, lambda p: p["b"] == p["d"])).alias("verbatim"))
-    aligned = met.groupBy("id", "item", (F.col("at") - F.col("item_at")).alias("shift")).agg(
+    found = placed(with_slots(texts.join(few, F.col("id").eqNullSafe(F.col("hit")), "left_semi")), window).withColumnRenamed("x", "theirs")
+    met = found.join(hinted(own, rows), "hash").where(((F.col("form") == "w") == (F.col("item_form") == "w")) & (F.transform("own", lambda s: s["t"]) == F.transform("theirs", lambda s: s["t"])))
+    pairs = F.array_distinct(F.filter(F.zip_with("own", "theirs", lambda a, b: F.when(a["t"] != a["w"], F.struct(a["w"].alias("b"), b["w"].alias("d")))), lambda p: p.isNotNull()))
+    met = met.select("id", "item", "form", "item_form", "at", "item_at", pairs.alias("pairs"), "solid", (F.col("solid") & F.forall(pairs, lambda p: p["b"] == p["d"])).alias("verbatim"))
+    aligned = met.groupBy("id", "item", "form", "item_form", (F.col("at") - F.col("item_at")).alias("shift")).agg(
         F.collect_set(F.when(F.col("solid"), F.col("item_at"))).alias("solid"), F.collect_set(F.when(F.col("verbatim"), F.col("item_at"))).alias("verbatim"),
         F.min(F.when(F.col("solid"), F.col("at"))).alias("first"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"),
     ).withColumn("whole", one_to_one(F.col("pairs")))
     evidence = aligned.withColumn("windows", F.when(F.col("whole"), F.col("solid")).otherwise(F.col("verbatim"))).where(F.size("windows") > 0)
-    out = evidence.groupBy("id", "item").agg(
+    plain = (F.col("form") == "t") & (F.col("item_form") == "t")
+    out = evidence.groupBy("id", "item", plain.alias("plain")).agg(
         F.size(F.array_distinct(F.flatten(F.collect_set("windows")))).cast("bigint").alias("n_windows"), F.min("first").cast("bigint").alias("first_word"),
         F.max(F.col("whole") & F.exists("pairs", lambda p: p["b"] != p["d"])).alias("reparameterised"),
     )
-    return out.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "n_windows", "first_word", "reparameterised")
+    out = out.groupBy("id", "item").agg(F.max_by(F.struct("n_windows", "first_word", "reparameterised"), "plain").alias("best"))
+    return out.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "best.*")

@@ -212,3 +212,19 @@ def test_contamination(spark):
     assert set(rows) == {10, 11, None} and not rows[10]["reparameterised"] and rows[11]["reparameterised"]
     assert rows[10]["first_word"] == 7 and rows[10]["item_id"] == 1
     assert decontaminate.matches(docs.limit(0), benchmark).count() == 0 and decontaminate.matches(docs, benchmark.limit(0)).count() == 0
+
+
+NAMES_ITEM = "Marie Curie, Pierre Curie and Henri Becquerel shared the Nobel Prize in Physics in 1903"
+PLAIN_ITEM = "the slow river carries brown leaves past the old mill and under a stone bridge"
+
+
+def contaminated(spark, items, docs):
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    return {(r["doc_id"], r["item_id"]): r for r in decontaminate.matches(documents(spark, *docs), benchmark).collect()}
+
+
+def test_contamination_by_verbatim_copies(spark):
+    docs = [(1, "Look here: " + PLAIN_ITEM.title()), (2, "look " + PLAIN_ITEM.upper()), (3, "So it was that " + NAMES_ITEM + " at last."), (4, "and " + NAMES_ITEM.upper()), (5, "a river and an old mill")]
+    rows = contaminated(spark, [PLAIN_ITEM, NAMES_ITEM], docs)
+    assert set(rows) == {(1, 0), (2, 0), (3, 1), (4, 1)} and not any(r["reparameterised"] for r in rows.values())
+    assert rows[1, 0]["n_windows"] == 8 and rows[1, 0]["first_word"] == 2
