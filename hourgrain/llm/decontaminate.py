@@ -8,8 +8,10 @@ document, an item and the distance between their places) the item's slot values
 is not; a window whose slots have the item's own values is evidence without that. Windows with fewer than ``concrete`` words
 that are no placeholders only take part in the check of slots and are no evidence.
 
-Windows of bare lower-cased words that are equal are verbatim evidence, whatever their capitals and however few of them are concrete. The figures of a document
-and an item come from the template (which is what the SQL states) if it has evidence, else from the bare words.
+In a second variant of the template, capitals that open a sentence are names too, and further number words and ordinals are
+numbers; windows meet in either variant of either side, and each pair of variants has its own alignments. Windows of bare
+lower-cased words that are equal are verbatim evidence, whatever their capitals and however few of them are concrete. The figures of a document
+and an item come from the first variant (which is what the SQL states) if it has evidence, else from the others.
 
 The first pass explodes only window hashes; documents without a hit never carry their text any further. Item windows are
 broadcast when their counted rows are few enough, otherwise both sides are shuffled.
@@ -29,13 +31,21 @@ from hourgrain.llm.common import cut_lineage, hinted
 #: A number, or a word with inner apostrophes or hyphens; trailing sentence ends stay with it.
 WORD = r"(?:\p{N}+(?:[.,:/]\p{N}+)*|\p{L}[\p{L}\p{N}]*(?:['’-][\p{L}\p{N}]+)*)[.!?]*"
 NUMBER_WORDS = "zero two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen twenty thirty forty fifty hundred thousand million billion".split()
+#: Further number words, which are placeholders in the second variant only.
+_TENS, _ONES = "twenty thirty forty fifty sixty seventy eighty ninety".split(), "one two three four five six seven eight nine".split()
+_FIRST = "first second third fourth fifth sixth seventh eighth ninth".split()
+MORE_NUMBER_WORDS = (
+    [*"one sixteen seventeen eighteen nineteen sixty seventy eighty ninety trillion".split(), *_FIRST]
+    + "tenth eleventh twelfth thirteenth fourteenth fifteenth sixteenth seventeenth eighteenth nineteenth hundredth thousandth millionth billionth".split()
+    + [f"{x[:-1]}ieth" for x in _TENS] + [f"{x}-{y}" for x in _TENS for y in _ONES + _FIRST]
+)
 UNITS = (
     "mm cm m km inch inches foot feet yard yards mile miles mg g kg ton tons ounce ounces pound pounds ml l liter liters litre litres gallon gallons "
     "second seconds minute minutes hour hours day days week weeks month months year years dollar dollars cent cents euro euros percent degrees watt watts volt volts joule joules mph kmh"
 ).split()
 
-#: The forms in which windows are compared: template words and bare words.
-FORMS = ("t", "w")
+#: The forms in which windows are compared: the two template variants and the bare words.
+FORMS = ("t", "u", "w")
 
 
 def words(text: Column) -> Column:
@@ -43,7 +53,7 @@ def words(text: Column) -> Column:
 
 
 def with_slots(texts: DataFrame) -> DataFrame:
-    """``text`` replaced by ``slots``, an array of (t: template word, w: bare word).
+    """``text`` replaced by ``slots``, an array of (t, u: template words of the two variants, w: bare word).
 
     Each step is a column of its own, so that no expression repeats the work of an earlier one.
     """
@@ -61,14 +71,15 @@ def with_slots(texts: DataFrame) -> DataFrame:
 
     def slot(s: Column) -> Column:
         t = F.when(s["k"] == "<opens>", s["w"]).otherwise(F.coalesce(s["k"], s["w"]))
-        return F.struct(t.alias("t"), s["w"].alias("w"))
+        u = F.when(s["w"].isin(*MORE_NUMBER_WORDS), F.lit("<num>")).when(s["k"] == "<opens>", F.lit("<name>")).otherwise(F.coalesce(s["k"], s["w"]))
+        return F.struct(t.alias("t"), u.alias("u"), s["w"].alias("w"))
 
     kinds = bare.withColumn("kinds", F.transform("tokens", one)).drop("tokens", "bare")
     return kinds.withColumn("slots", F.transform("kinds", slot)).drop("kinds")
 
 
 def with_windows(slots: DataFrame, window: int) -> DataFrame:
-    """Adds ``hashes_t`` and ``hashes_w`` of all windows of ``slots``, by doubling; empty if there are fewer words.
+    """Adds ``hashes_t``, ``hashes_u`` and ``hashes_w`` of all windows of ``slots``, by doubling; empty if there are fewer words.
 
     Explode them with the outer forms: for the others the optimiser infers a filter on the array's size, pushes it
     below these steps, and so repeats them inside one expression.

@@ -228,3 +228,19 @@ def test_contamination_by_verbatim_copies(spark):
     rows = contaminated(spark, [PLAIN_ITEM, NAMES_ITEM], docs)
     assert set(rows) == {(1, 0), (2, 0), (3, 1), (4, 1)} and not any(r["reparameterised"] for r in rows.values())
     assert rows[1, 0]["n_windows"] == 8 and rows[1, 0]["first_word"] == 2
+
+
+def test_contamination_by_other_names_and_number_words(spark):
+    marbles = "Anna has 12 red marbles. Ben has 7 blue marbles. Anna gives Ben 3 marbles."
+    stairs = "count all the sixteen wooden stairs that lead below"
+    eight = "Anna walks along the quiet river every morning"
+    rank = "who came in at the second place of that long race"
+    docs = [
+        (1, "Carl has 40 red marbles. Dora has 9 blue marbles. Carl gives Dora 5 marbles."), (2, "now count all the seventeen wooden stairs that lead below"),
+        (3, "Question: Anna walks along the quiet river every morning"), (4, "Question: Dora walks along the quiet river every morning"),
+        (5, "who came in at the third place of that long race"), (6, "now count all the twenty-one wooden stairs that lead below"),
+        (7, "Carl has 40 red marbles. Dora has 9 blue marbles. Dora gives Dora 5 marbles."),
+    ]
+    rows = contaminated(spark, [marbles, stairs, eight, rank], docs)
+    assert set(rows) >= {(1, 0), (2, 1), (3, 2), (4, 2), (5, 3), (6, 1)}
+    assert rows[1, 0]["reparameterised"] and not rows[3, 2]["reparameterised"]
