@@ -158,6 +158,15 @@ def test_lm_base_and_fold(spark):
     assert lm.scores(spark.createDataFrame([], "doc_id bigint, text string"), public_tokenizers.path("byte_bpe_50k.tiktoken")).count() == 0
 
 
+def test_lm_scores_do_not_depend_on_the_broadcast_list(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 60")
+    score = lambda: {r["doc_id"]: r["score"] for r in lm.scores(docs, public_tokenizers.path("byte_bpe_50k.tiktoken")).collect()}
+    whole = score()
+    monkeypatch.setattr(lm, "COMMON", 20)
+    joined = score()
+    assert set(whole) == set(joined) and all(abs(whole[i] - joined[i]) < 0.01 + 1e-4 * abs(whole[i]) for i in whole)
+
+
 def test_lm_windows_score_every_token_once():
     rng = np.random.default_rng(0)
     p = lm.start_parameters() | {"pairs": rng.standard_normal((lm.CLASSES + 1, lm.CLASSES)).astype(np.float32)}
