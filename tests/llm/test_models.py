@@ -158,6 +158,16 @@ def test_lm_base_and_fold(spark):
     assert lm.scores(spark.createDataFrame([], "doc_id bigint, text string"), public_tokenizers.path("byte_bpe_50k.tiktoken")).count() == 0
 
 
+def test_lm_training_visits_every_window(spark):
+    rng = np.random.default_rng(2)
+    sizes = [3, 40 * lm.SPAN + 5, 25 * lm.SPAN]
+    rows = [(i, bytes(rng.integers(0, lm.CLASSES, n, dtype=np.uint8))) for i, n in enumerate(sizes)]
+    per_pass = [sum(int((lm.windows(np.frombuffer(c, dtype=np.uint8).astype(np.int16), lm.SPAN, (i + t) % min(lm.VISIT, -(-len(c) // lm.SPAN)), lm.VISIT)[1] >= 0).sum()) for i, c in rows) for t in range(lm.ROUNDS)]
+    assert sum(per_pass) >= sum(sizes)
+    trained = lm.train(spark.createDataFrame(rows, "row bigint, classes binary").coalesce(1))
+    assert np.isfinite(lm.flat(trained)).all() and not np.array_equal(lm.flat(trained), lm.flat(lm.start_parameters()))
+
+
 def test_lm_scores_do_not_depend_on_the_broadcast_list(spark, monkeypatch):
     docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 60")
     score = lambda: {r["doc_id"]: r["score"] for r in lm.scores(docs, public_tokenizers.path("byte_bpe_50k.tiktoken")).collect()}
