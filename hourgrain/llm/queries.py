@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hourgrain.llm import bpe, decontaminate, embeddings, lm, quality, simhash, substring, suffix, warc
+from hourgrain.llm import bpe, decontaminate, embeddings, filter_audit, fim, lm, quality, simhash, substring, suffix, toxicity, warc
 from hourgrain.llm.common import table
 from hourgrain.llm.token_counts import token_counts
 
@@ -111,6 +111,49 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.scores(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+@query("op11_toxicity")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op12_fill_in_middle", r"""
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u, sha256(concat('1:', doc_id)) AS x FROM documents),
+    h AS (SELECT doc_id, t, u, len(u) AS n, list_transform([1, 9, 17, 25], lambda i: ('0x' || substr(x, i, 8))::BIGINT) AS h FROM d),
+    c AS (SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b FROM h),
+    f AS (SELECT doc_id, n, t, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 90 THEN 'plain'
+        WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form,
+      array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m, array_to_string(u[b + 1:], '') AS s FROM c)
+    SELECT doc_id, n, form, CASE WHEN form != 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form != 'plain' THEN length(m) END AS middle_chars,
+      sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+      sha256(t) AS restored_sha256 FROM f""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.fill_in_middle(table(spark, sf_dir, "documents"), outputs=False)
+
+
+@query("op13_filter_audit", r"""
+    WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    l AS (SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+    f AS (SELECT part, concat(CASE WHEN len(w) < 50 THEN 'A' END, CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 'B' END,
+        CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) THEN 'C' END, CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' END,
+        CASE WHEN d.doc_id > min(d.doc_id) OVER (PARTITION BY t) THEN 'E' END) AS fails, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic
+      FROM d LEFT JOIN l ON l.doc_id = d.doc_id),
+    c AS (SELECT part, fails, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic FROM f GROUP BY part, fails),
+    x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS k),
+    o AS (SELECT concat(a.k, b.k, c.k, d.k, e.k) AS filter_order FROM x a, x b, x c, x d, x e
+      WHERE a.k NOT IN (b.k, c.k, d.k, e.k) AND b.k NOT IN (c.k, d.k, e.k) AND c.k NOT IN (d.k, e.k) AND d.k != e.k),
+    s AS (SELECT filter_order, step, substr(filter_order, step, 1) AS k, left(filter_order, step - 1) AS before, left(filter_order, step) AS upto FROM o, (SELECT unnest(range(1, 6))::INTEGER AS step)),
+    r AS (SELECT part, filter_order, step, k, sum(n) FILTER (WHERE translate(fails, upto, '') = fails) AS kept,
+        sum(n) FILTER (WHERE translate(fails, before, '') = fails AND contains(fails, k)) AS removed,
+        sum(n) FILTER (WHERE translate(fails, before, '') != fails AND contains(fails, k)) AS redundant, sum(n) FILTER (WHERE fails = k) AS unique_fails,
+        sum(good) FILTER (WHERE translate(fails, before, '') = fails AND contains(fails, k)) AS good_lost,
+        sum(toxic) FILTER (WHERE translate(fails, before, '') = fails AND contains(fails, k)) AS toxic_lost FROM c, s GROUP BY part, filter_order, step, k)
+    SELECT part, filter_order, step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant,
+      coalesce(unique_fails, 0)::BIGINT AS unique_fails, coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+      (sum(coalesce(removed, 0)) OVER (PARTITION BY part, k))::BIGINT AS shapley FROM r""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 # The same windows in SQL: words, placeholders, alignments, one-to-one slots.
 _SLOTS = r"""
     SELECT id, i, bare AS w, CASE WHEN ascii(raw) BETWEEN 48 AND 57 OR bare IN ({numbers}) THEN '<num>' WHEN bare IN ({units}) THEN '<unit>'
