@@ -147,3 +147,25 @@ def test_draws_do_not_depend_on_partitioning(spark):
     a = B.draw_blocks(df, ["site"], "b", 5, 9).collect()
     b = B.draw_blocks(df.repartition(7), ["site"], "b", 5, 9).collect()
     assert sorted(map(tuple, a)) == sorted(map(tuple, b)) and len(a) == 150
+
+
+@pytest.mark.parametrize("cells,size", [(4, 1), (16, 7), (1024, 3)])
+def test_narrowed_ranks_equal_a_sort(spark, monkeypatch, cells, size):
+    """Small cells and a small sort force several rounds: ties, far outliers, strings with one prefix, ids beyond 2**53."""
+    monkeypatch.setattr(O, "CELLS", cells)
+    monkeypatch.setattr(O, "SORTED", size)
+    rng = random.Random(cells)
+    score = lambda: rng.choice([0.5, 0.5, 0.25, rng.random(), -rng.random(), rng.random() * 1e-9, 1e300, -1e300, float("inf"), 1e15 + rng.randint(0, 3), None, float("nan")])
+    data = [(rng.choice(["a", "b", None]), score(), score(), f"prefix-{rng.randint(0, 3)}", (1 << 53) + i) for i in range(500)]
+    df = spark.createDataFrame(data, "g string, p double, q double, s string, i bigint")
+    flags = O.flag_top(df, ["g"], {"x": K.order_by("p", ["s", "i"]), "y": K.order_by("q", ["s", "i"])}, {"a": K.budget(0.03), "b": K.budget(0.5)}).collect()
+    for name, column in (("x", "p"), ("y", "q")):
+        for part, fraction in (("a", 0.03), ("b", 0.5)):
+            for g in ("a", "b", None):
+                own = [r for r in flags if r.g == g]
+                able = sorted((r for r in own if r[column] is not None and r[column] == r[column]), key=lambda r: (-r[column], r.s, r.i))
+                assert {r.i for r in own if r[f"{name}_{part}"]} == {r.i for r in able[: math.ceil(fraction * len(own))]}
+    plain = df.where("NOT isnan(p) AND abs(p) < 1e301")
+    got = {r.g: (r.l, r.m) for r in O.quantiles(plain, ["g"], {"l": (F.col("p"), 0.1), "m": (F.col("p"), 0.77)}).collect()}
+    held = {r.g: (r.l, r.m) for r in O.quantiles(plain, ["g"], {"l": (F.col("p"), 0.1), "m": (F.col("p"), 0.77)}, bounded=True).collect()}
+    assert got.keys() == held.keys() and all(got[g] == pytest.approx(held[g], rel=1e-12) for g in got)
