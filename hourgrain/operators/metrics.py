@@ -45,10 +45,10 @@ def probability_scores(df: DataFrame, keys: Sequence[str], event: str, p: str, p
     return out.drop("__prior")
 
 
-def average_precision(df: DataFrame, keys: Sequence[str], event: str, p: str) -> DataFrame:
+def average_precision(df: DataFrame, keys: Sequence[str], event: str, p: str, **kw) -> DataFrame:
     """Step-wise average precision: tied scores enter together; NULL without events."""
     cells = df.groupBy(*keys, p).agg(F.count("*").alias("__n"), F.sum(F.col(event).cast("bigint")).alias("__h"))
-    cum = O.running_totals(cells, keys, p, ["__n", "__h"])
+    cum = O.running_totals(cells, keys, p, ["__n", "__h"], **kw)
     gained = F.sum(F.col("__h") * F.col("cum___h") / F.col("cum___n"))
     return cum.groupBy(*keys).agg((gained / F.nullif(F.sum("__h"), F.lit(0))).alias("average_precision"))
 
@@ -121,7 +121,7 @@ def paired_probability_gain(df: DataFrame, keys: Sequence[str], event: str, p0:
         F.sum(F.when(F.col("in_base"), e).otherwise(0)).cast("bigint").alias("hits_base"),
         F.sum(F.when(F.col("in_added"), e).otherwise(0)).cast("bigint").alias("hits_added"),
     )
-    ap = average_precision(melt(df, [*keys, event], {"base": p0, "added": p1}, "__side", "__p"), [*keys, "__side"], event, "__p")
+    ap = average_precision(melt(df, [*keys, event], {"base": p0, "added": p1}, "__side", "__p"), [*keys, "__side"], event, "__p", **kw)
     of = lambda side: F.max(F.when(F.col("__side") == side, F.col("average_precision")))
     ap = ap.groupBy(*keys).agg((of("added") - of("base")).alias("ap_gain"))
     out = O.join_groups(gain, ap, keys, "left").withColumn("additional_hits", F.col("hits_added") - F.col("hits_base"))

@@ -14,7 +14,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from hourgrain.session import cut_lineage
+from hourgrain.session import cut_lineage, few
 
 
 def same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
@@ -142,8 +142,8 @@ def at_ranks(rows: DataFrame, keys: Sequence[str], fields: Sequence[str], target
         placed = placed.where((F.col("__k") <= F.col("__cum")) & (F.col("__k") > F.col("__cum") - F.col("__n")))
         deeper = F.concat_ws("/", "__path", F.col("__cell").cast("string"))
         found = cut_lineage(placed.select(*keys, "__t", (F.col("__k") - F.col("__cum") + F.col("__n")).alias("__k"), deeper.alias("__path"), "__rows", *lows, *highs))
-        largest = found.agg(F.max("__rows")).first()[0] or 0
-        wanted = found.select(*by, *lows, *highs).dropDuplicates(by)
+        largest, count = found.agg(F.coalesce(F.max("__rows"), F.lit(0)), F.count("*")).first()
+        wanted = few(found.select(*by, *lows, *highs).dropDuplicates(by), count)
         tagged = left.withColumn("__path", F.concat_ws("/", "__path", cell.cast("string")))
         left = join_groups(tagged, wanted, by)
         if largest <= SORTED or size is not None and largest >= size:
@@ -162,7 +162,7 @@ def at_ranks(rows: DataFrame, keys: Sequence[str], fields: Sequence[str], target
         ranked = left.withColumn("cum___w", F.sum("__w").over(W.partitionBy(*by).orderBy(*fields).rowsBetween(W.unboundedPreceding, W.currentRow)))
     else:  # fields that no number tells apart
         ranked = cumulative(left, by, fields, ["__w"])
-    hit = join_groups(found.select(*by, "__t", "__k"), ranked, by).where((F.col("__k") <= F.col("cum___w")) & (F.col("__k") > F.col("cum___w") - F.col("__w")))
+    hit = join_groups(ranked, few(found.select(*by, "__t", "__k"), count), by).where((F.col("__k") <= F.col("cum___w")) & (F.col("__k") > F.col("cum___w") - F.col("__w")))
     return hit.select(*keys, "__t", *fields)
 
 
@@ -200,29 +200,49 @@ def kth_keys(df: DataFrame, keys: Sequence[str], orders: dict[str, Sequence[tupl
     return hit.groupBy(*keys).agg(*aggs) if keys else hit.agg(*aggs)
 
 
-def flag_top(df: DataFrame, keys: Sequence[str], orders: dict[str, Sequence[tuple[str, bool]]], sizes: Column | dict[str, Column]) -> DataFrame:
+def flag_top(df: DataFrame, keys: Sequence[str], orders: dict[str, Sequence[tuple[str, bool]]], sizes: Column | dict[str, Column], bounded: bool = False) -> DataFrame:
     """Add one boolean per named order (and size): is the row among the group's first rows?
 
     Rows are compared with the group's k-th sort key, so no ranks are attached to rows. With several
-    sizes the columns are called ``<order>_<size>``. The keys of all orders and sizes are found together.
+    sizes the columns are called ``<order>_<size>``. The keys of all orders and sizes are found together. ``bounded=True`` states
+    that a group's size is limited by the calendar or a parameter; such groups are ranked by a window.
     """
     named = sizes if isinstance(sizes, dict) else {"": sizes}
+    if bounded:
+        out = df.withColumn("n", F.count("*").over(W.partitionBy(*keys))) if "n" not in df.columns else df.withColumn("__n", F.col("n")).withColumn("n", F.count("*").over(W.partitionBy(*keys)))
+        for o, order in orders.items():
+            able = _ranked(df, order)
+            rank = F.row_number().over(W.partitionBy(*keys, able).orderBy(_sort_key(order)))
+            out = out.withColumn("__rank", F.when(able, rank))
+            for n, size in named.items():
+                out = out.withColumn(f"{o}_{n}" if n else o, F.coalesce(F.col("__rank") <= size, F.lit(False)))
+        out = out.drop("__rank", "n")
+        return out.withColumnRenamed("__n", "n") if "n" in df.columns else out
     kth = kth_keys(df, keys, {f"__kth_{o}": order for o, order in orders.items()}, named)
-    out = join_groups(df, kth, keys, "left")
+    out = join_groups(df, few(kth), keys, "left") if keys else df.crossJoin(F.broadcast(cut_lineage(kth)))  # without keys, one row
     for o, order in orders.items():
         for n in named:
-            taken = _ranked(df, order) & (_sort_key(order) <= F.col(f"__kth_{o}_{n}"))
-            out = out.withColumn(f"{o}_{n}" if n else o, F.coalesce(taken, F.lit(False))).drop(f"__kth_{o}_{n}")
+            out = out.withColumn(f"{o}_{n}" if n else o, _taken(df, order, F.col(f"__kth_{o}_{n}"))).drop(f"__kth_{o}_{n}")
     return out
 
 
-def top_rows(df: DataFrame, keys: Sequence[str], order: Sequence[tuple[str, bool]], size: Column) -> DataFrame:
+def _taken(df: DataFrame, order: Sequence[tuple[str, bool]], kth: Column) -> Column:
+    """Whether a row comes no later than ``kth``; most rows are told by the leading column alone."""
+    (column, descending), last = order[0], kth["k0"]
+    lead = -F.col(column) if descending else F.col(column)
+    return F.coalesce(_ranked(df, order) & ((lead < last) | ((lead == last) & (_sort_key(order) <= kth))), F.lit(False))
+
+
+def top_rows(df: DataFrame, keys: Sequence[str], order: Sequence[tuple[str, bool]], size: Column, bounded: bool = False) -> DataFrame:
     """The first ``size`` rows of each group under ``order``."""
-    return flag_top(df, keys, {"__top": order}, size).where("__top").drop("__top")
+    return flag_top(df, keys, {"__top": order}, size, bounded).where("__top").drop("__top")
 
 
-def running_totals(cells: DataFrame, keys: Sequence[str], value: str, sums: Sequence[str], descending: bool = True) -> DataFrame:
+def running_totals(cells: DataFrame, keys: Sequence[str], value: str, sums: Sequence[str], descending: bool = True, bounded: bool = False) -> DataFrame:
     """Cumulative ``sums`` up to and including each row, as ``cum_<name>``; ``value`` is unique within a group."""
+    if bounded:
+        along = W.partitionBy(*keys).orderBy(F.desc(value) if descending else F.asc(value)).rowsBetween(W.unboundedPreceding, W.currentRow)
+        return cells.select("*", *[F.sum(x).over(along).alias(f"cum_{x}") for x in sums])
     signed = cells.withColumn("__o", F.col(value) * F.lit(-1.0 if descending else 1.0))
     return cumulative(signed, keys, ["__o"], sums).drop("__o")
 

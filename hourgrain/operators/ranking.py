@@ -36,22 +36,14 @@ def budget_table(df: DataFrame, keys: Sequence[str], p: str, event: str, value:
     fs = list(fractions)
     marked = O.flag_top(df, keys, {"__sel": order_by(p, ties)}, {str(i): budget(f) for i, f in enumerate(fs)}, **kw)
     e = F.col(event).cast("bigint")
-    sel = [F.col(f"__sel_{i}") for i in range(len(fs))]
-    wide = O.quantiles(
-        marked, keys, {f"__v{i}": (F.when(s, F.col(value)), 0.5) for i, s in enumerate(sel)},
-        {
-            "n_test": F.count("*"), "n_events": F.sum(e),
-            **{f"__s{i}": F.count_if(s) for i, s in enumerate(sel)},
-            **{f"__h{i}": F.sum(F.when(s, e).otherwise(0)) for i, s in enumerate(sel)},
-        },
-        **kw,
-    )
-    rows = F.explode(F.array(*[
-        F.struct(F.lit(float(f)).alias("fraction"), F.col(f"__s{i}").alias("selected"), F.col(f"__h{i}").alias("hits"), F.col(f"__v{i}").alias("median_value"))
-        for i, f in enumerate(fs)
-    ]))
-    out = wide.select(*keys, "n_test", "n_events", rows.alias("__r")).select(*keys, "n_test", "n_events", "__r.*")
-    return out.withColumn("precision", F.col("hits") / F.col("selected")).withColumn(
+    # a row once for each budget that takes it
+    sizes = F.explode(F.array_compact(F.array(*[F.when(F.col(f"__sel_{i}"), F.lit(i)) for i in range(len(fs))])))
+    chosen = marked.select(*keys, sizes.alias("__i"), e.alias("__e"), F.col(value).alias("__v"))
+    parts = O.quantiles(chosen, [*keys, "__i"], {"median_value": (F.col("__v"), 0.5)}, {"selected": F.count("*"), "hits": F.sum(F.coalesce("__e", F.lit(0)))}, **kw)
+    every = F.explode(F.array(*[F.struct(F.lit(i).alias("__i"), F.lit(float(f)).alias("fraction")) for i, f in enumerate(fs)]))
+    frame = df.groupBy(*keys).agg(F.count("*").alias("n_test"), F.sum(e).alias("n_events")).select(*keys, "n_test", "n_events", every.alias("s")).select(*keys, "n_test", "n_events", "s.*")
+    out = O.join_groups(frame, parts, [*keys, "__i"], "left").drop("__i").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("selected", "hits")})
+    return out.withColumn("precision", F.col("hits") / F.nullif(F.col("selected"), F.lit(0))).withColumn(
         "recall", F.col("hits") / F.nullif(F.col("n_events"), F.lit(0))
     )
 

@@ -76,7 +76,7 @@ def study_blocks(t: Tables):
     o = cut_lineage(origins(t))
     b = o.join(cuts(t, o), "site")
     fit = b.where("lead_h = 3 AND n_valid >= 4 AND origin_valid AND block_end <= cal_cut")
-    th = LB.month_thresholds(fit, ["site"], "mean_value", "block_start", at_least=20)
+    th = LB.month_thresholds(fit, ["site"], "mean_value", "block_start", at_least=20, **ST.BLOCKS)
     b = ST.with_calendar(LB.with_thresholds(b, th, ["site"]), "block_start")
     b = b.withColumn("log_total", F.log1p("total")).withColumn("log_n82", F.log1p("n82"))
     ok = (F.col("n_valid") >= 4) & F.col("origin_valid") & F.col("high_threshold").isNotNull()
@@ -121,7 +121,7 @@ def robustness_cases(t: Tables):
     desc = LB.block_hours(h, th, ["site"], "target")
     rec = A.recent_mean(b, hourly, ["site", "block_start", "lead_h"], "target").withColumn("log_recent", F.log1p("recent_mean")).withColumn("log_current", F.log1p("current_value"))
     x = cut_lineage(rec.join(desc, ["site", "block_start"], "left").join(cut, "origin", "left"))
-    med = LB.month_thresholds(x.where("fit AND lead_h = 3"), ["site"], "median_value", "block_start", at_least=1).select(
+    med = LB.month_thresholds(x.where("fit AND lead_h = 3"), ["site"], "median_value", "block_start", at_least=1, **ST.BLOCKS).select(
         "site", "month", F.col("high_threshold").alias("median_threshold")
     )
     x = x.join(med, ["site", "month"], "left").withColumn("log_extra", F.lit(None).cast("double"))

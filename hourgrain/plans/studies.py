@@ -21,6 +21,9 @@ from hourgrain.session import cut_lineage
 
 CALENDAR = ["sin_hour", "cos_hour", "sin_year", "cos_year"]
 
+#: Groups of six-hour blocks (a site, a lead, a case, a model) are bounded by the calendar: at most 1,461 rows in a year.
+BLOCKS = {"bounded": True}
+
 
 def report(tables: dict[str, tuple[DataFrame, Sequence[str]]]) -> DataFrame:
     """Long form of several result tables: (table, key, metric, value) over their numeric columns."""
@@ -151,8 +154,8 @@ def probability_report(pred: DataFrame, keys: Sequence[str], models: Sequence[st
     keep = [*keys, event, value, *ties, *([prior] if prior else [])]
     long = K.melt(pred, keep, {m: f"p_{m}" for m in models})
     by = [*keys, "model"]
-    s = O.join_groups(M.probability_scores(long, by, event, "p", prior), M.average_precision(long, by, event, "p"), by)
-    return {"scores": s, "budgets": K.budget_table(long, by, "p", event, value, ties, fractions)}
+    s = O.join_groups(M.probability_scores(long, by, event, "p", prior), M.average_precision(long, by, event, "p", **BLOCKS), by)
+    return {"scores": s, "budgets": K.budget_table(long, by, "p", event, value, ties, fractions, **BLOCKS)}
 
 
 def pair_report(pred: DataFrame, keys: Sequence[str], pairs: Sequence[tuple[str, str]], event: str, ties: Sequence[str], block: str, seed: int, draws: int) -> DataFrame:
@@ -163,7 +166,7 @@ def pair_report(pred: DataFrame, keys: Sequence[str], pairs: Sequence[tuple[str,
     long = pred.select(*keys, event, block, *ties, rows.alias("s")).select(*keys, event, block, *ties, "s.*")
     long = cut_lineage(long.where("p0 IS NOT NULL AND p1 IS NOT NULL"))
     by = [*keys, "base", "added"]
-    g = M.paired_probability_gain(long, by, event, "p0", "p1", ties)
+    g = M.paired_probability_gain(long, by, event, "p0", "p1", ties, **BLOCKS)
     return O.join_groups(g, B.selection_interval(long, by, block, event, "p0", "p1", ties, seed, draws), by)
 
 
@@ -202,10 +205,10 @@ def block_states(blocks: DataFrame, sets: dict[str, Sequence[str]], min_fit: int
     keys = [site, "min_hours", "lead_h", "tail"]
     rows = cut_lineage(block_state_cases(blocks))
     support, use = enough_classes(rows, keys, min_fit, min_test)
-    p = cut_lineage(G.fit_predict(use, keys, sets, "event"))
+    p = cut_lineage(G.fit_predict(use, keys, sets, "event", **BLOCKS))
     long = K.melt(p, [*keys, "event", "cal", "test", "block_start"], {n: f"p_{n}" for n in sets})
     by = [*keys, "model"]
-    cut = G.alarm_cut(long, by, "p", "event", "cal")
+    cut = G.alarm_cut(long, by, "p", "event", "cal", **BLOCKS)
     test = long.where("test")
     alarms = M.alarm_counts(O.join_groups(test, cut, by).withColumn("alarm", F.col("p") > F.col("alarm_cut")), by, "event", "alarm")
     t = p.where("test").withColumn("week", S.epoch_week(F.col("block_start"))).withColumn("t", S.micros(F.col("block_start")))
@@ -223,7 +226,7 @@ def block_states(blocks: DataFrame, sets: dict[str, Sequence[str]], min_fit: int
 def cross_site_states(blocks: DataFrame, sets: dict[str, Sequence[str]], min_fit: int = 40, min_test: int = 20, draws: int = 1000, seed: int = 280900) -> dict[str, DataFrame]:
     """High states at every site under monthly and pooled thresholds, at each lead."""
     keys = ["site", "definition", "lead_h"]
-    pooled = LB.pooled_thresholds(blocks.where((F.col("lead_h") == 3) & (F.col("block_end") <= F.col("cal_cut"))), ["site"], "mean_value")
+    pooled = LB.pooled_thresholds(blocks.where((F.col("lead_h") == 3) & (F.col("block_end") <= F.col("cal_cut"))), ["site"], "mean_value", **BLOCKS)
     each = F.explode(F.array(
         F.struct(F.lit("monthly").alias("d"), F.col("high_threshold").alias("t")), F.struct(F.lit("pooled_sensitivity").alias("d"), F.col("pooled_high").alias("t")),
     ))
@@ -231,7 +234,7 @@ def cross_site_states(blocks: DataFrame, sets: dict[str, Sequence[str]], min_fit
     rows = rows.withColumn("definition", F.col("__d.d")).withColumn("threshold", F.col("__d.t")).drop("__d").where("threshold IS NOT NULL")
     rows = rows.withColumn("event", LB.is_high(F.col("mean_value"), F.col("threshold")).cast("int"))
     support, use = enough_classes(rows, keys, min_fit, min_test)
-    p = G.fit_predict(cut_lineage(use), keys, sets, "event", score="test")
+    p = G.fit_predict(cut_lineage(use), keys, sets, "event", score="test", **BLOCKS)
     p = O.join_groups(p, G.frequency_prior(use, keys, "event"), keys)
     p = cut_lineage(p.withColumn("week", S.epoch_week(F.col("block_start"))).withColumn("t", S.micros(F.col("block_start"))))
     probs = probability_report(p, keys, [*sets, "fitting_frequency"], "event", ["t"], "mean_value", "p_fitting_frequency")
@@ -239,8 +242,8 @@ def cross_site_states(blocks: DataFrame, sets: dict[str, Sequence[str]], min_fit
         p, keys, [("calendar_total", "calendar_total_f82"), ("calendar_total", "calendar_N82"), ("fitting_frequency", "calendar_total_f82")],
         "event", ["t"], "week", seed, draws,
     )
-    flagged = K.flag_pair(p, keys, "p_calendar_total", "p_calendar_total_f82", ["t"])
-    overlap = K.overlap_table(flagged, keys, "event", ["mean_value"])
+    flagged = K.flag_pair(p, keys, "p_calendar_total", "p_calendar_total_f82", ["t"], **BLOCKS)
+    overlap = K.overlap_table(flagged, keys, "event", ["mean_value"], **BLOCKS)
     seasons = M.stratum_brier(p, keys, F.col("season"), "event", "p_calendar_total", "p_calendar_total_f82")
     return {"support": support, "predictions": p, "scores": probs["scores"], "budgets": probs["budgets"], "gains": gains, "overlap": overlap, "seasons": seasons}
 
@@ -255,7 +258,7 @@ def block_robustness(cases: DataFrame, sets: dict[str, Sequence[str]], pairs: Se
     keys = ["site", "case", "lead_h"]
     support, use = enough_classes(cases, keys, min_fit, min_test)
     coverage = C.monthly_coverage(cases.where("partition IS NOT NULL"), [*keys, "partition"], {"n_blocks": F.count("*"), "high_blocks": F.sum(F.col("event").cast("bigint"))})
-    p = G.fit_predict(cut_lineage(use), keys, sets, "event", score="test")
+    p = G.fit_predict(cut_lineage(use), keys, sets, "event", score="test", **BLOCKS)
     p = O.join_groups(p, G.frequency_prior(use, keys, "event"), keys)
     p = cut_lineage(p.withColumn("week", S.epoch_week(F.col("block_start"))).withColumn("t", S.micros(F.col("block_start"))))
     probs = probability_report(p, keys, list(sets), "event", ["t"], "mean_value", "p_fitting_frequency")
@@ -263,7 +266,7 @@ def block_robustness(cases: DataFrame, sets: dict[str, Sequence[str]], pairs: Se
     return {
         "support": support, "coverage": coverage, "scores": probs["scores"], "reliability": M.reliability(long, [*keys, "model"], "event", "p"),
         "gains": pair_report(p, keys, pairs, "event", ["t"], "week", seed, draws),
-        "overlap": K.overlap_table(K.flag_pair(p, keys, "p_calendar_total", "p_calendar_total_f82", ["t"]), keys, "event", ["mean_value"]),
+        "overlap": K.overlap_table(K.flag_pair(p, keys, "p_calendar_total", "p_calendar_total_f82", ["t"], **BLOCKS), keys, "event", ["mean_value"], **BLOCKS),
     }
 
 
@@ -525,13 +528,13 @@ def weather_adjusted(cases: DataFrame, base: Sequence[str], min_fit: int = 40, m
     cases = cut_lineage(cases)
     support, use = enough_classes(cases, keys, min_fit, min_test)
     coverage = C.monthly_coverage(cases.withColumn("period", F.when(F.col("fit"), "fit").when(F.col("test"), "test")).where("period IS NOT NULL"), [*keys, "period"], {"n_matched": F.count("*")})
-    p = G.fit_predict(use, keys, sets, "event", score="test")
+    p = G.fit_predict(use, keys, sets, "event", score="test", **BLOCKS)
     p = cut_lineage(p.withColumn("week", S.epoch_week(F.col("block_start"))).withColumn("t", S.micros(F.col("block_start"))))
     probs = probability_report(p, keys, list(sets), "event", ["t"], "mean_value")
     pairs = [("N", "N_f82"), ("N_met", "N_met_f82"), ("N", "N_met")]
     gains = pair_report(p, keys, pairs, "event", ["t"], "week", seed, draws)
     seasons = M.stratum_brier(p, keys, F.col("season"), "event", "p_N_met", "p_N_met_f82")
-    overlap = K.overlap_table(K.flag_pair(p, keys, "p_N_met", "p_N_met_f82", ["t"]), keys, "event", ["mean_value"])
+    overlap = K.overlap_table(K.flag_pair(p, keys, "p_N_met", "p_N_met_f82", ["t"], **BLOCKS), keys, "event", ["mean_value"], **BLOCKS)
     return {"support": support, "coverage": coverage, "predictions": p, "scores": probs["scores"], "gains": gains, "seasons": seasons, "overlap": overlap}
 
 
@@ -555,6 +558,6 @@ def weather_boosted(cases: DataFrame, base: Sequence[str], draws: int = 1000, se
     out = cut_lineage(out)
     probs = probability_report(out, keys, list(sets), "event", ["t"], "mean_value", fractions=(0.05, 0.1, 0.2, 0.3))
     budget = B.budget_interval(out, keys, "week", "event", "mean_value", "p_N_met", "p_N_met_f82", ["t"], seed, draws)
-    overlap = K.overlap_table(K.flag_pair(out, keys, "p_N_met", "p_N_met_f82", ["t"]), keys, "event", ["mean_value"])
+    overlap = K.overlap_table(K.flag_pair(out, keys, "p_N_met", "p_N_met_f82", ["t"], **BLOCKS), keys, "event", ["mean_value"], **BLOCKS)
     fitted = out.sparkSession.createDataFrame(settings_rows, "model string, best_iteration int")
     return {"scores": probs["scores"], "budgets": probs["budgets"], "budget_gains": budget, "overlap": overlap, "settings": fitted}

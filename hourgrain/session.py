@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -40,6 +40,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows up to which a counted table of groups is broadcast; beyond, both sides are shuffled.
+FEW_ROWS = 100_000
+
+
+def few(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """``df`` stored and counted, with a broadcast hint if it has few rows; a join's result is the same either way."""
+    if rows is None:
+        df = cut_lineage(df)
+        rows = df.count()
+    return F.broadcast(df) if rows <= FEW_ROWS else df
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path below the shared folder that no earlier run has used."""
     if spark.sparkContext.getCheckpointDir() is None:

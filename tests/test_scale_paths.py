@@ -169,3 +169,13 @@ def test_narrowed_ranks_equal_a_sort(spark, monkeypatch, cells, size):
     got = {r.g: (r.l, r.m) for r in O.quantiles(plain, ["g"], {"l": (F.col("p"), 0.1), "m": (F.col("p"), 0.77)}).collect()}
     held = {r.g: (r.l, r.m) for r in O.quantiles(plain, ["g"], {"l": (F.col("p"), 0.1), "m": (F.col("p"), 0.77)}, bounded=True).collect()}
     assert got.keys() == held.keys() and all(got[g] == pytest.approx(held[g], rel=1e-12) for g in got)
+
+
+def test_bounded_groups_give_the_same_selections(table):
+    orders = {"x": K.order_by("p", ["i"]), "y": K.order_by("v", ["i"])}
+    sizes = {"a": K.budget(0.05), "b": K.budget(0.4)}
+    df = table.withColumn("n", F.col("w") * 10)
+    pick = lambda flags: sorted((r.i, r.n, r.x_a, r.x_b, r.y_a, r.y_b) for r in flags.collect())
+    assert pick(O.flag_top(df, ["g"], orders, sizes)) == pick(O.flag_top(df, ["g"], orders, sizes, bounded=True))
+    near = lambda df: {r.g: None if r.average_precision is None else round(r.average_precision, 12) for r in df.collect()}
+    assert near(M.average_precision(table, ["g"], "e", "p")) == near(M.average_precision(table, ["g"], "e", "p", bounded=True))
