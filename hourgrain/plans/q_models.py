@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hourgrain.functions import scalars as S, spectra as P
-from hourgrain.operators import align as A, cohort as C, linear as L, logistic as G, metrics as M, ordering as O, preparation as Z, proxy as Y, trees as T_
+from hourgrain.operators import align as A, case_trees as CT, cohort as C, linear as L, logistic as G, metrics as M, ordering as O, preparation as Z, proxy as Y, trees as T_
 from hourgrain.plans.q_align import daily_split, labelled_daily, lead_rows, partitioned
 from hourgrain.plans.q_spectra import rounded
 from hourgrain.plans.registry import CTES, query, sql
@@ -112,27 +112,24 @@ def penalty_sweep(t: Tables):
 
 
 def features(df, *cols):
-    return df.withColumn("features", F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in cols]))
+    return df.withColumn("features", F.array(*[F.col(c).cast("double") for c in cols]))
 
 
 @query("mdl06_boosted_regression")
 def boosted_regression(t: Tables):
-    d = features(daily_inputs(t), "x1", "x2", "month")
-    p = T_.boosted_regression(d.where("fit"), d.where("test"), "features", "y", maxIter=10)
+    p = CT.fit_cases(features(daily_inputs(t), "x1", "x2", "month"), ["site"], ["timestamp"], "features", "y", "regression")
     return M.regression_scores(p, ["site"], "y", "p")
 
 
 @query("mdl07_boosted_classification")
 def boosted_classification(t: Tables):
-    d = features(block_cases(t), "x1", "x2", "month")
-    p, best = T_.boosted_classification(d.where("fit"), d.where("cal"), d.where("test"), "features", "event", maxIter=10, patience=5)
-    return M.probability_scores(p, ["site"], "event", "p").withColumn("best_iteration", F.lit(best))
+    p = CT.fit_cases(features(block_cases(t), "x1", "x2", "month"), ["site"], ["timestamp"], "features", "event", "boosted", validation="cal")
+    return M.probability_scores(p, ["site", "best_iteration"], "event", "p")
 
 
 @query("mdl08_random_forest")
 def random_forest(t: Tables):
-    d = features(block_cases(t), "x1", "x2", "month")
-    p = T_.forest_classification(d.where("fit"), d.where("test"), "features", "event", numTrees=30)
+    p = CT.fit_cases(features(block_cases(t), "x1", "x2", "month"), ["site"], ["timestamp"], "features", "event", "forest")
     return M.probability_scores(p, ["site"], "event", "p")
 
 

@@ -198,9 +198,8 @@ def benchmark_rows(t: Tables):
 
 @query("pip08_model_benchmark")
 def model_benchmark(t: Tables):
-    feats = {(r, c): feature_column(r, c) for r in ("N", "N_plus_f82") for c in ("current", "history6")}
-    few = {"random_forest": {"numTrees": 10, "maxDepth": 4}, "boosted": {"maxIter": 3, "minInstancesPerNode": 5}, "boosted_shallow": {"maxIter": 3, "minInstancesPerNode": 5}}
-    r = ST.model_benchmark(benchmark_rows(t), "calendar", feats, draws=20, settings=few)
+    feats = {(r, c): feature_column(r, c) for r in ("N", "N82", "N_plus_f82", "full24") for c in ("current", "history6")}
+    r = ST.model_benchmark(benchmark_rows(t), "calendar", feats, draws=20)
     k = ["context", "representation", "model"]
     return out(r, scores=k, gains=["context", "model", "base", "added"], history=["model", "representation", "base", "added"], strata=[*k, "stratum"])
 
@@ -287,6 +286,6 @@ def weather_adjusted(t: Tables):
 
 @query("pip14_weather_boosted")
 def weather_boosted(t: Tables):
-    r = ST.weather_boosted(weather_case_rows(t), [*BASE, "log_total"], 10, maxIter=5, patience=3, minInstancesPerNode=5)
+    r = ST.weather_boosted(weather_case_rows(t), [*BASE, "log_total"], 10)
     k = ["site", "subset", "lead_h"]
-    return out(r, scores=[*k, "model"], budgets=[*k, "model", "fraction"], budget_gains=[*k, "fraction"], overlap=[*k, "selection"], settings=["model"])
+    return out(r, scores=[*k, "model"], budgets=[*k, "model", "fraction"], budget_gains=[*k, "fraction"], overlap=[*k, "selection"], settings=[*k, "model"])

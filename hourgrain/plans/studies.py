@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from hourgrain.functions import scalars as S, spectra as P
 from hourgrain.operators import (
-    align as A, cohort as C, labels as LB, linear as L, logistic as G, metrics as M, ordering as O,
+    align as A, case_trees as CT, cohort as C, labels as LB, linear as L, logistic as G, metrics as M, ordering as O,
     proxy as Y, quality as Q, ranking as K, resampling as B, rollup as R, spectrum as X, trees as T,
 )
 from hourgrain.session import cut_lineage
@@ -284,29 +284,29 @@ def month_selection(pred: DataFrame, p0: str, p1: str, ties: Sequence[str], even
 
 def model_benchmark(rows: DataFrame, calendar: str, features: dict[tuple[str, str], Column], families: Sequence[str] = ("logistic", "random_forest", "boosted", "boosted_shallow"),
                     draws: int = 1000, seed: int = 270929, settings: dict[str, dict] | None = None) -> dict[str, DataFrame]:
-    """Model families x representations x contexts on one common cohort, calibrated and compared.
+    """Model families x representations x contexts on the common cohort of each site, calibrated and compared.
 
     ``rows`` carry key columns, ``event``, ``partition`` in train / validation / calibration / test
-    and the history arrays. The number of fits is fixed by the design; each fit is distributed.
+    and the history arrays. Trees are fitted for each site, representation and context, all in one job a family; the logistic
+    models, with up to 150 predictors, are one distributed fit each over all sites.
     """
     settings = settings or {}
     rows = cut_lineage(rows)
     keep = ["site", "block_start", "partition", "event"]
-    runs = [("logistic", "calendar", "current", F.col(calendar))]
-    runs += [(f, r, c, x) for (r, c), x in features.items() for f in families]
+    score = F.col("partition").isin("calibration", "test")
     parts = []
-    for family, rep, context, x in runs:
+    for rep, context, x in [("calendar", "current", F.col(calendar)), *((r, c, x) for (r, c), x in features.items())]:
         d = rows.select(*keep, x.alias("features"))
-        train, val = d.where("partition = 'train'"), d.where("partition = 'validation'")
-        score = d.where("partition IN ('calibration', 'test')")
-        if family == "logistic":
-            p = T.wide_logistic(scaled(train, train), scaled(score, train), "features", "event")
-        elif family == "random_forest":
-            p = T.forest_classification(train, score, "features", "event", **settings.get(family, {}))
-        else:
-            extra = {"maxDepth": 3} if family == "boosted_shallow" else {}
-            p, _ = T.boosted_classification(train, val, score, "features", "event", **{**extra, **settings.get(family, {})})
-        parts.append(p.select(*keep, "p").withColumn("model", F.lit(family)).withColumn("representation", F.lit(rep)).withColumn("context", F.lit(context)))
+        train = d.where("partition = 'train'")
+        p = T.wide_logistic(scaled(train, train), scaled(d.where(score), train), "features", "event")
+        parts.append(p.select(*keep, "p").withColumn("model", F.lit("logistic")).withColumn("representation", F.lit(rep)).withColumn("context", F.lit(context)))
+    each = F.explode(F.array(*[F.struct(F.lit(r).alias("representation"), F.lit(c).alias("context"), x.alias("features")) for (r, c), x in features.items()]))
+    long = rows.select(*keep, each.alias("s")).select(*keep, "s.*").withColumns({name: F.col("partition") == name for name in ("train", "validation")}).withColumn("score", score)
+    names = {"random_forest": "forest", "boosted": "boosted", "boosted_shallow": "boosted_shallow"}
+    for family in (f for f in families if f in names):
+        stop = None if family == "random_forest" else "validation"
+        p = CT.fit_cases(long, ["site", "representation", "context"], ["block_start", "partition"], "features", "event", names[family], "train", stop, None, "score", **settings.get(family, {}))
+        parts.append(p.withColumn("event", F.col("event").cast("int")).select(*keep, "p", F.lit(family).alias("model"), "representation", "context"))
     pred = cut_lineage(reduce(lambda a, b: a.unionByName(b), parts))
     by = ["context", "representation", "model"]
     cal = G.calibrate(pred.withColumn("is_cal", F.col("partition") == "calibration"), by, "p", "event", "is_cal").where("partition = 'test'")
@@ -539,25 +539,26 @@ def weather_adjusted(cases: DataFrame, base: Sequence[str], min_fit: int = 40, m
 
 
 def weather_boosted(cases: DataFrame, base: Sequence[str], draws: int = 1000, seed: int = 928700, **settings) -> dict[str, DataFrame]:
-    """Boosted trees with early stopping on an inner chronological part, refitted on all fit rows,
-    at four selection budgets. One model per predictor set over all sites, leads and subsets."""
+    """Boosted trees with early stopping on an inner chronological part, refitted on all fit rows for the best number of
+    rounds, at four selection budgets. One model for each site, lead, subset and predictor set, all in one job."""
     met = [*WEATHER, "log_rain"]
     sets = {"N": base, "N_f82": [*base, "f82"], "N_met": [*base, *met], "N_met_f82": [*base, "f82", *met]}
-    inner = C.date_fraction_cut(cases.where("fit"), "site", "origin", 0.8, "inner_cut").drop("n_days")
-    rows = cases.join(inner, "site").withColumn("train", F.col("fit") & (F.col("block_end") <= F.col("inner_cut"))).withColumn(
+    keys = ["site", "subset", "lead_h"]
+    cases = cases.withColumn("__case", F.concat_ws("|", *keys))
+    inner = C.date_fraction_cut(cases.where("fit"), "__case", "origin", 0.8, "inner_cut").drop("n_days")
+    rows = cases.join(inner, "__case").drop("__case").withColumn("train", F.col("fit") & (F.col("block_end") <= F.col("inner_cut"))).withColumn(
         "inner_val", F.col("fit") & (F.col("origin") >= F.col("inner_cut"))
     )
     rows = cut_lineage(rows.withColumn("t", S.micros(F.col("block_start"))).withColumn("week", S.epoch_week(F.col("block_start"))))
-    keys = ["site", "subset", "lead_h"]
-    out, settings_rows = rows.where("test"), []
-    for n, cs in sets.items():
-        d = rows.withColumn("features", F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in cs]))
-        p, best = T.boosted_classification(d.where("train"), d.where("inner_val"), d.where("test"), "features", "event", out=f"p_{n}", refit=d.where("fit"), **settings)
-        out = out.join(p.select(*keys, "block_start", f"p_{n}"), [*keys, "block_start"])
-        settings_rows.append((n, best))
-    out = cut_lineage(out)
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("model"), F.array(*[F.col(c).cast("double") for c in cs]).alias("features")) for n, cs in sets.items()]))
+    flags = ["train", "inner_val", "fit", "test"]
+    long = rows.select(*keys, "block_start", "event", *flags, each.alias("s")).select(*keys, "block_start", "event", *flags, "s.*")
+    p = cut_lineage(CT.fit_cases(long, [*keys, "model"], ["block_start"], "features", "event", "boosted", "train", "inner_val", "fit", "test", **settings))
+    wide = p.groupBy(*keys, "block_start").agg(*[F.max(F.when(F.col("model") == n, F.col("p"))).alias(f"p_{n}") for n in sets])
+    out = cut_lineage(O.join_groups(rows.where("test"), wide, [*keys, "block_start"]))
     probs = probability_report(out, keys, list(sets), "event", ["t"], "mean_value", fractions=(0.05, 0.1, 0.2, 0.3))
     budget = B.budget_interval(out, keys, "week", "event", "mean_value", "p_N_met", "p_N_met_f82", ["t"], seed, draws)
     overlap = K.overlap_table(K.flag_pair(out, keys, "p_N_met", "p_N_met_f82", ["t"], **BLOCKS), keys, "event", ["mean_value"], **BLOCKS)
-    fitted = out.sparkSession.createDataFrame(settings_rows, "model string, best_iteration int")
+    counts = rows.groupBy(*keys).agg(F.count_if("fit").alias("n_fit"), F.count_if("test").alias("n_test"), F.count_if("train").alias("n_inner_train"), F.count_if("inner_val").alias("n_inner_validation"))
+    fitted = O.join_groups(p.groupBy(*keys, "model").agg(F.max("best_iteration").alias("best_iteration")), counts, keys)
     return {"scores": probs["scores"], "budgets": probs["budgets"], "budget_gains": budget, "overlap": overlap, "settings": fitted}
