@@ -66,12 +66,13 @@ def linked_pairs(x: np.ndarray, y: np.ndarray, least: float, same: bool):
             yield a[sure], b[sure]
 
 
-def tile(ids: np.ndarray, copies: np.ndarray, side: np.ndarray, vectors: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ids with links, their linked vectors in this tile, and the root of each in a forest that spans the links."""
+def tile(ids: np.ndarray, copies: np.ndarray, side: np.ndarray, vectors: np.ndarray, least: float, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids with links, their linked vectors in this tile, and the root of each in a forest that spans the links.
+
+    ``same``: the tile is one block with itself; otherwise only pairs of the two sides count, none if a side is empty."""
     unit = vectors / np.abs(vectors).max(axis=1, keepdims=True)  # first, so that squares stay finite
     unit /= np.linalg.norm(unit, axis=1, keepdims=True)
     left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-    same = len(right) == 0
     other = left if same else right
     found = np.zeros(len(ids), dtype=np.int64)
     root = np.arange(len(ids))
@@ -109,7 +110,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, block: int = BLO
     def run(group: pa.Table) -> pa.Table:
         dim = group.column("d")[0].as_py()
         flat = group.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
-        node, links, root = tile(*(group.column(c).to_numpy() for c in ("node", "copies", "side")), flat, threshold)
+        node, links, root = tile(*(group.column(c).to_numpy() for c in ("node", "copies", "side")), flat, threshold, group.column("a")[0] == group.column("b")[0])
         return pa.table({"node": pa.array(node, pa.int64()), "links": pa.array(links, pa.int64()), "root": pa.array(root, pa.int64())})
 
     tiles = cut_lineage(dealt.groupBy("d", "a", "b").applyInArrow(run, "node bigint, links bigint, root bigint"))
