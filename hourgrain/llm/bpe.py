@@ -21,6 +21,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from hourgrain.llm.common import MEMORIES
+
 #: Fixed value: the pattern of byte-level pre-tokens that the tokenizer file names by ``use_regex``.
 BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -162,6 +164,7 @@ class ByteBPE(dict):
 
 
 _LOADED: dict[str, object] = {}
+MEMORIES.append(_LOADED)
 
 
 def loaded(kind: type, key: str, vocabulary: Vocabulary):

@@ -15,6 +15,16 @@ from hourgrain.session import configure, cut_lineage, scratch_path
 BROADCAST_ROWS = 2_000_000
 
 
+#: What operators remember in a worker between tasks; ``forget`` empties it.
+MEMORIES: list[dict] = []
+
+
+def forget() -> None:
+    """Drop what other operators have remembered in this worker, before a stage that needs its memory."""
+    for memory in MEMORIES:
+        memory.clear()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return configure(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 

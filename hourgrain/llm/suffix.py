@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hourgrain.llm import kmers
-from hourgrain.llm.common import row_batches, stored
+from hourgrain.llm.common import forget, row_batches, stored
 from hourgrain.llm.kmers import NO_ID
 
 #: Text of a chunk, of a part of it that is hashed at once, and of a bucket.
@@ -296,6 +296,7 @@ def chunked(rows: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in row_batches(batches, "text", CHUNK_BYTES):
             ids = np.array([NO_ID if i is None else i for i in batch.column("id").to_pylist()], dtype=np.int64)
             texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
@@ -314,6 +315,7 @@ def repeated_keys(chunks: DataFrame, buckets: int, window: int, gram: int) -> Da
     """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             for chunk, content in zip(batch.column(0).to_pylist(), batch.column(1)):
                 keys, many = own_keys(kmers.unpacked(content.as_py())[1], window, gram)
@@ -340,6 +342,7 @@ def spans(chunks: DataFrame, buckets: int, window: int, gram: int) -> DataFrame:
     """(chunk, row, start, end) in bytes of what occurs earlier."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             for chunk, content, parts in zip(batch.column("chunk").to_pylist(), batch.column("content"), batch.column("parts").to_pylist()):
                 ids, texts, _ = kmers.unpacked(content.as_py())
