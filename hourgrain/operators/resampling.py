@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from hourgrain.functions import scalars as S
-from hourgrain.operators import ordering as O
+from hourgrain.operators import ordering as O, redraw as R
 
 
 def date_block(ts: Column) -> Column:
@@ -154,21 +154,20 @@ def draw_order(p: str, slot: str, ties: Sequence[str]) -> Column:
 
 
 def precision_gain_draws(df: DataFrame, keys: Sequence[str], block: str, event: str, p0: str, p1: str, ties: Sequence[str], seed: int,
-                         draws: int, fractions: Sequence[float] = (0.1,), buckets: int = 256) -> DataFrame:
+                         draws: int, fractions: Sequence[float] = (0.1,)) -> DataFrame:
     """Per draw and budget: precision of the added minus the base model, both re-ranked in the draw."""
     from hourgrain.operators.ranking import melt
 
-    long = melt(df, [*keys, block, event, *ties], {"base": p0, "added": p1}, "__side", "__p")
-    taken = draw_blocks(df, keys, block, draws, seed)
-    cut = resampled_cut(long, [*keys, "__side"], keys, taken, block, "__p", event, ties, fractions, buckets)
+    long = melt(R.numbered(df, keys, block), [*keys, event, *ties, "__i", "__nb"], {"base": p0, "added": p1}, "__side", "__p")
+    cut = R.selection_hits(long, [*keys, "__side"], "__p", event, ties, fractions, draws, seed)
     signed = F.when(F.col("__side") == "added", F.col("hits")).otherwise(-F.col("hits")) / F.col("k")
     return cut.groupBy(*keys, "draw", "fraction").agg(F.sum(signed).alias("precision_gain"))
 
 
 def selection_interval(df: DataFrame, keys: Sequence[str], block: str, event: str, p0: str, p1: str, ties: Sequence[str], seed: int,
-                       draws: int = 1000, fraction: float = 0.1, buckets: int = 256) -> DataFrame:
+                       draws: int = 1000, fraction: float = 0.1) -> DataFrame:
     """Intervals of the Brier gain and of the re-ranked top-budget precision gain."""
-    g = precision_gain_draws(df, keys, block, event, p0, p1, ties, seed, draws, (fraction,), buckets)
+    g = precision_gain_draws(df, keys, block, event, p0, p1, ties, seed, draws, (fraction,))
     b = brier_gain_interval(df, keys, block, event, p0, p1, seed, draws)
     out = O.join_groups(b, interval(g, keys, ["precision_gain"]).drop("precision_gain_valid_draws"), keys)
     n = df.select(*keys, block).distinct().groupBy(*keys).agg(F.count("*").alias("n_blocks"))
@@ -210,19 +209,15 @@ def budget_interval(df: DataFrame, keys: Sequence[str], block: str, event: str,
 def median_difference_interval(df: DataFrame, keys: Sequence[str], block: str, group: str, value: str, seed: int, draws: int = 1000) -> DataFrame:
     """Interval of median(high) - median(low) over block resamples; draws without both are skipped.
 
-    A block taken m times enters as m copies of its counted values, not as m rows.
+    Medians of all draws come from counts per (value cell, block), see ``redraw``; no row meets the draws.
     """
     keys = list(keys)
-    cells = df.groupBy(*keys, block, group, value).agg(F.count("*").alias("__c"))
-    times = draw_blocks(df, keys, block, draws, seed).groupBy(*keys, "draw", block).agg(F.count("*").alias("__m"))
-    j = cells.join(times, [*keys, block]).withColumn("__m", F.col("__m") * F.col("__c"))
-    v = F.col(value)
-    d = O.quantiles(
-        j, [*keys, "draw"],
-        {"__h": (F.when(F.col(group) == "high", v), 0.5), "__l": (F.when(F.col(group) == "low", v), 0.5)}, copies="__m",
-    )
-    d = d.select(*keys, (F.col("__h") - F.col("__l")).alias("difference"))
-    return interval(d, keys, ["difference"])
+    rows = R.numbered(df, keys, block).where(F.col(group).isin("high", "low"))
+    m = R.medians(rows, [*keys, group], value, draws, seed)
+    sides = {n: F.max(F.when(F.col(group) == n, F.col("median"))) for n in ("high", "low")}
+    d = m.groupBy(*keys, "draw").agg((sides["high"] - sides["low"]).alias("difference"))
+    out = O.join_groups(df.select(*keys).distinct(), interval(d, keys, ["difference"]), keys, "left")
+    return out.withColumn("difference_valid_draws", F.coalesce("difference_valid_draws", F.lit(0).cast("bigint")))
 
 
 def selection_contrast_interval(df: DataFrame, keys: Sequence[str], block: str, event: str, ratio: str, p0: str, p1: str, ties: Sequence[str],

@@ -215,7 +215,7 @@ def context_gain(t: Tables):
     return rounded(g.select("site", "context", "brier_gain", "additional_hits"))
 
 
-DRAWS = 50
+DRAWS = 1000
 
 
 def draws_sql(src: str, keys: str, block: str, seed: int, draws: int = DRAWS) -> dict[str, str]:
@@ -261,13 +261,14 @@ BRIER_V = """SELECT site, draw, sum(d) / sum(n) AS g FROM dr JOIN (SELECT site,
 @query(
     "bst04_brier_interval",
     sql("ev", "SELECT site, round(quantile_cont(g, 0.025), 6) AS brier_gain_lo95, round(quantile_cont(g, 0.975), 6) AS brier_gain_hi95 FROM v GROUP BY site",
-        **draws_sql("ev", "site", "week", 41), v=BRIER_V),
+        **draws_sql("ev", "site", "week", 41, 2 * DRAWS), v=BRIER_V),
 )
 def brier_interval(t: Tables):
-    return rounded(B.brier_gain_interval(events(t), ["site"], "week", "event", "prob0", "prob1", 41, DRAWS))
+    return rounded(B.brier_gain_interval(events(t), ["site"], "week", "event", "prob0", "prob1", 41, 2 * DRAWS))
 
 
-FEW = 20
+#: Draws of the queries that still join selected rows to draws.
+FEW = 10
 INST = f"""SELECT e.site, e.event, e.target, e.ym, d.draw, row_number() OVER (PARTITION BY e.site, d.draw ORDER BY prob0 DESC, slot, {TIE_SQL}) AS r0,
       row_number() OVER (PARTITION BY e.site, d.draw ORDER BY prob1 DESC, slot, {TIE_SQL}) AS r1, count(*) OVER (PARTITION BY e.site, d.draw) AS n FROM ev e JOIN dr d USING (site, week)"""
 
@@ -276,12 +277,12 @@ INST = f"""SELECT e.site, e.event, e.target, e.ym, d.draw, row_number() OVER (PA
     "bst05_reranked_interval",
     sql("ev", """SELECT site, round(quantile_cont(g, 0.025), 6) AS brier_gain_lo95, round(quantile_cont(g, 0.975), 6) AS brier_gain_hi95, round(any_value(lo), 6) AS precision_gain_lo95,
       round(any_value(hi), 6) AS precision_gain_hi95, (SELECT max(nb) FROM ix WHERE ix.site = v.site) AS n_blocks FROM v JOIN w USING (site) GROUP BY site""",
-        **draws_sql("ev", "site", "week", 51, FEW), v=BRIER_V, inst=INST,
+        **draws_sql("ev", "site", "week", 51), v=BRIER_V, inst=INST,
         w="""SELECT site, quantile_cont(g, 0.025) AS lo, quantile_cont(g, 0.975) AS hi FROM (SELECT site, draw,
           (sum(event) FILTER (WHERE r1 <= ceil(0.1::DOUBLE * n)) - sum(event) FILTER (WHERE r0 <= ceil(0.1::DOUBLE * n))) / any_value(ceil(0.1::DOUBLE * n)) AS g FROM inst GROUP BY site, draw) GROUP BY site"""),
 )
 def reranked_interval(t: Tables):
-    return rounded(B.selection_interval(events(t), ["site"], "week", "event", "prob0", "prob1", TIES, 51, FEW))
+    return rounded(B.selection_interval(events(t), ["site"], "week", "event", "prob0", "prob1", TIES, 51, DRAWS))
 
 
 @query(
@@ -291,21 +292,21 @@ def reranked_interval(t: Tables):
       (SELECT site, f, draw, avg(event) FILTER (WHERE r1 <= ceil(f * n)) - avg(event) FILTER (WHERE r0 <= ceil(f * n)) AS pg,
         median(target) FILTER (WHERE r1 <= ceil(f * n)) - median(target) FILTER (WHERE r0 <= ceil(f * n)) AS mg FROM
         (SELECT *, unnest([0.05::DOUBLE, 0.1::DOUBLE, 0.2::DOUBLE, 0.3::DOUBLE]) AS f FROM inst) GROUP BY site, f, draw) GROUP BY site, f""",
-        **draws_sql("ev", "site", "week", 61, 10), inst=INST),
+        **draws_sql("ev", "site", "week", 61, FEW), inst=INST),
 )
 def budget_interval(t: Tables):
-    return rounded(B.budget_interval(events(t), ["site"], "week", "event", "target", "prob0", "prob1", TIES, 61, 10), "fraction")
+    return rounded(B.budget_interval(events(t), ["site"], "week", "event", "target", "prob0", "prob1", TIES, 61, FEW), "fraction")
 
 
 @query(
     "bst07_median_difference",
     sql("ev", """SELECT site, round(quantile_cont(d, 0.025), 6) AS difference_lo95, round(quantile_cont(d, 0.975), 6) AS difference_hi95, count(d) AS difference_valid_draws FROM
       (SELECT site, draw, median(target) FILTER (WHERE prob0 >= 0.8) - median(target) FILTER (WHERE prob0 <= 0.2) AS d FROM ev JOIN dr USING (site, week) GROUP BY site, draw) GROUP BY site""",
-        **draws_sql("ev", "site", "week", 71, FEW)),
+        **draws_sql("ev", "site", "week", 71)),
 )
 def median_difference(t: Tables):
     e = events(t).withColumn("grp", F.when(F.col("prob0") >= 0.8, "high").when(F.col("prob0") <= 0.2, "low"))
-    return rounded(B.median_difference_interval(e, ["site"], "week", "grp", "target", 71, FEW))
+    return rounded(B.median_difference_interval(e, ["site"], "week", "grp", "target", 71, DRAWS))
 
 
 @query(
@@ -313,8 +314,8 @@ def median_difference(t: Tables):
     sql("ev", f"""SELECT site, {', '.join(f"round(quantile_cont({c}, 0.025), 6) AS {c}_lo95, round(quantile_cont({c}, 0.975), 6) AS {c}_hi95, count({c}) AS {c}_valid_draws"
       for c in ('precision_gain', 'median_ratio_gain', 'exclusive_median_gain'))} FROM (SELECT site, draw, {CONTRAST} FROM
       (SELECT *, r0 <= ceil(0.1::DOUBLE * n) AS a, r1 <= ceil(0.1::DOUBLE * n) AS b FROM inst) GROUP BY site, draw) GROUP BY site""",
-        **draws_sql("ev", "site", "week", 81, 10),
+        **draws_sql("ev", "site", "week", 81, FEW),
         inst=INST.replace("PARTITION BY e.site, d.draw", "PARTITION BY e.site, d.draw, e.ym")),
 )
 def month_contrast_interval(t: Tables):
-    return rounded(B.selection_contrast_interval(events(t), ["site"], "week", "event", "target", "prob0", "prob1", TIES, ["ym"], 81, 10))
+    return rounded(B.selection_contrast_interval(events(t), ["site"], "week", "event", "target", "prob0", "prob1", TIES, ["ym"], 81, FEW))
