@@ -9,7 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import types as T
 
 from hourgrain.functions import scalars as S
 from hourgrain.operators import ordering as O, redraw as R
@@ -64,11 +67,27 @@ def interval(values: DataFrame, keys: Sequence[str], names: Sequence[str]) -> Da
 
 
 def resampled_sums(df: DataFrame, keys: Sequence[str], block: str, sums: dict[str, Column], draws: int, seed: int) -> DataFrame:
-    """Per draw, the sums over the sampled blocks: (keys, draw, *sums)."""
-    per = df.groupBy(*keys, block).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
-    taken = draw_blocks(per, keys, block, draws, seed).groupBy(*keys, "draw", block).agg(F.count("*").alias("__m"))
-    j = O.join_groups(taken, per, [*keys, block])
-    return j.groupBy(*keys, "draw").agg(*[F.sum(F.col(n) * F.col("__m")).alias(n) for n in sums])
+    """Per draw, the sums over the sampled blocks: (keys, draw, *sums). NULL sums of blocks are left out; a draw whose sum is NaN is NULL.
+
+    Blocks of a group are bounded by the calendar, so a task weighs a group's block sums by the array of all draws.
+    """
+    keys, names = list(keys), list(sums)
+    per = df.groupBy(*keys, block).agg(*[F.sum(c).cast("double").alias(n) for n, c in sums.items()])
+    known = [F.col(n).isNotNull().alias(f"__is_{n}") for n in names]
+    schema = T.StructType([per.schema[k] for k in keys] + [T.StructField("draw", T.IntegerType())] + [T.StructField(n, T.DoubleType()) for n in names])
+
+    def weigh(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(block, na_position="first")
+        taken = R.times(seed, draws, len(rows)).T
+        out = {k: [rows[k].iloc[0]] * draws for k in keys} | {"draw": np.arange(draws)}
+        for n in names:
+            is_known = rows[f"__is_{n}"].to_numpy(dtype=bool)
+            value, mine = rows[n].to_numpy(dtype=float)[is_known], taken[:, is_known]
+            total = np.multiply(mine, value, where=mine > 0, out=np.zeros_like(mine)).sum(axis=1)
+            out[n] = [x if some else None for x, some in zip(total.tolist(), (mine > 0).any(axis=1).tolist())]
+        return pd.DataFrame(out, columns=schema.names)
+
+    return per.select("*", *known).groupBy(*keys).applyInPandas(weigh, schema)
 
 
 def r2_gain_interval(df: DataFrame, keys: Sequence[str], block: str, y: str, p0: str, p1: str, seed: int, draws: int = 1000) -> DataFrame:
