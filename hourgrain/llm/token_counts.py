@@ -25,6 +25,11 @@ from hourgrain.llm.common import row_batches
 #: Fixed value: the pattern of word pre-tokens in the tokenizer file; what it does not match is dropped.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
+#: Capitals that the library lower-cases but Python's older character tables do not.
+LATE_CAPITALS = {0x1C89: 0x1C8A, 0xA7CB: 0x0264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x019B}
+LATE_CAPITALS |= {x: x + 0x20 for x in range(0x10D50, 0x10D66)} | {x: x + 0x1B for x in range(0x16EA0, 0x16EB9)}
+_LATE = regex.compile("[" + "".join(map(chr, LATE_CAPITALS)) + "]")
+
 
 def alone(vocabulary: Vocabulary) -> set[str]:
     """The vocabulary strings, without the end mark, that encode alone as exactly one token."""
@@ -84,6 +89,8 @@ class Counts(dict):
 
 def lowered(text: str) -> str:
     """Character by character, as the file's normaliser lower-cases: without the rule for a final sigma."""
+    if not text.isascii() and _LATE.search(text):
+        text = text.translate(LATE_CAPITALS)
     return text.lower() if "Σ" not in text else "σ".join(x.lower() for x in text.split("Σ"))
 
 

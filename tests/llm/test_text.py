@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import unicodedata
 
 import numpy as np
 import public_tokenizers
@@ -11,7 +12,7 @@ import xxhash
 from tokenizers import Tokenizer
 
 from hourgrain.llm import bpe, decontaminate, kmers, simhash, substring, suffix
-from hourgrain.llm.token_counts import Counts, alone, token_counts
+from hourgrain.llm.token_counts import LATE_CAPITALS, Counts, alone, lowered, token_counts
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id bigint, text string, n_tokens int, fingerprint string, id int"
@@ -46,6 +47,17 @@ def test_token_counts_equal_the_library(texts):
     assert len(certain) > 30_000 and all(len(library.encode(w, add_special_tokens=False).ids) == 1 for w in list(counts.certain)[:500] if w == w.lower().strip())
 
 
+def test_capitals_of_all_planes_equal_the_library():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    vocabulary = bpe.Vocabulary(path)
+    counts = Counts(vocabulary, alone(vocabulary))
+    letters = [c for c in map(chr, range(0x80, 0x20000)) if not 0xD800 <= ord(c) < 0xE000 and not c.isspace() and c == unicodedata.normalize("NFC", c)]
+    assert lowered("".join(f"1{c}" for c in letters)) == "".join(library.normalizer.normalize_str("1" + c) for c in letters)
+    late = [f"a{c}b {c}{c} {c}1" for c in map(chr, LATE_CAPITALS)]
+    assert [counts.count(t) for t in late] == [len(e.ids) for e in library.encode_batch(late, add_special_tokens=False)]
+
+
 def test_ids_and_decoding_equal_the_library(texts):
     path = public_tokenizers.path("byte_bpe_50k.json")
     own, library = bpe.ByteBPE(bpe.Vocabulary(path)), Tokenizer.from_file(path)
@@ -139,9 +151,13 @@ def test_repeated_windows_equal_brute_force(spark, seed):
 def test_repeated_windows_edges(spark):
     rows = by_id(substring.remove_repeats(documents(spark, *EDGES), window=3, gram=2))
     assert len(rows) == len(EDGES)
-    assert [r[1:3] for r in rows if r[0] == 3] == [(4, 4), (4, 4)]  # equal to the row without id, not to their own repeat
+    assert [r[1:3] for r in rows if r[0] == 3] == [(4, 4), (4, 4)]
     assert [r[1:3] for r in rows if r[0] == 5] == [(20_000, 20_000)]
-    assert [r[1:3] for r in by_id(substring.remove_repeats(documents(spark, EDGES[3], EDGES[4]), window=3, gram=2))] == [(4, 0), (4, 0)]
+    assert [r[1:3] for r in by_id(substring.remove_repeats(documents(spark, EDGES[3], EDGES[4]), window=3, gram=2))] == [(4, 4), (4, 4)]
+    assert [r[1:3] for r in by_id(substring.remove_repeats(documents(spark, EDGES[3], EDGES[4]), window=5, gram=2))] == [(4, 0), (4, 0)]
+    mixed = documents(spark, (7, "a b c"), (7, "a b c"), (7, "d e f g"), (None, "x y z"), (None, "x y z"), (None, "u v w"), (8, "b c"))
+    assert sorted((r["text"] or "", r["n_removed"]) for r in substring.remove_repeats(mixed, window=3, gram=2).withColumnRenamed("kept_text", "text").collect()) == [
+        ("", 3), ("", 3), ("", 3), ("", 3), ("b c", 0), ("d e f g", 0), ("u v w", 0)]
     assert substring.remove_repeats(documents(spark, *EDGES).limit(0)).count() == 0
 
 
