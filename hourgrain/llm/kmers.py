@@ -17,6 +17,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hourgrain.llm.common import cut_lineage, hinted
+
 #: Stands for a null id, which so comes after every other.
 NO_ID = (1 << 63) - 1
 
@@ -140,15 +142,23 @@ def bucket_count(docs: DataFrame, text_col: str, bytes_each: int) -> int:
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, print, text): rows with equal id and text are one document, told from others with its id by the text's hash."""
+    """(id, print, text): rows with equal id and text share one result, and are told from others with their id by the text's hash."""
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
     return docs.select(F.coalesce(docs[id_col].cast("bigint"), F.lit(NO_ID)).alias("id"), F.xxhash64(text).alias("print"), text.alias("text"))
 
 
+def repeated_rows(rows: DataFrame) -> DataFrame:
+    """(id, print) of the documents of ``keyed`` that come in two rows or more; texts are read for repeated ids alone."""
+    ids = cut_lineage(rows.groupBy("id").count().where("count > 1").select("id"))
+    return rows.join(hinted(ids, ids.count()), "id", "left_semi").groupBy("id", "print").count().where("count > 1").select("id", "print")
+
+
 def with_spans(rows: DataFrame, spans: DataFrame) -> DataFrame:
-    """Rows of ``keyed`` with their spans, an array of (start, end), null if there are none."""
-    lists = spans.groupBy("id", "print").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    return rows.join(lists, ["id", "print"], "left").select(F.when(F.col("id") != NO_ID, F.col("id")).alias("id"), "text", "spans")
+    """Rows of ``keyed`` with their spans, an array of (start, end), and ``again``: whether an equal row exists; null if neither is so."""
+    marked = spans.select("id", "print", F.struct("start", "end").alias("span"), F.lit(False).alias("again"))
+    marked = marked.union(repeated_rows(rows).select("id", "print", F.lit(None).alias("span"), F.lit(True).alias("again")))
+    lists = marked.groupBy("id", "print").agg(F.collect_list("span").alias("spans"), F.max("again").alias("again"))
+    return rows.join(lists, ["id", "print"], "left").select(F.when(F.col("id") != NO_ID, F.col("id")).alias("id"), "text", "spans", "again")
 
 
 SPANS = "id bigint, print bigint, start bigint, end bigint"

@@ -7,7 +7,7 @@ its bucket a super-k-mer whose minimiser nothing else has holds no repeated wind
 counted exactly, equal neighbours being compared word by word. The spans go back to their documents by one join.
 
 Defined results: a null text has no words; texts with fewer words than the window keep everything; rows with equal id and
-text are one document whose result every such row gets; a null id comes after all others; an empty table gives an empty
+text repeat each other, so all their words under windows go; a null id comes after all others; an empty table gives an empty
 result; other columns are not read. Texts are treated whole; a long one is cut into overlapping pieces only inside a task.
 """
 
@@ -143,8 +143,10 @@ def remove_repeats(docs: DataFrame, window: int = 35, gram: int = 8, id_col: str
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in row_batches(batches, "text", BATCH_BYTES):
             n, removed, digests, kept_texts = [], [], [], []
-            for text, own in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist()):
+            for text, own, again in zip(*(batch.column(c).to_pylist() for c in ("text", "spans", "again"))):
                 words = text.encode().split()
+                if again and len(words) >= window:  # every window also starts in the equal row
+                    own = [{"start": 0, "end": len(words)}]
                 gone = kmers.covered(len(words), own)
                 kept = b" ".join([w for w, g in zip(words, gone.tolist()) if not g] if own else words)
                 n.append(len(words))
