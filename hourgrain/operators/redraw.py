@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from pyspark.sql import types as T
 
+from hourgrain.functions import scalars as S
 from hourgrain.operators import ordering as O
 from hourgrain.session import cut_lineage, few
 
@@ -167,3 +168,227 @@ def medians(rows: DataFrame, by: Sequence[str], value: str, draws: int, seed: in
     rows = rows.where(F.col(value).isNotNull() & ~F.isnan(value)).select(*by, F.col(value).cast("double").alias("__x"), F.lit(0).cast("bigint").alias("__h"), "__i", "__nb")
     ends = draw_ranks(rows, by, lambda total: {"low": (total - 1) // 2 + 1, "high": total // 2 + 1}, draws, seed)
     return ends.groupBy(*by, "draw").agg(F.avg("x").alias("median"))
+
+
+#: Rows of a part; partial sums that are added by one task; cells of a unit of the logarithmic scale, and of a narrowed range, whose weights
+#: are held for all draws; rows up to which values are cells of their own.
+PART_ROWS, FAN, VALUE_CELLS, SPLIT, SORTED = 100_000, 32, 16, 64, 512
+#: Rows whose weights in all draws are held at a time.
+WEIGHED_AT_ONCE = 1024
+
+PARTIAL = "set int, spot double, cell double, lo double, hi double, rows bigint, w binary"
+SPOT = "set int, draw int, tag string, rest bigint, lo double, hi double, rows bigint"
+
+
+def _with_tie_rank(rows: DataFrame, same: Sequence[str], marks: DataFrame, ties: Sequence[str], out: str) -> DataFrame:
+    """``out``: the row's place in ``ties`` among the rows that agree in ``same``, for those in ``marks``; the others have 0."""
+    flagged = O.join_groups(rows, few(marks.select(*same).distinct()).withColumn("__mark", F.lit(True)), same, "left")
+    tied = flagged.where("__mark").withColumn(out, F.row_number().over(W.partitionBy(*same).orderBy(*ties)).cast("bigint"))
+    return tied.unionByName(flagged.where("__mark IS NULL").withColumn(out, F.lit(0).cast("bigint"))).drop("__mark")
+
+
+class _Weights:
+    """How often each draw selects a row: of the slots that took its block, always the first ones."""
+
+    def __init__(self, cut: pd.Series, sel: int, blocks: int, seed: int, draws: int):
+        mine = cut["c_sel"] == sel
+        draw = cut["c_draw"][mine]
+        self.x, self.slot, self.i, self.rank = np.full(draws, -np.inf), np.zeros(draws, int), np.full(draws, -1), np.zeros(draws, int)
+        for name in ("x", "slot", "i", "rank"):
+            getattr(self, name)[draw] = cut[f"c_{name}"][mine]
+        self.all = times(seed, draws, blocks)
+        drawn = picks(seed, draws, blocks)
+        self.before = np.zeros((blocks, draws))
+        d, s = np.nonzero(np.arange(blocks)[None, :] < self.slot[:, None])
+        np.add.at(self.before, (drawn[d, s], d), 1)
+
+    def of(self, x: np.ndarray, i: np.ndarray, rank: np.ndarray) -> np.ndarray:
+        tied = self.before[i] + ((self.i[None, :] == i[:, None]) & (rank[:, None] <= self.rank[None, :]))
+        w = np.where(x[:, None] < self.x[None, :], self.all[i], np.where(x[:, None] == self.x[None, :], tied, 0))
+        w[~np.isfinite(x)] = 0
+        return w
+
+
+def _merged(parts: pd.DataFrame) -> pd.DataFrame:
+    """Partial sums of equal (set, spot, cell) added up."""
+    out = []
+    for (name, spot, cell), g in parts.groupby(["set", "spot", "cell"], sort=False):
+        w = np.sum([np.frombuffer(b, dtype=np.int64) for b in g["w"]], axis=0)
+        out.append((name, spot, cell, g["lo"].min(), g["hi"].max(), g["rows"].sum(), w.tobytes()))
+    return pd.DataFrame(out, columns=["set", "spot", "cell", "lo", "hi", "rows", "w"])
+
+
+def selection_medians(
+    df: DataFrame, keys: Sequence[str], within: Sequence[str], block: str, event: str, value: str, selections: dict[str, tuple[str, float]],
+    sets: dict[str, tuple[str, str | None]], ties: Sequence[str], draws: int, seed: int,
+) -> DataFrame:
+    """(keys, draw, k_<selection>, taken_<selection>, hits_<selection>, median_<set>) of selections that are ranked again in each draw.
+
+    A selection is (score, fraction): the top rows of each group of (keys, within) by (score descending, slot, ties). A set is
+    (selection, other): its rows that the other, if named, does not select; its median of ``value`` is over all groups of the keys, NULL and
+    NaN left out. Rows whose score is NULL or NaN count in the budget but are never taken. A row's weight in all draws follows from
+    its score, block and place among ties; tasks add the weights of a part's rows in cells of the value, and the cells that hold a median
+    are narrowed. Neither rows nor values meet the draws as rows; partial sums are bounded by cells and draws, and added as a tree.
+    """
+    keys, by, names = list(keys), [*keys, *within], list(selections)
+    scores = list(dict.fromkeys(p for p, _ in selections.values()))
+    able = lambda p: F.col(p).isNotNull() & ~F.isnan(p)
+    number = lambda p: F.when(able(p), -F.col(p).cast("double") + F.lit(0.0)).otherwise(F.lit(float("inf")))
+    # Blocks are numbered among those of the keys, as the draws are; a draw that takes no row of a group has no budget there.
+    rows = numbered(df, keys, block).select(
+        *by, *ties, "__i", "__nb", F.col(event).cast("bigint").alias("__e"), S.finite(F.col(value).cast("double")).alias("__v"),
+        *[number(p).alias(f"__x{n}") for n, p in enumerate(scores)],
+    )
+    rows = cut_lineage(rows)
+    cuts, worst = None, None
+    for n, p in enumerate(scores):
+        mine = [(s, f) for s, (q, f) in selections.items() if q == p]
+        place = rows.select(*by, "__i", "__nb", F.col(f"__x{n}").alias("__x"), F.lit(0).cast("bigint").alias("__h"))
+        found = draw_ranks(place, by, lambda total, mine=mine: {str(names.index(s)): np.maximum(np.ceil(f * total), 1) for s, f in mine}, draws, seed)
+        found = found.select(*by, F.col("tag").cast("int").alias("sel"), "draw", "k", "x", "slot", "i", "rank")
+        most = found.groupBy(*by).agg(F.max("x").alias(f"__most{n}"))
+        worst = most if worst is None else O.join_groups(worst, most, by)
+        marks = found.select(*by, F.col("i").alias("__i"), F.col("x").alias(f"__x{n}"))
+        rows = _with_tie_rank(rows, [*by, "__i", f"__x{n}"], marks, ties, f"__rank{n}")
+        cuts = found if cuts is None else cuts.unionByName(found)
+    able_rows = O.join_groups(rows, few(worst), by)
+    able_rows = able_rows.where(" OR ".join(f"(__x{n} <= __most{n} AND __x{n} < double('infinity'))" for n in range(len(scores))))
+    fields = ["__i", "__nb", "__e", "__v", *[c for n in range(len(scores)) for c in (f"__x{n}", f"__rank{n}")]]
+    counts = cut_lineage(able_rows.groupBy(*by).agg(F.ceil(F.count("*") / PART_ROWS).cast("int").alias("__parts")))
+    able_rows = O.join_groups(able_rows, few(counts), by)
+    able_rows = able_rows.select(*by, F.pmod(F.xxhash64(*ties), "__parts").cast("int").alias("__part"), *fields)
+    able_rows = cut_lineage(able_rows)
+    units = counts.withColumn("__part", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1))).drop("__parts")
+    units = units.withColumn("__unit", F.row_number().over(W.partitionBy(*keys).orderBy(*within, "__part")) - 1)
+    each = ["sel", "draw", "x", "slot", "i", "rank"]
+    packed = cuts.groupBy(*by).agg(F.collect_list(F.struct(*each)).alias("c")).select(*by, *[F.col(f"c.{c}").alias(f"c_{c}") for c in each])
+    packed = cut_lineage(O.join_groups(units, packed, by))
+    most_units = (packed.agg(F.max("__unit")).first()[0] or 0) + 1
+    kept = [able_rows.schema[k] for k in keys]
+    partial = T.StructType([*kept, T.StructField("__unit", T.IntegerType()), *T.StructType.fromDDL(PARTIAL).fields])
+    spot_schema = T.StructType([*kept, *T.StructType.fromDDL(SPOT).fields])
+    pairs = [(names.index(a), None if b is None else names.index(b)) for a, b in sets.values()]
+    score_of = [scores.index(p) for p, _ in selections.values()]
+
+    def stamped(out: pd.DataFrame, source: pd.DataFrame, columns: Sequence[str]) -> pd.DataFrame:
+        if out.empty:
+            return pd.DataFrame(columns=list(columns), dtype=object)
+        for k in keys:
+            out[k] = [source[k].iloc[0]] * len(out)
+        return out[list(columns)]
+
+    def weigh(first: bool, exact: bool):
+        def task(mine: pd.DataFrame, plan: pd.DataFrame) -> pd.DataFrame:
+            if mine.empty or plan.empty:
+                return pd.DataFrame(columns=partial.names, dtype=object)
+            cut, spots = plan.iloc[0], {}
+            weights = [_Weights(cut, s, int(mine["__nb"].iloc[0]), seed, draws) for s in range(len(names))]
+            if not first:
+                listed = pd.DataFrame({c: cut[f"s_{c}"] for c in ("set", "lo", "hi", "draw")})
+                for s, g in listed.groupby("set"):
+                    ends = g.groupby("lo")["hi"].first()
+                    spots[s] = ends.index.to_numpy(), ends.to_numpy(), {lo: np.unique(d) for lo, d in g.groupby("lo")["draw"]}
+            out, mine = [], mine.sort_values("__v")  # so that few cells meet at a time
+            for start in range(0, len(mine), WEIGHED_AT_ONCE):
+                rows = mine.iloc[start : start + WEIGHED_AT_ONCE]
+                i, v, e = rows["__i"].to_numpy(), rows["__v"].to_numpy(dtype=float), rows["__e"].fillna(0).to_numpy()
+                w = [weights[s].of(rows[f"__x{n}"].to_numpy(), i, rows[f"__rank{n}"].to_numpy()) for s, n in enumerate(score_of)]
+                if first:
+                    for s in range(len(names)):
+                        for cell, total in ((0.0, w[s].sum(axis=0)), (1.0, e @ w[s])):
+                            out.append((-1 - s, 0.0, cell, 0.0, 0.0, 0, total.astype(np.int64).tobytes()))
+                for number, (a, b) in enumerate(pairs):
+                    here = w[a] if b is None else np.maximum(w[a] - w[b], 0)
+                    if first:
+                        lows, highs, takers = np.array([-np.inf]), np.array([np.inf]), {-np.inf: slice(None)}
+                    elif number in spots:
+                        lows, highs, takers = spots[number]
+                    else:
+                        continue
+                    at = np.searchsorted(lows, v, side="right") - 1
+                    inside = (at >= 0) & ~np.isnan(v)
+                    inside[inside] = v[inside] <= highs[at[inside]]
+                    for j in np.unique(at[inside]):
+                        pick = np.flatnonzero(inside & (at == j))
+                        ww = here[pick][:, takers[lows[j]]]
+                        pick, ww = pick[ww.any(axis=1)], ww[ww.any(axis=1)]
+                        if not len(pick):
+                            continue
+                        x = v[pick]
+                        if first:
+                            cell = np.floor(np.sign(x) * np.log1p(np.abs(x)) * VALUE_CELLS)
+                        else:
+                            cell = x if exact or lows[j] == highs[j] else np.floor((x - lows[j]) / (highs[j] - lows[j]) * SPLIT)
+                        order = np.lexsort((x, cell))
+                        x, cell = x[order], cell[order]
+                        starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+                        ends = np.r_[starts[1:], len(x)]
+                        sums = np.add.reduceat(ww[order], starts, axis=0).astype(np.int64)
+                        spot = 0.0 if first else lows[j]
+                        out += [(number, spot, cell[a_], x[a_], x[b_ - 1], b_ - a_, row.tobytes()) for a_, b_, row in zip(starts, ends, sums)]
+            got = _merged(pd.DataFrame(out, columns=["set", "spot", "cell", "lo", "hi", "rows", "w"]))
+            got["__unit"] = cut["__unit"]
+            return stamped(got, mine, partial.names)
+
+        return task
+
+    def fold(parts: pd.DataFrame) -> pd.DataFrame:
+        return stamped(_merged(parts).assign(__unit=parts["__unit"].iloc[0] // FAN), parts, partial.names)
+
+    def locate(cells: pd.DataFrame, wanted: pd.DataFrame | None) -> pd.DataFrame:
+        out = []
+        if cells.empty:
+            return pd.DataFrame(columns=spot_schema.names, dtype=object)
+        for (name, spot), g in _merged(cells).sort_values("cell").groupby(["set", "spot"]):
+            w = np.stack([np.frombuffer(b, dtype=np.int64) for b in g["w"]])
+            if name < 0:
+                for tag, row in zip(g["cell"], w):
+                    out += [(name, d, "taken" if tag == 0 else "hits", n, 0.0, 0.0, 0) for d, n in enumerate(row.tolist())]
+                continue
+            cum = np.cumsum(w, axis=0)
+            if wanted is None:
+                who, total = np.arange(draws), cum[-1]
+                asked = [(d, tag, k) for d in np.flatnonzero(total) for tag, k in (("low", (total[d] - 1) // 2 + 1), ("high", total[d] // 2 + 1))]
+            else:
+                mine = wanted[(wanted["set"] == name) & (wanted["lo"] == spot)]
+                who = np.unique(mine["draw"])
+                asked = zip(mine["draw"], mine["tag"], mine["rest"])
+            for d, tag, k in asked:
+                column = cum[:, np.searchsorted(who, d)]
+                at = int(np.searchsorted(column, k))
+                cell = g.iloc[at]
+                out.append((name, d, tag, k - (column[at - 1] if at else 0), cell["lo"], cell["hi"], cell["rows"]))
+        return stamped(pd.DataFrame(out, columns=["set", "draw", "tag", "rest", "lo", "hi", "rows"]), cells, spot_schema.names)
+
+    def summed(found: DataFrame) -> DataFrame:
+        left = most_units
+        while left > FAN:
+            found = found.groupBy(*keys, F.floor(F.col("__unit") / FAN)).applyInPandas(fold, partial)
+            left = -(-left // FAN)
+        return found
+
+    group, fresh = [*by, "__part"], lambda d: d.toDF(*d.columns)  # both sides stem from the same rows
+    found = summed(able_rows.groupBy(*group).cogroup(fresh(packed).groupBy(*group)).applyInPandas(weigh(True, False), partial))
+    done = cut_lineage(found.groupBy(*keys).applyInPandas(lambda cells: locate(cells, None), spot_schema))
+    open_spots, before = done.where("lo < hi"), None
+    done = done.where("NOT lo < hi")
+    while True:
+        largest = open_spots.agg(F.max("rows")).first()[0]
+        if largest is None:
+            break
+        exact, before = largest <= SORTED or largest == before, largest
+        ends = ["set", "lo", "hi", "draw"]
+        sought = open_spots.groupBy(*keys).agg(F.collect_list(F.struct(*ends)).alias("s"), F.min("lo").alias("__lo"), F.max("hi").alias("__hi"))
+        sought = few(sought.select(*keys, "__lo", "__hi", *[F.col(f"s.{c}").alias(f"s_{c}") for c in ends]))
+        near = O.join_groups(able_rows, sought.select(*keys, "__lo", "__hi"), keys).where("__v BETWEEN __lo AND __hi").drop("__lo", "__hi")
+        plan = O.join_groups(packed, sought.drop("__lo", "__hi"), keys)
+        found = summed(near.groupBy(*group).cogroup(fresh(plan).groupBy(*group)).applyInPandas(weigh(False, exact), partial))
+        step = cut_lineage(found.groupBy(*keys).cogroup(fresh(open_spots).groupBy(*keys)).applyInPandas(locate, spot_schema))
+        done, open_spots = done.unionByName(step.where("NOT lo < hi")), step.where("lo < hi")
+    totals = cuts.groupBy(*keys, "draw").agg(*[F.sum(F.when(F.col("sel") == s, F.col("k"))).alias(f"k_{n}") for s, n in enumerate(names)])
+    own = lambda s, tag: F.max(F.when((F.col("set") == -1 - s) & (F.col("tag") == tag), F.col("rest")))
+    wide = done.groupBy(*keys, "draw").agg(
+        *[own(s, tag).alias(f"{tag}_{n}") for s, n in enumerate(names) for tag in ("taken", "hits")],
+        *[F.avg(F.when(F.col("set") == s, F.col("lo"))).alias(f"median_{n}") for s, n in enumerate(sets)],
+    )
+    return O.join_groups(totals, wide, [*keys, "draw"], "left")
