@@ -49,6 +49,11 @@ def numbered(rows: DataFrame, keys: Sequence[str], block: str) -> DataFrame:
     return O.join_groups(rows, few(index), [*keys, block])
 
 
+def _spread(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """By the keys over all shuffle partitions: groups are small in bytes but not in work, so they must not be coalesced by size."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def _counted(left: DataFrame, by: Sequence[str], cell: Column) -> DataFrame:
     return left.withColumn("__cell", cell).groupBy(*by, "__path", "__cell", "__i", "__nb").agg(
         F.count("*").alias("__n"), F.sum("__h").alias("__h"), F.min("__x").alias("__lo"), F.max("__x").alias("__hi")
@@ -60,9 +65,11 @@ def _located(cells: pd.DataFrame, wanted: pd.DataFrame, seed: int, draws: int) -
     slot, block and rank in the block that hold the rank if the cell is one value."""
     names, code = np.unique(cells["__cell"].to_numpy(), return_inverse=True)
     blocks = int(cells["__nb"].iloc[0])
-    m, drawn = times(seed, draws, blocks), picks(seed, draws, blocks)
-    n, h = np.zeros((len(names), blocks)), np.zeros((len(names), blocks))
-    n[code, cells["__i"]], h[code, cells["__i"]] = cells["__n"], cells["__h"]
+    used, column = np.unique(cells["__i"].to_numpy(), return_inverse=True)  # few of the blocks, if groups are months or opened cells
+    m, drawn, place = times(seed, draws, blocks)[used], picks(seed, draws, blocks), np.full(blocks, len(used))
+    place[used] = np.arange(len(used))
+    n, h = np.zeros((len(names), len(used) + 1)), np.zeros((len(names), len(used) + 1))  # the last column stands for the other blocks
+    n[code, column], h[code, column] = cells["__n"], cells["__h"]
     low, high = np.full(len(names), np.inf), np.full(len(names), -np.inf)
     np.minimum.at(low, code, cells["__lo"].to_numpy())
     np.maximum.at(high, code, cells["__hi"].to_numpy())
@@ -71,21 +78,24 @@ def _located(cells: pd.DataFrame, wanted: pd.DataFrame, seed: int, draws: int) -
         part = wanted[(wanted["draw"] >= start) & (wanted["draw"] < start + AT_ONCE)].copy()
         if part.empty:
             continue
-        cum, hits = np.cumsum(n @ m[:, start : start + AT_ONCE], axis=0), np.cumsum(h @ m[:, start : start + AT_ONCE], axis=0)
-        d, k = part["draw"].to_numpy() - start, part["rest"].to_numpy()
+        who, d = np.unique(part["draw"].to_numpy(), return_inverse=True)
+        cum, hits = np.cumsum(n[:, :-1] @ m[:, who], axis=0), np.cumsum(h[:, :-1] @ m[:, who], axis=0)
+        k = part["rest"].to_numpy()
         at = np.array([np.searchsorted(cum[:, i], x) for i, x in zip(d, k)])
         before = np.where(at > 0, cum[at - 1, d], 0)
         rest, so_far = k - before, part["hits"].to_numpy() + np.where(at > 0, hits[at - 1, d], 0)
-        taken = drawn[start + d]
-        upto = np.cumsum(n[at[:, None], taken], axis=1)
+        taken = drawn[who[d]]
+        slots = place[taken]
+        upto = np.cumsum(n[at[:, None], slots], axis=1)
         slot = (upto < rest[:, None]).sum(axis=1)
         row = np.arange(len(part))
         slot = np.minimum(slot, blocks - 1)
         last = taken[row, slot]
-        inside = np.cumsum(h[at[:, None], taken], axis=1)[row, slot] - h[at, last]
+        own = slots[row, slot]
+        inside = np.cumsum(h[at[:, None], slots], axis=1)[row, slot] - h[at, own]
         parts.append(part.assign(
             rest=rest.astype(np.int64), hits=so_far.astype(np.int64), cell=names[at], lo=low[at], hi=high[at], rows=n[at].sum(axis=1).astype(np.int64),
-            slot=slot, i=last, rank=(rest - upto[row, slot] + n[at, last]).astype(np.int64), inside=inside.astype(np.int64),
+            slot=slot, i=last, rank=(rest - upto[row, slot] + n[at, own]).astype(np.int64), inside=inside.astype(np.int64),
         ))
     return pd.concat(parts) if parts else wanted.assign(cell=0.0, lo=0.0, hi=0.0, rows=0, slot=0, i=0, rank=0, inside=0)
 
@@ -127,7 +137,7 @@ def draw_ranks(rows: DataFrame, by: Sequence[str], places: Callable[[np.ndarray]
     x = finite(F.col("__x"))
     cell = F.floor(F.signum(x) * F.log1p(F.abs(x)) * UNIT_CELLS).cast("double")
     left = rows.select(*by, "__x", "__h", "__i", "__nb").withColumn("__path", F.lit(""))
-    found = cut_lineage(_counted(left, by, cell).groupBy(*keyed).applyInPandas(first, schema))
+    found = cut_lineage(_spread(_counted(left, by, cell), keyed).groupBy(*keyed).applyInPandas(first, schema))
     exact, before = False, None
     while not exact:
         path = F.concat_ws("/", "__path", F.col("cell").cast("string"))
@@ -141,7 +151,7 @@ def draw_ranks(rows: DataFrame, by: Sequence[str], places: Callable[[np.ndarray]
         share = F.coalesce(F.try_divide(finite(F.col("__x")) - finite(F.col("lo")), finite(F.col("hi")) - finite(F.col("lo"))), F.lit(0.0))
         cell = F.col("__x") if exact else F.floor(share * CELLS).cast("double")
         cells = _counted(left, by, cell)
-        found = cut_lineage(cells.groupBy(*keyed).cogroup(spots.groupBy(*keyed)).applyInPandas(again, schema))
+        found = cut_lineage(_spread(cells, keyed).groupBy(*keyed).cogroup(_spread(spots, keyed).groupBy(*keyed)).applyInPandas(again, schema))
     return found.select(*by, "draw", "tag", "total", "k", F.col("cell").alias("x"), "slot", "i", "rank", (F.col("hits") + F.col("inside")).alias("hits"))
 
 
@@ -368,7 +378,7 @@ def selection_medians(
         return found
 
     group, fresh = [*by, "__part"], lambda d: d.toDF(*d.columns)  # both sides stem from the same rows
-    found = summed(able_rows.groupBy(*group).cogroup(fresh(packed).groupBy(*group)).applyInPandas(weigh(True, False), partial))
+    found = summed(_spread(able_rows, group).groupBy(*group).cogroup(_spread(fresh(packed), group).groupBy(*group)).applyInPandas(weigh(True, False), partial))
     done = cut_lineage(found.groupBy(*keys).applyInPandas(lambda cells: locate(cells, None), spot_schema))
     open_spots, before = done.where("lo < hi"), None
     done = done.where("NOT lo < hi")
@@ -382,7 +392,7 @@ def selection_medians(
         sought = few(sought.select(*keys, "__lo", "__hi", *[F.col(f"s.{c}").alias(f"s_{c}") for c in ends]))
         near = O.join_groups(able_rows, sought.select(*keys, "__lo", "__hi"), keys).where("__v BETWEEN __lo AND __hi").drop("__lo", "__hi")
         plan = O.join_groups(packed, sought.drop("__lo", "__hi"), keys)
-        found = summed(near.groupBy(*group).cogroup(fresh(plan).groupBy(*group)).applyInPandas(weigh(False, exact), partial))
+        found = summed(_spread(near, group).groupBy(*group).cogroup(_spread(fresh(plan), group).groupBy(*group)).applyInPandas(weigh(False, exact), partial))
         step = cut_lineage(found.groupBy(*keys).cogroup(fresh(open_spots).groupBy(*keys)).applyInPandas(locate, spot_schema))
         done, open_spots = done.unionByName(step.where("NOT lo < hi")), step.where("lo < hi")
     totals = cuts.groupBy(*keys, "draw").agg(*[F.sum(F.when(F.col("sel") == s, F.col("k"))).alias(f"k_{n}") for s, n in enumerate(names)])
