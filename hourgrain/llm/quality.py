@@ -1,7 +1,7 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney trigram model of trusted text.
 
-The trusted documents are halved by a hash of their id. The model is counted over at most ``sample_docs`` documents of the
-first half (those of least hash; the bound keeps the model's tables bounded). All its statistics are sharded group-bys and joins of count tables: trigram counts,
+The trusted documents are halved by a hash of their id. The model is counted over all documents of the first half, or, if
+``sample_docs`` is given, over at most so many of them (those of least hash). All its statistics are sharded group-bys and joins of count tables: trigram counts,
 continuation counts of bigrams and words, counts of counts for the discounts, and sums per context. Scoring joins every
 n-gram of every whole text with the probability and back-off tables and sums per document. The tables are broadcast when
 their counted rows are few enough, otherwise both sides are shuffled.
@@ -107,13 +107,14 @@ def thresholds(scored: DataFrame, quantile: float, margin: float) -> DataFrame:
     return ranked.where(F.col("upto") >= F.ceil(F.col("all") * quantile)).groupBy("every", "lang").agg((F.min("cell") / GRID + margin).alias("threshold"))
 
 
-def classify(docs: DataFrame, trusted: DataFrame, sample_docs: int = 800, quantile: float = 0.98, margin: float = 1.0, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def classify(docs: DataFrame, trusted: DataFrame, sample_docs: int | None = None, quantile: float = 0.98, margin: float = 1.0, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """One row per document: id, lang, n_words, perplexity, threshold (a perplexity), accepted. ``trusted``: ids of trusted documents."""
     rows = docs.select(docs[id_col].cast("bigint").alias("id"), docs[lang_col].cast("string").alias("lang"), docs[text_col].cast("string").alias("text"))
     ids = trusted.select(trusted[id_col].cast("bigint").alias("id")).where("id IS NOT NULL").distinct()
     halves = ids.withColumn("half", F.pmod(F.xxhash64("id"), F.lit(2)))
-    sample = cut_lineage(halves.where("half = 0").orderBy(F.xxhash64("id"), "id").limit(sample_docs).select("id"))
-    model = train(rows.join(F.broadcast(sample), "id", "left_semi"))  # at most sample_docs ids
+    first = halves.where("half = 0").select("id")
+    first = cut_lineage(first if sample_docs is None else first.orderBy(F.xxhash64("id"), "id").limit(sample_docs))
+    model = train(rows.join(hinted(first, first.count()), "id", "left_semi"))
     scored = cut_lineage(bits(rows, model))
     held = scored.where("n > 1").join(halves.where("half = 1"), "id", "left_semi")
     limits = cut_lineage(thresholds(held, quantile, margin))
