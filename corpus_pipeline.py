@@ -30,7 +30,8 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by a five-word Jaccard similarity of 0.8 or more, the one with the smallest id stays."""
+    """Of each group of documents linked by a five-word Jaccard similarity of 0.8 or more, among pairs that SimHash fingerprints or MinHash bands
+    propose, the one with the smallest id stays."""
     grouped = near.near_duplicates(docs)
     return without(docs, grouped.where(F.col("component_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id"))
 

@@ -1,4 +1,4 @@
-"""Near-duplicates by the Jaccard similarity of word shingles: MinHash bands propose pairs, the shingle sets decide.
+"""Near-duplicates by the Jaccard similarity of word shingles: SimHash fingerprints and MinHash bands propose pairs, the shingle sets decide.
 
 A text is the set of its runs of ``shingle`` words (lower-cased A-Z, ASCII white space), by 64-bit hashes. Texts with one set are one
 node, however many there are. A set has ``BANDS * ROWS`` MinHash values; nodes that agree on all values of a band share a
@@ -6,6 +6,9 @@ bucket. Every two nodes that share one are compared by their whole sets, or know
 ``similarity`` or more is a link. A pair of similarity s shares no bucket with probability ``(1 - s**ROWS)**BANDS``: 2e-4 at 0.8, 4e-8
 at 0.9; nothing else is lost.
 
+The sets' SimHash fingerprints propose pairs of their own (``simhash.links``): nodes of one fingerprint meet the smallest document's, fingerprints at most
+two bits apart the smallest document's of each shared variant. Few pairs near 0.8 are so close, hence the bands beside them.
+
 In buckets of at most ``SMALL`` nodes all pairs are compared at once. In larger ones all nodes first meet the bucket's first by an
 order that differs from band to band, which joins a group of copies by as many comparisons as it has nodes. What is then not in the
 component of its bucket's first (the family of texts just below the threshold, say) is compared with all nodes of the bucket, in tiles of
@@ -27,6 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hourgrain.llm import simhash
 from hourgrain.llm.common import components, cut_lineage, forget, hinted, row_batches, stored
 from hourgrain.llm.kmers import grams, mixed
 
@@ -61,16 +65,16 @@ def bands(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, shingle: int) -> DataFrame:
-    """(id, node, bands): one row per row of ``docs`` (id, text)."""
+    """(id, node, bands, fp): one row per row of ``docs`` (id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
         for batch in row_batches(batches, "text", BATCH_BYTES):
             sets = [shingles(text, shingle) for text in batch.column("text").to_pylist()]
             keys = [list(map(int, row)) for row in bands(sets).view(np.int64)] if sets else []
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(map(digest, sets), pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["id", "node", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(map(digest, sets), pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(map(simhash.majority, sets), pa.int64())], ["id", "node", "bands", "fp"])
 
-    return docs.mapInArrow(run, "id bigint, node binary, bands array<bigint>")
+    return docs.mapInArrow(run, "id bigint, node binary, bands array<bigint>, fp bigint")
 
 
 def buckets(nodes: DataFrame) -> DataFrame:
@@ -88,6 +92,15 @@ def candidates(met: DataFrame) -> DataFrame:
     return star.union(pairs).distinct()
 
 
+def close_prints(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b), a < b, of nodes (node, rep, fp) that SimHash proposes."""
+    prints = nodes.select(F.col("rep").alias("id"), "fp")
+    same = nodes.join(nodes.groupBy("fp").agg(F.min("rep").alias("a")), "fp").select("a", F.col("rep").alias("b"))
+    of = lambda c: nodes.select(F.col("rep").alias(c), F.col("node").alias(f"node_{c}"))
+    met = simhash.links(prints, 1).union(same).join(of("a"), "a").join(of("b"), "b").where("node_a != node_b")
+    return met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
+
+
 def whole_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
     """(node, own, rep): the shingles of the nodes ``wanted`` (node, rep), read again from the texts of their documents."""
     reps = wanted.select(F.col("rep").alias("id")).distinct()
@@ -156,9 +169,9 @@ def large_bucket_links(met: DataFrame, sides: DataFrame, nodes: DataFrame, linke
 
 
 def links(docs: DataFrame, nodes: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Links (a, b) between the smallest documents of nodes (node, rep, bands) that give the components of all similar pairs."""
+    """Links (a, b) between the smallest documents of nodes (node, rep, bands, fp) that give the components of all similar pairs."""
     met = buckets(nodes)
-    pairs = cut_lineage(candidates(met))
+    pairs = cut_lineage(candidates(met).union(close_prints(nodes)).distinct())
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     wanted = cut_lineage(ends.join(nodes.select("node", "rep"), "node"))
     sides = whole_sets(docs, wanted, shingle)
@@ -173,7 +186,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     """One row per row of ``docs``: id, component_id (smallest id reachable by links)."""
     texts = docs.select(docs[id_col].cast("bigint").alias("id"), docs[text_col].cast("string").alias("text"))
     rows = stored(sketches(texts, shingle), "near-sketches")
-    nodes = stored(rows.where("id IS NOT NULL").groupBy("node").agg(F.min("id").alias("rep"), F.first("bands").alias("bands")), "near-nodes")
+    nodes = stored(rows.where("id IS NOT NULL").groupBy("node").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.first("fp").alias("fp")), "near-nodes")
     linked = components(links(texts, nodes, shingle, similarity))  # checkpointed there
     named = nodes.select("node", "rep").join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("node", F.coalesce("component", "rep").alias("component_id"))
     return rows.select("id", "node").join(cut_lineage(named), "node", "left").select(F.col("id").alias(id_col), "component_id")

@@ -38,7 +38,11 @@ def fingerprint(text: str | None, shingle: int) -> int:
     else:
         grams = map(b" ".join, zip(*(words[i:] for i in range(shingle))))
     hash64 = xxhash.xxh64_intdigest
-    hashes = np.array([hash64(g, SEED) for g in grams], dtype="<u8")
+    return majority(np.array([hash64(g, SEED) for g in grams], dtype="<u8"))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in over half of ``hashes``, as a signed 64-bit integer; zero for none."""
     counts = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), 1 << 16):
         bits = np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8), bitorder="little").reshape(-1, 64)

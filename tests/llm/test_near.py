@@ -82,3 +82,16 @@ def test_near_duplicates_edges(spark):
     rows = [tuple(r) for r in near.near_duplicates(documents(spark, *EDGES)).collect()]
     assert sorted(rows, key=str) == sorted([(1, 1), (2, 1), (None, 3), (3, 3), (3, 3), (4, 4), (5, 5)], key=str)
     assert near.near_duplicates(documents(spark, *EDGES).limit(0)).count() == 0
+
+
+def test_simhash_proposes_pairs_of_its_own(spark, monkeypatch):
+    rng = random.Random(7)
+    rows = []
+    for i in range(20):
+        words = [f"w{rng.randrange(5000)}" for _ in range(2000)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join([*words[:-1], "other"]))]
+    monkeypatch.setattr(near, "candidates", lambda met: met.select("node", "node").toDF("a", "b").limit(0))  # no band proposes any
+    got = {r["doc_id"]: r["component_id"] for r in near.near_duplicates(documents(spark, *rows)).collect()}
+    prints = {i: near.simhash.majority(near.shingles(t, 5)) for i, t in rows}
+    close = [i for i in range(0, 40, 2) if bin((prints[i] ^ prints[i + 1]) & (1 << 64) - 1).count("1") <= 2]
+    assert len(close) > 10 and all(got[i] == got[i + 1] == i for i in close)
