@@ -2,9 +2,12 @@
 
 The trusted documents are halved by a hash of their id. The model is counted over all documents of the first half, or, if
 ``sample_docs`` is given, over at most so many of them (those of least hash). All its statistics are sharded group-bys and joins of count tables: trigram counts,
-continuation counts of bigrams and words, counts of counts for the discounts, and sums per context. Scoring joins every
-n-gram of every whole text with the probability and back-off tables and sums per document. The tables are broadcast when
-their counted rows are few enough, otherwise both sides are shuffled.
+continuation counts of bigrams and words, counts of counts for the discounts, and sums per context.
+
+A place (w1, w2, w3) costs the logarithms of its word, of the back-off of w2, of its pair, of the back-off of (w1, w2) and of its
+trigram, each as the difference to what the shorter ones give, so that a document's score is a plain sum over the keys that the model has,
+which is stored as (key, value). Counting is done in ``SLICES`` parts of the middle words and scoring in as many parts of the keys, one
+after the other, so what is shuffled at a time is a part of the whole; both sides of the scores' join are always shuffled.
 
 A document is accepted if its perplexity is at most its language's threshold: ``margin`` bits a word above the
 ``quantile`` of all documents of the second half in that language, which the model has not seen. Quantiles are exact on a grid of 1/1000 bit.
@@ -17,85 +20,186 @@ an empty result; only the named columns are read.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+from itertools import chain
 from math import log2
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hourgrain.llm.common import cut_lineage, hinted
+from hourgrain.llm.common import cut_lineage, forget, hinted, row_batches, stored
+from hourgrain.llm.kmers import mixed
 
 #: Places before the first word and after the last one; words cannot contain a space.
-BEGIN, END = " <", " >"
+BEGIN, END = b" <", b" >"
 GRID = 1000
+#: Parts of the words, and of the keys, that are counted and scored one after the other.
+SLICES = 4
+BATCH_BYTES = 1 << 20
+#: Word hashes that a task remembers.
+KNOWN = 100_000
+
+
+class Hashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        self[word] = value = xxhash.xxh64_intdigest(word, 42)
+        return value
+
+
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").lower().encode().split()  # bytes: ASCII white space only
+
+
+def places(texts: list[str | None], known: Hashes) -> tuple[np.ndarray, ...]:
+    """(row, first, prev, word) of every word of every text and of its end, as hashes."""
+    rows = [[BEGIN, BEGIN, *words_of(text), END] for text in texts]
+    sizes = np.array([len(x) for x in rows])
+    if len(known) > KNOWN:
+        known.clear()
+    flat = np.fromiter(map(known.__getitem__, chain.from_iterable(rows)), dtype=np.uint64, count=sizes.sum())
+    real = np.ones(len(flat), dtype=bool)
+    starts = np.cumsum(sizes) - sizes
+    real[starts] = real[starts + 1] = False
+    at = np.flatnonzero(real)
+    return np.repeat(np.arange(len(rows)), sizes - 2), flat[at - 2], flat[at - 1], flat[at]
 
 
-def places(texts: DataFrame) -> DataFrame:
-    """A row for every word of ``text`` and its end: (prev, word, context, pair, gram) are hashes of w2, w3, (w1, w2),
-    (w2, w3), (w1, w2, w3); the other columns stay. Each step is a column of its own, so that no work repeats."""
-    words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    begin, end = F.xxhash64(F.lit(BEGIN)), F.xxhash64(F.lit(END))
-    out = texts.withColumn("words", words).drop("text").withColumn("words", F.transform("words", lambda w: F.xxhash64(w)))
-    out = out.withColumn("prev", F.concat(F.array(begin), "words")).withColumn("word", F.concat("words", F.array(end))).drop("words")
-    out = out.withColumn("pair", F.zip_with("prev", "word", lambda a, b: F.xxhash64(a, b)))
-    out = out.withColumn("context", F.concat(F.array(F.xxhash64(begin, begin)), F.slice("pair", F.lit(1), F.size("pair") - 1)))
-    out = out.withColumn("gram", F.zip_with("context", "word", lambda a, b: F.xxhash64(a, b)))
-    rest = [c for c in out.columns if c not in ("prev", "word", "pair", "context", "gram")]
-    return out.select(*rest, F.arrays_zip("prev", "word", "context", "pair", "gram").alias("all")).select(*rest, F.inline_outer("all"))
-
-
-def discounts(counts: DataFrame) -> DataFrame:
-    """One row: modified Kneser-Ney discounts d1, d2, d3 of a table with counts ``c``; 0.5, 1, 1.5 where they are undefined."""
-    n = counts.agg(*(F.count(F.when(F.col("c") == i, 1)).alias(f"n{i}") for i in range(1, 5)))
-    y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
-    d = [F.when((F.col(f"n{i}") > 0) & (F.col(f"n{i + 1}") > 0), F.lit(i) - (i + 1) * y * F.col(f"n{i + 1}") / F.col(f"n{i}")) for i in (1, 2, 3)]
-    return n.select(*(F.greatest(F.lit(0.0), F.least(F.lit(i - 0.0), F.coalesce(x, F.lit(i / 2)))).alias(f"d{i}") for i, x in enumerate(d, start=1)))
-
-
-def discounted(counts: DataFrame, context: str) -> tuple[DataFrame, DataFrame]:
-    """``counts`` with the discounted share ``p`` of each row, and the back-off mass ``gamma`` of each context."""
-    by_count = lambda one, two, more: F.when(F.col("c") == 1, one).when(F.col("c") == 2, two).otherwise(more)
-    rows = counts.crossJoin(F.broadcast(discounts(counts))).withColumn("d", by_count(F.col("d1"), F.col("d2"), F.col("d3")))  # one row of discounts
-    sums = rows.groupBy(context).agg(F.sum("c").alias("total"), (F.sum("d") / F.sum("c")).alias("gamma"))
-    return rows.join(sums, context).withColumn("p", (F.col("c") - F.col("d")) / F.col("total")), sums.select(context, "gamma")
-
-
-def train(texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, float]:
-    """Tables (gram, p3), (pair, p2, gamma2), (word, p1, gamma1) in log2, and log2 of an unseen word's probability."""
-    c3 = cut_lineage(places(texts.select("text")).groupBy("gram").agg(F.count("*").alias("c"), *(F.first(x).alias(x) for x in ("prev", "word", "context", "pair"))))
-    c2 = cut_lineage(c3.groupBy("pair").agg(F.count("*").alias("c"), F.first("prev").alias("prev"), F.first("word").alias("word")))
-    c1 = cut_lineage(c2.groupBy("word").agg(F.count("*").alias("c")).withColumn("all", F.lit(0)))
-    p1, g1 = discounted(c1, "all")
-    mass = g1.crossJoin(c1.agg(F.count("*").alias("n"))).select((F.col("gamma") / (F.col("n") + 1)).alias("rest")).first()
-    rest = mass["rest"] if mass and mass["rest"] else 1e-9
-    one = p1.select("word", (F.col("p") + rest).alias("p1"))
-    p2, g2 = discounted(c2, "prev")
-    two = p2.join(one, "word").select("pair", (F.col("p") + F.col("gamma") * F.col("p1")).alias("p2"))
-    p3, g3 = discounted(c3, "context")
-    three = p3.join(two.withColumnRenamed("p2", "q"), "pair").select("gram", F.log2(F.col("p") + F.col("gamma") * F.col("q")).alias("p3"))
-    pairs = two.select("pair", F.log2("p2").alias("p2")).join(g3.select(F.col("context").alias("pair"), F.log2("gamma").alias("gamma2")), "pair", "full")
-    ones = one.select("word", F.log2("p1").alias("p1")).join(g2.select(F.col("prev").alias("word"), F.log2("gamma").alias("gamma1")), "word", "full")
-    return cut_lineage(three), cut_lineage(pairs), cut_lineage(ones), log2(rest)
-
-
-def bits(docs: DataFrame, model: tuple[DataFrame, DataFrame, DataFrame, float]) -> DataFrame:
-    """(id, lang, n_words, bits): the mean surprise of a word or the end, for rows (id, lang, text)."""
-    three, pairs, ones, unseen = model
-    n3, n2, n1 = three.count(), pairs.count(), ones.count()
-    named = lambda df, rows, key, **columns: hinted(df.select(F.col(df.columns[0]).alias(key), *(F.col(v).alias(k) for k, v in columns.items())), rows)
-    joined = (
-        places(docs.select("id", "text")).join(named(three, n3, "gram", p3="p3"), "gram", "left")
-        .join(named(pairs, n2, "pair", p2="p2", _="gamma2"), "pair", "left").drop("_")
-        .join(named(pairs, n2, "context", _="p2", gamma2="gamma2"), "context", "left").drop("_")
-        .join(named(ones, n1, "word", p1="p1", _="gamma1"), "word", "left").drop("_")
-        .join(named(ones, n1, "prev", _="p1", gamma1="gamma1"), "prev", "left").drop("_")
+def pair_keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return mixed(a * np.uint64(0x9E3779B97F4A7C15) + b)
+
+
+def gram_keys(context: Column, pair: Column) -> Column:
+    return F.shiftleft(context, 21).bitwiseOR(F.shiftrightunsigned(context, 43)).bitwiseXOR(pair)
+
+
+def in_part(words: np.ndarray, part: int) -> np.ndarray:
+    return words.view(np.int64) % SLICES == part
+
+
+def grams(texts: DataFrame, part: int) -> DataFrame:
+    """(context, pair, prev, word, c): the counted trigrams whose middle word is of that part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
+        known = Hashes()
+        for batch in row_batches(batches, "text", BATCH_BYTES):
+            _, first, prev, word = places(batch.column("text").to_pylist(), known)
+            own = in_part(prev, part)
+            first, prev, word = first[own], prev[own], word[own]
+            columns = [pair_keys(first, prev), pair_keys(prev, word), prev, word]
+            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in columns], ["context", "pair", "prev", "word"])
+
+    rows = texts.select("text").mapInArrow(run, "context bigint, pair bigint, prev bigint, word bigint")
+    return rows.groupBy("context", "pair", "prev", "word").agg(F.count("*").alias("c"))
+
+
+def keys(docs: DataFrame, part: int) -> DataFrame:
+    """(id, key, n): the keys of that part that every row (id, text) looks up: trigrams, pairs, and its words once each, how often."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
+        known = Hashes()
+        for batch in row_batches(batches, "text", BATCH_BYTES):
+            row, first, prev, word = places(batch.column("text").to_pylist(), known)
+            context, pair = pair_keys(first, prev), pair_keys(prev, word)
+            gram = (context << np.uint64(21) | context >> np.uint64(43)) ^ pair
+            last = np.flatnonzero(np.diff(row, append=-1))  # the end is a word too, and the pair before it no context
+            start = np.flatnonzero(np.diff(row, prepend=-1))  # the first context is no pair
+            words, owners = np.concatenate([prev, word[last]]), np.concatenate([row, row[last]])
+            own = in_part(words, part)
+            words, owners = words[own], owners[own]
+            order = np.lexsort((words, owners))
+            words, owners = words[order], owners[order]
+            new = np.flatnonzero((np.diff(words.view(np.int64), prepend=0) != 0) | (np.diff(owners, prepend=-1) != 0))
+            singles, rows = np.concatenate([gram, pair, context[start]]), np.concatenate([row, row, row[start]])
+            own = in_part(singles, part)
+            singles, rows = np.concatenate([singles[own], words[new]]), np.concatenate([rows[own], owners[new]])
+            n = np.concatenate([np.ones(own.sum(), dtype=np.int64), np.diff(new, append=len(words))])
+            order = np.argsort(rows, kind="stable")
+            columns = [batch.column("id").take(pa.array(rows[order])), pa.array(singles[order].view(np.int64)), pa.array(n[order])]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "key", "n"])
+
+    return docs.select("id", "text").mapInArrow(run, "id bigint, key bigint, n bigint")
+
+
+def lengths(docs: DataFrame) -> DataFrame:
+    """(id, lang, n, total): the words of every row and its end; a total of zero."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = pa.array([len(words_of(text)) + 1 for text in batch.column("text").to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("lang"), n, pa.array(np.zeros(len(n)))], ["id", "lang", "n", "total"])
+
+    return docs.select("id", "lang", "text").mapInArrow(run, "id bigint, lang string, n bigint, total double")
+
+
+def discounts(n: list[int]) -> list[float]:
+    """Modified Kneser-Ney discounts of a table in which ``n[i]`` rows have count i + 1; 0.5, 1, 1.5 where they are undefined."""
+    y = n[0] / (n[0] + 2 * n[1]) if n[0] + n[1] else 0.0
+    return [max(0.0, min(float(i), i - (i + 1) * y * n[i] / n[i - 1])) if n[i - 1] and n[i] else i / 2 for i in (1, 2, 3)]
+
+
+def taken(c: str, d: list[float]) -> Column:
+    return F.when(F.col(c) == 1, d[0]).when(F.col(c) == 2, d[1]).otherwise(d[2])
+
+
+def having(c: str, name: str) -> list[Column]:
+    return [F.count_if(F.col(c) == i).alias(f"{name}{i}") for i in range(1, 5)]
+
+
+def train(texts: DataFrame) -> tuple[DataFrame, float]:
+    """(key, value) in log2 and log2 of an unseen word's probability: a place's values add up to what its own is above that."""
+    texts = stored(texts.select("text"), "quality-texts")
+    threes, twos = [f"three{i}" for i in range(1, 5)], [f"two{i}" for i in range(1, 5)]
+    parts = []
+    for part in range(SLICES):
+        pairs = grams(texts, part).groupBy("pair").agg(F.first("word").alias("word"), F.count("*").alias("c"), *having("c", "three"))
+        counted = pairs.groupBy("word").agg(F.count("*").alias("n"), *(F.sum(x).alias(x) for x in threes), *having("c", "two"))
+        parts.append(stored(counted, "quality-words"))
+    words = cut_lineage(reduce(DataFrame.union, parts).groupBy("word").agg(*(F.sum(x).alias(x) for x in ("n", *threes, *twos))))
+    sums = words.agg(*(F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in (*threes, *twos, "n")), F.count("*").alias("rows"), *having("n", "one")).first()
+    d1 = discounts([sums[f"one{i}"] for i in range(1, 5)])
+    few = [sums["one1"], sums["one2"]]
+    left = sum(d * n for d, n in zip(d1, (*few, sums["rows"] - sum(few))))
+    rest = (left / sums["n"] / (sums["rows"] + 1) if sums["n"] else 0) or 1e-9
+    ones = cut_lineage(words.select("word", ((F.col("n") - taken("n", d1)) / F.lit(sums["n"] or 1) + rest).alias("p1")))
+    d3, d2 = discounts([sums[x] for x in threes]), discounts([sums[x] for x in twos])
+    found = [stored(values(grams(texts, part), hinted(ones, sums["rows"]), d3, d2), "quality-values") for part in range(SLICES)]
+    return reduce(DataFrame.union, found).union(ones.select("word", F.log2("p1") - log2(rest))), log2(rest)
+
+
+def values(three: DataFrame, ones: DataFrame, d3: list[float], d2: list[float]) -> DataFrame:
+    """(key, value) of the trigrams of a part, their pairs and contexts, and the back-off of its words."""
+    log = lambda c: F.coalesce(F.log2(c), F.lit(0.0))
+    # every use reads all columns of the counts, so that Spark shuffles them once
+    contexts = three.groupBy("context").agg(F.sum("c").alias("total"), (F.sum(taken("c", d3)) / F.sum("c")).alias("gamma2"))
+    pairs = three.where("c > 0").groupBy("pair").agg(F.count("*").alias("c2"), F.first("prev").alias("prev"), F.first("word").alias("word"))
+    prevs = pairs.groupBy("prev").agg(F.sum("c2").alias("total"), (F.sum(taken("c2", d2)) / F.sum("c2")).alias("gamma1"))
+    two = pairs.join(prevs, "prev").join(ones, "word").withColumn("p2", (F.col("c2") - taken("c2", d2)) / F.col("total") + F.col("gamma1") * F.col("p1"))
+    p3 = (F.col("c") - taken("c", d3)) / F.col("total") + F.col("gamma2") * F.col("p2")
+    joined = three.select("context", "pair", "c").join(two.select("pair", "p2"), "pair").join(contexts, "context")
+    return (
+        joined.select(gram_keys(F.col("context"), F.col("pair")).alias("key"), (F.log2(p3) - log("gamma2") - F.log2("p2")).alias("value"))
+        .union(two.select("pair", F.log2("p2") - log("gamma1") - F.log2("p1")))
+        .union(contexts.select("context", log("gamma2")))
+        .union(prevs.select("prev", log("gamma1")))
     )
-    zero = lambda c: F.coalesce(c, F.lit(0.0))
-    lower = zero(F.col("gamma1")) + F.coalesce("p1", F.lit(unseen))
-    surprise = -F.coalesce("p3", zero(F.col("gamma2")) + F.coalesce("p2", lower))
-    # sums by a long key alone, so that the aggregate over every n-gram keeps no strings
-    sums = joined.groupBy("id").agg(F.sum(surprise).alias("total"), F.count("*").alias("n"))
-    langs = docs.groupBy("id").agg(F.min("lang").alias("lang"))
-    return sums.join(langs, sums["id"].eqNullSafe(langs["id"])).select(sums["id"], "lang", "n", (F.col("total") / F.col("n")).alias("bits"))
+
+
+def bits(docs: DataFrame, model: tuple[DataFrame, float]) -> DataFrame:
+    """(id, lang, n, bits): the mean surprise of a word or the end, for rows (id, lang, text)."""
+    known, unseen = model
+    parts = [stored(lengths(docs), "quality-lengths")]
+    for part in range(SLICES):
+        own = known.where(F.pmod("key", F.lit(SLICES)) == part)
+        sums = keys(docs, part).join(own.hint("shuffle_hash"), "key").groupBy("id").agg(F.sum(F.col("n") * F.col("value")).alias("total"))
+        parts.append(stored(sums.select("id", F.lit(None).cast("string").alias("lang"), F.lit(0).cast("bigint").alias("n"), "total"), "quality-sums"))
+    sums = reduce(DataFrame.union, parts).groupBy("id").agg(F.min("lang").alias("lang"), F.sum("n").alias("n"), F.sum("total").alias("total"))
+    return sums.select("id", "lang", "n", (-F.lit(unseen) - F.col("total") / F.col("n")).alias("bits"))
 
 
 def thresholds(scored: DataFrame, quantile: float, margin: float) -> DataFrame:

@@ -12,3 +12,13 @@ def test_counts_come_from_all_trusted_documents(spark, monkeypatch):
     judged = quality.classify(docs, docs.select("doc_id"))
     half = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0).count()
     assert half > 800 and seen == [half] and judged.count() == 2500
+
+
+def test_keys_travel_in_parts(spark):
+    docs = spark.createDataFrame([(1, "a b a b c"), (2, None)], "id bigint, text string")
+    parts = [[tuple(r) for r in quality.keys(docs, part).collect()] for part in range(quality.SLICES)]
+    found = [r for part in parts for r in part]
+    assert all(r[1] % quality.SLICES == part for part, rows in enumerate(parts) for r in rows)
+    # text 1: 6 trigrams (places), 7 pairs, words BEGIN a b c END; text 2: 1, 2 and 2
+    assert sum(r[2] for r in found if r[0] == 1) == 6 + 7 + 7 and sum(r[2] for r in found if r[0] == 2) == 1 + 2 + 2
+    assert sum(r[0] == 1 for r in found) == 6 + 7 + 5  # words once each
