@@ -355,7 +355,7 @@ def spans(chunks: DataFrame, buckets: int, window: int, gram: int) -> DataFrame:
         tables = [span_table(np.full(len(x["settled"][0]), x["chunk_id"]), *x["settled"]) for x in settled]
         return pa.concat_tables([later(columns, text, window), *tables] if columns else tables)
 
-    known = chunks.join(repeated_keys(chunks, buckets, window, gram), "chunk")
+    known = chunks.join(stored(repeated_keys(chunks, buckets, window, gram), "suffix-keys"), "chunk")
     return known.mapInArrow(send, "bucket int, blob binary").groupBy("bucket").applyInArrow(meet, SPANS)
 
 
@@ -369,7 +369,8 @@ def remove_earlier(docs: DataFrame, window: int = 100, gram: int = 40, id_col: s
     others = [docs[c].alias(f"carried_{i}") for i, c in enumerate(carry)]
     chunks = chunked(docs.select(docs[id_col].cast("bigint").alias("id"), docs[text_col].cast("string").alias("text"), *others))
     found = spans(chunks, kmers.bucket_count(docs, text_col, BUCKET_BYTES), window, gram)
-    lists = found.groupBy("chunk").agg(F.collect_list(F.struct("row", "start", "end")).alias("spans"))
+    # stored, so that what was shuffled to find the spans can go before the chunks meet them
+    lists = stored(found.groupBy("chunk").agg(F.collect_list(F.struct("row", "start", "end")).alias("spans")), "suffix-spans")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -12,6 +12,7 @@ import xxhash
 from tokenizers import Tokenizer
 
 from hourgrain.llm import bpe, decontaminate, kmers, simhash, substring, suffix
+from hourgrain.llm.common import table
 from hourgrain.llm.token_counts import LATE_CAPITALS, Counts, alone, lowered, token_counts
 
 SF = "/root/testdata/sf0.001"
@@ -260,3 +261,11 @@ def test_contamination_by_other_names_and_number_words(spark):
     rows = contaminated(spark, [marbles, stairs, eight, rank], docs)
     assert set(rows) >= {(1, 0), (2, 1), (3, 2), (4, 2), (5, 3), (6, 1)}
     assert rows[1, 0]["reparameterised"] and not rows[3, 2]["reparameterised"]
+
+
+def test_spans_are_stored_before_the_chunks_meet_them(spark):
+    table(spark, SF, "documents")
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "true"
+    text = "one string of some length that is written here twice, without any other sign of life. " * 4
+    out = suffix.remove_earlier(documents(spark, (1, text), (2, text)))
+    assert any("suffix-spans" in f for f in out.inputFiles()) and {r["doc_id"]: r["n_removed"] for r in out.collect()}[2] == len(text)
