@@ -36,29 +36,48 @@ def paired(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mixed(a * np.uint64(0x9E3779B97F4A7C15) + b)
 
 
+#: Grams that are hashed at a time, so that the arrays stay in a core's cache; below 2**PLACE_BITS with the windows' overlap.
+BLOCK, PLACE_BITS = 1 << 14, np.uint64(20)
+
+
 def grams(h: np.ndarray, m: int) -> np.ndarray:
-    """Hashes of all runs of ``m`` elements, by doubling."""
-    size = 1
-    while size * 2 <= m:
-        h = paired(h[: len(h) - size], h[size:]) if len(h) > size else h[:0]
-        size *= 2
-    rest = m - size
-    if rest:
-        h = paired(h[: len(h) - rest], h[rest:]) if len(h) > rest else h[:0]
-    return h
+    """Hashes of all runs of ``m`` elements: polynomials, by doubling, mixed once."""
+    if len(h) < m:
+        return h[:0]
+    power, power_of_rest = 0x9E3779B97F4A7C15, 1
+    out, size, rest, done = h, 1, None, 0  # rest: the polynomials of the last ``done`` elements of a run
+    while True:
+        if m & size:
+            n = len(h) - done - size + 1
+            rest = out[:n] if rest is None else out[:n] * np.uint64(power_of_rest) + rest[size : size + n]
+            done, power_of_rest = done + size, power_of_rest * power % (1 << 64)
+        if done == m:
+            return mixed(rest)
+        out = out[: len(out) - size] * np.uint64(power) + out[size:]
+        size, power = size * 2, power * power % (1 << 64)
 
 
 def sliding_argmin(h: np.ndarray, w: int) -> np.ndarray:
-    """Where the least of each ``w`` consecutive values stands, the leftmost among equals."""
-    at = np.arange(len(h), dtype=np.int32)
-    size, steps = 1, []
-    while size * 2 <= w:
-        steps.append(size)
-        size *= 2
-    for step in [*steps, *[w - size] * (w > size)]:
-        a, b = at[: len(at) - step], at[step:]
-        at = np.where(h[b] < h[a], b, a)
-    return at
+    """Where the least of each ``w`` consecutive values stands, the leftmost among those equal but for their last PLACE_BITS bits."""
+    at = (h >> PLACE_BITS << PLACE_BITS) | np.arange(len(h), dtype=np.uint64)
+    size = 1
+    while size < w:
+        step = min(size, w - size)
+        at = np.minimum(at[: len(at) - step], at[step:])
+        size += step
+    return at.astype(np.int64) & ((1 << int(PLACE_BITS)) - 1)
+
+
+def minimisers(h: np.ndarray, k: int, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of all grams of ``m``, where the minimiser of each window of ``k`` elements stands)."""
+    n = len(h) - k + 1
+    gram, least = np.empty(len(h) - m + 1, dtype=np.uint64), np.empty(n, dtype=np.int64)
+    for at in range(0, n, BLOCK):
+        own = grams(h[at : at + BLOCK + k - 1], m)
+        gram[at : at + len(own)] = own
+        places = sliding_argmin(own, k - m + 1)
+        least[at : at + len(places)] = places + at
+    return gram, least
 
 
 def super_kmers(h: np.ndarray, starts: np.ndarray, ends: np.ndarray, k: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -68,8 +87,7 @@ def super_kmers(h: np.ndarray, starts: np.ndarray, ends: np.ndarray, k: int, m:
     long = ends - starts >= k
     if n < 1 or not long.any():
         return empty, empty, np.zeros(0, dtype=np.uint64)
-    gram = grams(h, m)
-    least = sliding_argmin(gram, k - m + 1)
+    gram, least = minimisers(h, k, m)
     inside = np.zeros(n + 1, dtype=np.int8)
     inside[starts[long]] = 1
     np.subtract.at(inside, ends[long] - k + 1, 1)

@@ -2,7 +2,8 @@
 
 Texts are stored once in chunks of some megabytes. Windows of 100 bytes are dealt to buckets by super-k-mers (``kmers``);
 equal windows meet in one bucket. First each chunk sends its distinct minimisers alone and learns which of them
-another super-k-mer has; only super-k-mers with such a minimiser travel, equal ones of a part of a chunk once. In the bucket, their text becomes a string of phrases, whose
+another super-k-mer has; only super-k-mers with such a minimiser travel, equal ones of a part of a chunk once. In the bucket, strings all of whose
+windows have hashes of their own go; the text of the others becomes a string of phrases, whose
 boundaries depend on the 16 bytes before them only: a boundary follows every byte that is no letter, and every byte
 when 16 letters went before. So equal windows have equal boundaries from their 16th byte on, and a window is told by
 its first boundary there: a phrase suffix to the right of it and at most 32 bytes to the left.
@@ -40,6 +41,7 @@ from hourgrain.llm.kmers import NO_ID
 CHUNK_BYTES, PIECE_BYTES, BUCKET_BYTES = 4 << 20, 2 << 20, 2 << 20
 #: Bytes before a boundary that decide it; a window's boundary stands ``CONTEXT`` to ``2 * CONTEXT`` bytes from its start.
 CONTEXT = 16
+BYTE_HASHES = kmers.mixed(np.arange(1, 257, dtype=np.uint64))
 
 
 def suffix_array(symbols: np.ndarray) -> np.ndarray:
@@ -197,6 +199,20 @@ def window_classes(text: np.ndarray, starts: np.ndarray, ends: np.ndarray, windo
     return found, np.cumsum(fresh) - 1
 
 
+def with_repeats(joined: bytes, count: np.ndarray, window: int) -> np.ndarray:
+    """Which strings, that have so many windows and lie end to end, may hold a window that occurs twice; the hash of a window of any other is its alone."""
+    if not len(count):
+        return np.zeros(0, dtype=bool)
+    before = np.cumsum(count) - count
+    at = np.arange(count.sum()) + np.repeat(np.arange(len(count)) * (window - 1), count)
+    hashes = kmers.minimisers(BYTE_HASHES[np.frombuffer(joined, dtype=np.uint8)], window, window)[0][at]
+    ordered = np.sort(hashes)
+    marked = np.zeros(1 << 22, dtype=bool)
+    low = np.uint64(len(marked) - 1)
+    marked[ordered[1:][ordered[1:] == ordered[:-1]] & low] = True
+    return np.logical_or.reduceat(marked[hashes & low], before)
+
+
 def later(columns: dict[str, np.ndarray], text: bytes, window: int) -> pa.Table:
     """Spans of the windows of a bucket that also start earlier."""
     order = np.lexsort((columns["start"], columns["row"], columns["chunk"], columns["id"]))
@@ -206,6 +222,9 @@ def later(columns: dict[str, np.ndarray], text: bytes, window: int) -> pa.Table:
     copy = head != np.arange(len(head))  # all its windows start earlier, in the first of the equal strings
     tables = [span_table(chunk[copy], row[copy], start[copy], (start + count + window - 1)[copy])]
     own = np.flatnonzero(~copy)
+    own = own[with_repeats(b"".join(text[a[i] : b[i]] for i in own.tolist()), count[own].astype(np.int64), window)]
+    if not len(own):
+        return tables[0]
     joined = np.frombuffer(b"".join(text[a[i] : b[i]] for i in own.tolist()), dtype=np.uint8)
     ends = np.cumsum(count[own].astype(np.int64) + window - 1)
     starts = ends - count[own] - window + 1
@@ -240,7 +259,7 @@ def pieces(texts: list[bytes], window: int, gram: int) -> Iterator[tuple[bytes,
         if total < PIECE_BYTES and i + 1 < len(parts):
             continue
         joined = b"".join(texts[d][at : at + PIECE_BYTES + window - 1] for d, at in group)
-        h = kmers.mixed(np.frombuffer(joined, dtype=np.uint8).astype(np.uint64) + np.uint64(1))
+        h = BYTE_HASHES[np.frombuffer(joined, dtype=np.uint8)]
         ends = np.cumsum([min(len(texts[d]) - at, PIECE_BYTES + window - 1) for d, at in group], dtype=np.int64)
         starts = np.concatenate([[0], ends[:-1]])
         first, count, key = kmers.super_kmers(h, starts, ends, window, gram)

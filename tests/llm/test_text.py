@@ -269,3 +269,32 @@ def test_spans_are_stored_before_the_chunks_meet_them(spark):
     text = "one string of some length that is written here twice, without any other sign of life. " * 4
     out = suffix.remove_earlier(documents(spark, (1, text), (2, text)))
     assert any("suffix-spans" in f for f in out.inputFiles()) and {r["doc_id"]: r["n_removed"] for r in out.collect()}[2] == len(text)
+
+
+@pytest.mark.parametrize("block", [7, 64, 1 << 14])
+def test_minimisers_do_not_depend_on_blocks(block, monkeypatch):
+    """Found block by block: each window's leftmost least gram, as if all grams were hashed at once."""
+    monkeypatch.setattr(kmers, "BLOCK", block)
+    h = kmers.mixed(np.random.default_rng(3).integers(0, 4, 500).astype(np.uint64))
+    for k, m in ((100, 40), (35, 12), (9, 9), (500, 1)):
+        gram, least = kmers.minimisers(h, k, m)
+        r = 0x9E3779B97F4A7C15
+        plain = kmers.mixed(np.array([sum(int(x) * pow(r, m - 1 - j, 1 << 64) for j, x in enumerate(h[i : i + m])) % (1 << 64) for i in range(len(h) - m + 1)], dtype=np.uint64))
+        assert (gram == plain).all()
+        assert least.tolist() == [i + int(np.argmin(plain[i : i + k - m + 1] >> kmers.PLACE_BITS)) for i in range(len(h) - k + 1)]
+
+
+def test_strings_without_repeated_windows_need_no_suffix_array(monkeypatch):
+    """Strings may share a minimiser and yet no window; only those with a window that occurs twice are sorted."""
+    rng = np.random.default_rng(5)
+    raw = lambda n: rng.integers(97, 123, n, dtype=np.uint8).tobytes()
+    shared, longer = raw(60), raw(130)
+    strings = [raw(90) + shared + raw(20), raw(20) + shared + raw(90), longer + raw(30), raw(40) + longer]
+    assert suffix.with_repeats(b"".join(strings), np.array([len(s) - 99 for s in strings]), 100).tolist() == [False, False, True, True]
+    sorted_texts, plain = [], suffix.window_classes
+    monkeypatch.setattr(suffix, "window_classes", lambda text, *rest: sorted_texts.append(text.tobytes()) or plain(text, *rest))
+    ends = np.cumsum([len(s) for s in strings])
+    n = np.arange(4)
+    columns = {"id": n, "chunk": n, "row": n, "start": n * 0, "count": np.array([len(s) - 99 for s in strings], dtype=np.int32), "key": np.ones(4, dtype=np.uint64), "from": ends - [len(s) for s in strings], "to": ends}
+    spans = suffix.later(columns, b"".join(strings), 100).to_pylist()
+    assert sorted_texts == [strings[2] + strings[3]] and spans == [{"chunk": 3, "row": 3, "start": 40, "end": 170}]
