@@ -13,6 +13,8 @@ numbers; windows meet in either variant of either side, and each pair of variant
 lower-cased words that are equal are verbatim evidence, whatever their capitals and however few of them are concrete. The figures of a document
 and an item come from the first variant (which is what the SQL states) if it has evidence, else from the others.
 
+A text can only match where all pairs of neighbouring words of a window are pairs of items or hold what may be a placeholder, with
+the longest concrete word of an item's window among them; if the items' pairs are few enough to be a literal list, other texts are left out at once.
 The first pass explodes only window hashes; documents without a hit never carry their text any further. Item windows are
 broadcast when their counted rows are few enough, otherwise both sides are shuffled.
 
@@ -29,7 +31,10 @@ from pyspark.sql import functions as F
 from hourgrain.llm.common import cut_lineage, hinted
 
 #: A number, or a word with inner apostrophes or hyphens; trailing sentence ends stay with it.
-WORD = r"(?:\p{N}+(?:[.,:/]\p{N}+)*|\p{L}[\p{L}\p{N}]*(?:['’-][\p{L}\p{N}]+)*)[.!?]*"
+BARE = r"(?:\p{N}+(?:[.,:/]\p{N}+)*|\p{L}[\p{L}\p{N}]*(?:['’-][\p{L}\p{N}]+)*)"
+WORD = BARE + "[.!?]*"
+#: Distinct pairs of neighbouring words of items up to which they are a literal list.
+LISTED = 50_000
 NUMBER_WORDS = "zero two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen twenty thirty forty fifty hundred thousand million billion".split()
 #: Further number words, which are placeholders in the second variant only.
 _TENS, _ONES = "twenty thirty forty fifty sixty seventy eighty ninety".split(), "one two three four five six seven eight nine".split()
@@ -48,8 +53,8 @@ UNITS = (
 FORMS = ("t", "u", "w")
 
 
-def words(text: Column) -> Column:
-    return F.regexp_extract_all(F.coalesce(text.cast("string"), F.lit("")), F.lit(WORD), F.lit(0))
+def words(text: Column, pattern: str = WORD) -> Column:
+    return F.regexp_extract_all(F.coalesce(text.cast("string"), F.lit("")), F.lit(pattern), F.lit(0))
 
 
 def with_slots(texts: DataFrame) -> DataFrame:
@@ -109,6 +114,31 @@ def placed(slots: DataFrame, window: int) -> DataFrame:
     return rows.select(*(c for c in slots.columns if c != "slots"), "at", F.explode(forms).alias("f")).select(*(c for c in slots.columns if c != "slots"), "at", "f.form", "f.hash", "f.x")
 
 
+def promising(texts: DataFrame, own: DataFrame, items: DataFrame, window: int) -> DataFrame:
+    """The rows of ``texts`` that may share a solid window with ``own``, and perhaps others: all of them if the items have too many words.
+
+    Each pair of neighbouring words gets a mark: "0" if no item has that pair and neither word may be a placeholder, "a" if one of them is the
+    longest concrete word of a solid window, else "1". A window needs a run of pairs that are not "0", an "a" among them.
+    """
+    beside = F.zip_with("slots", F.slice("slots", F.lit(2), F.size("slots")), lambda a, b: F.concat_ws(" ", a["w"], b["w"]))
+    pairs = [r["w"] for r in items.where("size(slots) > 1").select(F.explode(beside).alias("w")).distinct().limit(LISTED + 1).collect()]  # bounded by LISTED
+    concrete = F.transform(F.filter("own", lambda s: s["t"] == s["w"]), lambda s: F.struct(F.length(s["w"]).alias("n"), s["w"].alias("w")))
+    longest = own.where("solid").select(F.array_max(concrete)["w"].alias("w")).distinct()
+    anchors = [r["w"] for r in longest.limit(LISTED + 1).collect()]
+    if max(len(pairs), len(anchors)) > LISTED or window < 2 or None in anchors:  # none: a window without a concrete word
+        return texts
+    placeholders = {*NUMBER_WORDS, *MORE_NUMBER_WORDS, *UNITS}
+
+    def mark(x: Column, y: Column) -> Column:
+        maybe = lambda c: c.isin(*placeholders) | c.between("0", ":") | (F.lower(c) != c)
+        met = F.concat_ws(" ", F.lower(x), F.lower(y)).isin("", *pairs) | maybe(x) | maybe(y)
+        return F.when(met, F.when(F.lower(x).isin("", *anchors) | F.lower(y).isin("", *anchors), F.lit("a")).otherwise(F.lit("1"))).otherwise(F.lit("0"))
+
+    # the words stand in an array of one, so that they are found once although they are used twice
+    marks = F.transform(F.array(words(F.col("text"), BARE)), lambda t: F.array_join(F.zip_with(t, F.slice(t, F.lit(2), F.size(t)), mark), ""))
+    return texts.where(F.get(marks, F.lit(0)).rlike(f"(?=[1a]{{{window - 1}}})[1a]{{0,{window - 2}}}a"))
+
+
 def one_to_one(pairs: Column) -> Column:
     """Whether distinct (b, d) pairs map every b to one d and the reverse."""
     return (F.size(F.array_distinct(F.transform(pairs, lambda p: p["b"]))) == F.size(pairs)) & (F.size(F.array_distinct(F.transform(pairs, lambda p: p["d"]))) == F.size(pairs))
@@ -126,7 +156,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = 8, concrete: in
     rows = own.count()
     texts = docs.select(docs[id_col].cast("bigint").alias("id"), docs[text_col].cast("string").alias("text"))
     every = F.array_distinct(F.concat(*(F.col(f"hashes_{f}") for f in FORMS)))
-    hashed = with_windows(with_slots(texts), window).select("id", F.explode_outer(every).alias("hash"))
+    hashed = with_windows(with_slots(promising(texts, own, items, window)), window).select("id", F.explode_outer(every).alias("hash"))
     hit = cut_lineage(hashed.join(hinted(keys, rows), "hash", "left_semi").select("id").distinct())
 
     few = hinted(hit.select(F.col("id").alias("hit")), hit.count())

@@ -298,3 +298,16 @@ def test_strings_without_repeated_windows_need_no_suffix_array(monkeypatch):
     columns = {"id": n, "chunk": n, "row": n, "start": n * 0, "count": np.array([len(s) - 99 for s in strings], dtype=np.int32), "key": np.ones(4, dtype=np.uint64), "from": ends - [len(s) for s in strings], "to": ends}
     spans = suffix.later(columns, b"".join(strings), 100).to_pylist()
     assert sorted_texts == [strings[2] + strings[3]] and spans == [{"chunk": 3, "row": 3, "start": 40, "end": 170}]
+
+
+def test_texts_without_pairs_of_an_item_are_left_out(spark, monkeypatch):
+    """The texts that pass hold every match, by name, number, capital or copy; the result is that of all texts."""
+    item = "A cyclist from Norwich slowly covers about sixty miles against strong wind."
+    texts = ["The cyclist from Exeter slowly covers about seventy miles against strong wind", item.upper(), "wind strong against miles sixty about covers slowly norwich from cyclist a", "the wind in the miles against some of strong weather and of the rest", None, ""]
+    docs, items = documents(spark, *enumerate(texts)), spark.createDataFrame([(7, item)], "item_id bigint, text string")
+    seen, plain = [], decontaminate.promising
+    monkeypatch.setattr(decontaminate, "promising", lambda *a: seen.append(sorted(r["id"] for r in plain(*a).collect())) or plain(*a))
+    found = sorted(decontaminate.matches(docs, items).collect())
+    monkeypatch.setattr(decontaminate, "LISTED", 0)
+    assert sorted(decontaminate.matches(docs, items).collect()) == found and {r["doc_id"] for r in found} == {0, 1}
+    assert seen == [[0, 1], list(range(6))]
