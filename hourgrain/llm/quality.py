@@ -168,7 +168,8 @@ def train(texts: DataFrame) -> tuple[DataFrame, float]:
     rest = (left / sums["n"] / (sums["rows"] + 1) if sums["n"] else 0) or 1e-9
     ones = cut_lineage(words.select("word", ((F.col("n") - taken("n", d1)) / F.lit(sums["n"] or 1) + rest).alias("p1")))
     d3, d2 = discounts([sums[x] for x in threes]), discounts([sums[x] for x in twos])
-    found = [stored(values(grams(texts, part), hinted(ones, sums["rows"]), d3, d2), "quality-values") for part in range(SLICES)]
+    # not broadcast: every part would send all words through the driver once more
+    found = [stored(values(grams(texts, part), ones, d3, d2), "quality-values") for part in range(SLICES)]
     return reduce(DataFrame.union, found).union(ones.select("word", F.log2("p1") - log2(rest))), log2(rest)
 
 

@@ -22,3 +22,19 @@ def test_keys_travel_in_parts(spark):
     # text 1: 6 trigrams (places), 7 pairs, words BEGIN a b c END; text 2: 1, 2 and 2
     assert sum(r[2] for r in found if r[0] == 1) == 6 + 7 + 7 and sum(r[2] for r in found if r[0] == 2) == 1 + 2 + 2
     assert sum(r[0] == 1 for r in found) == 6 + 7 + 5  # words once each
+
+
+def test_words_are_not_broadcast(spark, monkeypatch):
+    """The table of words grows with the texts, so it meets the pairs by a shuffle, in every part."""
+    plans, plain = [], quality.values
+
+    def values(*args):
+        out = plain(*args)
+        plans.append(out._jdf.queryExecution().optimizedPlan().toString())
+        return out
+
+    monkeypatch.setattr(quality, "values", values)
+    texts = spark.createDataFrame([("a b a b c",), ("b c",)], "text string")
+    model, unseen = quality.train(texts)
+    assert len(plans) == quality.SLICES and not any("broadcast" in p for p in plans)
+    assert unseen < 0 and model.count() > 0
