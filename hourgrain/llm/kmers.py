@@ -153,10 +153,10 @@ def gathered(blobs: list[bytes]) -> tuple[dict[str, np.ndarray], bytes, list[dic
     return out | {"from": end - out["size"], "to": end}, b"".join(x["text"] for x in own), others
 
 
-def bucket_count(docs: DataFrame, text_col: str, bytes_each: int) -> int:
-    """Buckets of about ``bytes_each`` of text, in proportion to the whole input."""
+def bucket_count(docs: DataFrame, text_col: str, bytes_each: int, least: int = 64) -> int:
+    """Buckets of about ``bytes_each`` of text, in proportion to the whole input, ``least`` at least."""
     total = docs.agg(F.sum(F.octet_length(docs[text_col].cast("string")))).first()[0] or 0
-    return int(max(64, -(-total // bytes_each)))
+    return int(max(least, -(-total // bytes_each)))
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -38,3 +38,21 @@ def test_words_are_not_broadcast(spark, monkeypatch):
     model, unseen = quality.train(texts)
     assert len(plans) == quality.SLICES and not any("broadcast" in p for p in plans)
     assert unseen < 0 and model.count() > 0
+
+
+def test_frequent_middle_words_are_counted_by_joins_with_the_same_values(spark, monkeypatch):
+    texts = spark.createDataFrame([("a b a b c",), ("b c " * 9 + "Zoë " + "x" * 70,), (None,), ("a  b\n\tc a d b",)], "text string")
+    model = lambda: sorted((r["key"], round(r["value"], 9)) for r in quality.train(texts)[0].collect())
+    packed = model()
+    asked, plain = [], quality.frequent
+    monkeypatch.setattr(quality, "HOT", 3)
+    monkeypatch.setattr(quality, "frequent", lambda texts: asked.append(plain(texts)) or asked[0])
+    assert model() == packed and len(packed) > 20 and 0 < len(asked[0]) < 6
+
+
+def test_lookups_travel_packed(spark):
+    """A row for each batch and bucket, not one for each key; a word's hash is its bytes' alone."""
+    rows = quality.asked(spark.createDataFrame([(i, "a b c d e " * 50) for i in range(40)], "id bigint, text string").coalesce(1), 0, 2).collect()
+    assert len(rows) <= 2 and sum(len(r["keys"]) // 8 for r in rows) > 1000
+    own, counts = quality.hashed(["Ab ab\x0bcd", None, "", " cd " + "y" * 200 + " " + "y" * 201])
+    assert counts.tolist() == [3, 0, 0, 3] and own[0] == own[1] and own[2] == own[3] and len(set(own.tolist())) == 4
