@@ -292,10 +292,10 @@ def reranked_interval(t: Tables):
       (SELECT site, f, draw, avg(event) FILTER (WHERE r1 <= ceil(f * n)) - avg(event) FILTER (WHERE r0 <= ceil(f * n)) AS pg,
         median(target) FILTER (WHERE r1 <= ceil(f * n)) - median(target) FILTER (WHERE r0 <= ceil(f * n)) AS mg FROM
         (SELECT *, unnest([0.05::DOUBLE, 0.1::DOUBLE, 0.2::DOUBLE, 0.3::DOUBLE]) AS f FROM inst) GROUP BY site, f, draw) GROUP BY site, f""",
-        **draws_sql("ev", "site", "week", 61, FEW), inst=INST),
+        **draws_sql("ev", "site", "week", 61), inst=INST),
 )
 def budget_interval(t: Tables):
-    return rounded(B.budget_interval(events(t), ["site"], "week", "event", "target", "prob0", "prob1", TIES, 61, FEW), "fraction")
+    return rounded(B.budget_interval(events(t), ["site"], "week", "event", "target", "prob0", "prob1", TIES, 61, DRAWS), "fraction")
 
 
 @query(
