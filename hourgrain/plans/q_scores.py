@@ -267,8 +267,6 @@ def brier_interval(t: Tables):
     return rounded(B.brier_gain_interval(events(t), ["site"], "week", "event", "prob0", "prob1", 41, 2 * DRAWS))
 
 
-#: Draws of the queries that still join selected rows to draws.
-FEW = 10
 INST = f"""SELECT e.site, e.event, e.target, e.ym, d.draw, row_number() OVER (PARTITION BY e.site, d.draw ORDER BY prob0 DESC, slot, {TIE_SQL}) AS r0,
       row_number() OVER (PARTITION BY e.site, d.draw ORDER BY prob1 DESC, slot, {TIE_SQL}) AS r1, count(*) OVER (PARTITION BY e.site, d.draw) AS n FROM ev e JOIN dr d USING (site, week)"""
 
@@ -314,8 +312,8 @@ def median_difference(t: Tables):
     sql("ev", f"""SELECT site, {', '.join(f"round(quantile_cont({c}, 0.025), 6) AS {c}_lo95, round(quantile_cont({c}, 0.975), 6) AS {c}_hi95, count({c}) AS {c}_valid_draws"
       for c in ('precision_gain', 'median_ratio_gain', 'exclusive_median_gain'))} FROM (SELECT site, draw, {CONTRAST} FROM
       (SELECT *, r0 <= ceil(0.1::DOUBLE * n) AS a, r1 <= ceil(0.1::DOUBLE * n) AS b FROM inst) GROUP BY site, draw) GROUP BY site""",
-        **draws_sql("ev", "site", "week", 81, FEW),
+        **draws_sql("ev", "site", "week", 81),
         inst=INST.replace("PARTITION BY e.site, d.draw", "PARTITION BY e.site, d.draw, e.ym")),
 )
 def month_contrast_interval(t: Tables):
-    return rounded(B.selection_contrast_interval(events(t), ["site"], "week", "event", "target", "prob0", "prob1", TIES, ["ym"], 81, FEW))
+    return rounded(B.selection_contrast_interval(events(t), ["site"], "week", "event", "target", "prob0", "prob1", TIES, ["ym"], 81, DRAWS))

@@ -21,3 +21,8 @@ def asked(monkeypatch, module, operator, query):
 def test_budget_interval_takes_all_draws(monkeypatch):
     assert asked(monkeypatch, q_scores.B, "budget_interval", q_scores.budget_interval)["draws"] == 1000
     assert "range(1000)" in entry.oracle_sql()["bst06_budget_interval"]
+
+
+def test_month_contrast_interval_takes_all_draws(monkeypatch):
+    assert asked(monkeypatch, q_scores.B, "selection_contrast_interval", q_scores.month_contrast_interval)["draws"] == 1000
+    assert "range(1000)" in entry.oracle_sql()["bst08_month_contrast_interval"]
