@@ -36,6 +36,13 @@ def test_month_selection_takes_all_draws(monkeypatch):
     assert entry.oracle_sql()["pip07_month_selection"].count("range(1000)") == 2
 
 
+def test_model_benchmark_takes_all_draws(monkeypatch):
+    monkeypatch.setattr(q_studies, "benchmark_rows", lambda t: None)
+    monkeypatch.setattr(q_studies, "feature_column", lambda *a: None)
+    monkeypatch.setattr(q_studies, "out", lambda *a, **k: None)
+    assert asked(monkeypatch, q_studies.ST, "model_benchmark", q_studies.model_benchmark)["draws"] == 1000
+
+
 def test_ends_of_intervals_round_as_in_sql(spark):
     """The 97.5 percentile of 1,000 draws is 37.9993505, which a weighted mean of the two draws around it misses by one place."""
     value = F.when(F.col("id") < 975, 37.99894).otherwise(38.015359999999994)
